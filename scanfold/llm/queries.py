@@ -5,23 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
+from . import durable, mixing, packing, urlfilter, warc
+from .fingerprint import edited_fingerprints
 from .minhash import minhash_components
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles, links at 100 * intersection >= 85 * union."""
     return minhash_components(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.tokenize_pieces(docs, tokenizer_path())
+    light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place_pieces(light, packing.shard_count(docs))
+
+
+def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
+def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    sized = durable.write(docs.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), mixing.word_count(F.col("text")).alias("mix_size")), "sized")
+    sizes = sized.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_size").alias("source_size"), F.count("*").alias("n_docs"))
+    mixed = mixing.systematic_copies(sized, mixing.source_targets(sizes))
+    return mixed.select(F.col("mix_id").alias("doc_id"), F.col("mix_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_dedup": op1_minhash_dedup}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_best_fit_packing, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op10_systematic_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_url_vocabulary": urlfilter.oracle_sql(), "op10_systematic_mixing": mixing.ORACLE_SQL, "op5_warc_normaliser": WARC_SQL}
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS least FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to FROM f
+"""
