@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import durable, mixing, packing, urlfilter, warc
+from . import durable, mixing, packing, pii, quality, urlfilter, warc
 from .fingerprint import edited_fingerprints
 from .minhash import minhash_components
 
@@ -36,6 +36,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place_pieces(light, packing.shard_count(docs))
 
 
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.train(docs))
+
+
 def op5_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -48,6 +53,13 @@ def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    scored = quality.score_documents(docs, model)
+    return scored.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     sized = durable.write(docs.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), mixing.word_count(F.col("text")).alias("mix_size")), "sized")
@@ -57,7 +69,7 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_best_fit_packing, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op10_systematic_mixing)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op3_best_fit_packing, op4_pii_boosting, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op9_quality_rules, op10_systematic_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
