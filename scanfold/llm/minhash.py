@@ -3,12 +3,13 @@
 1. Each document gets the minima of 128 hash functions over its distinct word shingles. Bands of four minima give
    bucket keys; the low two bits of all minima are packed into four longs.
 2. Documents with equal shingle sets become one class, so that exact copies cost one row from then on.
-3. Classes of a bucket are paired with the bucket's least class only. A pair whose collision-corrected similarity,
-   estimated from bit counts of the packed signatures, is well below the threshold is dropped; the rest is confirmed
-   on full shingle sets and the confirmed links are joined into components.
-4. Buckets that still hold several components are compared between components: small ones by a join, large ones by
-   numpy blocks of packed signatures that return only pairs above the estimate. So no link between classes that share
-   a bucket is lost, and no group is expanded into all its pairs.
+3. Each bucket is named by its least class, its hub, and all classes of a hub's buckets form a cluster, so two classes
+   that share a bucket share a cluster. Clusters are cut into blocks; pairs of blocks are compared by collision-corrected
+   similarity from bit counts of the packed signatures, and a class that is near no other drops out.
+4. What is left is confirmed on full shingle sets, again block by block, and a block returns no more links than join
+   its classes into components. First each class is checked in its least cluster only, which settles most of them;
+   then clusters that still hold several components are checked between components. So no link between classes that
+   share a bucket is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -16,14 +17,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import durable
 from .components import connected_components
+from .grouping import by_group
 from .hashing import distinct_sets, hash_words, mix64, shingle_hashes, slices, text_buffers
 
 PERMUTATIONS = 128
@@ -33,9 +35,12 @@ LANES_PER_LONG = 64 // BITS
 SIGNATURE_LONGS = PERMUTATIONS // LANES_PER_LONG
 #: Standard errors below the threshold at which an estimate still goes to the exact check.
 SLACK = 5.0
-#: Members of an unresolved bucket that are joined directly; larger ones are compared in blocks of BLOCK.
-DIRECT = 24
+#: Classes of a cluster's block.
 BLOCK = 512
+#: Ids that are broadcast to pick their texts; with more the texts are shuffled.
+BROADCAST_IDS = 2_000_000
+#: Shingles compared in one matrix product.
+COLUMNS = 4096
 
 _RNG = np.random.default_rng(77_001)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,90 +129,126 @@ def _sketch(width: int):
     return run
 
 
-def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (with n and signatures of both, as a_* and b_*) that sizes and bit counts leave possible."""
-    mask = 0x5555555555555555
-    same = F.lit(PERMUTATIONS)
-    for i in range(SIGNATURE_LONGS):
-        d = F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))
-        same = same - F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 1)).bitwiseAND(F.lit(mask)))
-    ratio = F.least("a_n", "b_n") >= F.greatest("a_n", "b_n") * F.lit(threshold - 1e-9)
-    return pairs.where(ratio & (same >= least_matches(threshold)))
+_SIG = [f"s{i}" for i in range(SIGNATURE_LONGS)]
+_MASK = np.uint64(0x5555555555555555)
 
 
-def _sides(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    cols = ["n", *[f"s{i}" for i in range(SIGNATURE_LONGS)]]
-    left = classes.select(F.col("rep").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = classes.select(F.col("rep").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    return pairs.join(left, "a").join(right, "b")
+def _side(table: pa.Table, side: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table.column("side"), side))
 
 
-def _set_rows(width: int):
-    schema = ["id", "hashes"]
+def _signatures(table: pa.Table) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().view(np.uint64) for c in _SIG], axis=1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
-                sets = distinct_sets(*shingle_hashes(hash_words(data, offsets[lo : hi + 1]), width))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=schema)
 
-    return run
+def _near(left: pa.Table, right: pa.Table, floor: int, threshold: float) -> np.ndarray:
+    """Which pairs of both sides sizes and bit counts leave possible."""
+    u, v = _signatures(left), _signatures(right)
+    miss = np.zeros((len(u), len(v)), np.int16)
+    for i in range(SIGNATURE_LONGS):
+        d = u[:, i : i + 1] ^ v[None, :, i]
+        miss += np.bitwise_count((d | (d >> np.uint64(1))) & _MASK)
+    n, m = left.column("n").to_numpy()[:, None], right.column("n").to_numpy()[None, :]
+    ok = (PERMUTATIONS - miss >= floor) & (np.minimum(n, m) >= np.maximum(n, m) * (threshold - 1e-9))
+    return ok & (left.column("rep").to_numpy()[:, None] != right.column("rep").to_numpy()[None, :])
 
 
-def _confirm(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, x, y = (batch.column(i) for i in range(4))
-            ok = []
-            for p, q in zip(x, y, strict=True):
-                u, v = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                if len(u) > len(v):
-                    u, v = v, u
-                at = np.searchsorted(v, u)
-                shared = int((v[np.minimum(at, len(v) - 1)] == u).sum())
-                ok.append(den * shared >= num * (len(u) + len(v) - shared))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+def _marked(threshold: float):
+    """Classes of a pair of blocks that are near some other class of it."""
+    floor = least_matches(threshold)
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right = _side(table, 0), _side(table, 1)
+        if not len(left) or not len(right) or (len(left) == 1 and len(right) == 1 and left.column("rep")[0] == right.column("rep")[0]):
+            return
+        ok = _near(left, right, floor, threshold)
+        reps = np.union1d(left.column("rep").to_numpy()[ok.any(axis=1)], right.column("rep").to_numpy()[ok.any(axis=0)])
+        if len(reps):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), table.column("hub")[0].as_py())), pa.array(reps)], names=["hub", "rep"])
 
     return run
 
 
-class _Verifier:
-    """Confirms pairs of classes on full shingle sets; the sets of classes in any candidate pair are written once."""
+def _intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of both lists, by products of 0/1 matrices over their common hashes."""
+    na, nb = [len(x) for x in a], [len(x) for x in b]
+    ha, hb = np.concatenate(a), np.concatenate(b)
+    common = np.intersect1d(np.unique(ha), np.unique(hb), assume_unique=True)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(common):
+        return out
+
+    def places(h: np.ndarray, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        ok = common[at] == h
+        return np.repeat(np.arange(len(sizes)), sizes)[ok], at[ok]
+
+    (ra, ca), (rb, cb) = places(ha, na), places(hb, nb)
+    oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
+    ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
+    for lo in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - lo)
+        x, y = np.zeros((len(a), width), np.float32), np.zeros((len(b), width), np.float32)
+        for m, r, c in ((x, ra, ca), (y, rb, cb)):
+            s, e = np.searchsorted(c, [lo, lo + width])
+            m[r[s:e], c[s:e] - lo] = 1
+        out += x @ y.T
+    return out
+
 
-    def __init__(self, texts: DataFrame, width: int, num: int, den: int):
-        self.texts, self.width, self.num, self.den = texts, width, num, den
-        self.tables: list[DataFrame] = []
+def _linked(threshold: float, num: int, den: int):
+    """Links, confirmed on full sets, that join the components of a pair of blocks."""
+    floor = least_matches(threshold)
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = durable.write(self.texts.join(ids, "id").mapInArrow(_set_rows(self.width), "id long, hashes binary"), "sets")
-        self.tables.append(sets)
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), "a")
-        both = both.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_confirm(self.num, self.den), "a long, b long")
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        left, right = _side(table, 0), _side(table, 1)
+        if not len(left) or not len(right):
+            return
+        ok = _near(left, right, floor, threshold)
+        ok &= left.column("comp").to_numpy()[:, None] != right.column("comp").to_numpy()[None, :]
+        i, j = np.flatnonzero(ok.any(axis=1)), np.flatnonzero(ok.any(axis=0))
+        if not len(i):
+            return
+        left, right, ok = left.take(pa.array(i)), right.take(pa.array(j)), ok[np.ix_(i, j)]
+        sets = [[np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")] for t in (left, right)]
+        both = np.rint(_intersections(*sets)).astype(np.int64)
+        n, m = left.column("n").to_numpy()[:, None], right.column("n").to_numpy()[None, :]
+        ok &= den * both >= num * (n + m - both)
+        mine, others = left.column("comp").to_numpy().copy(), right.column("comp").to_numpy().copy()
+        a, b = left.column("rep").to_numpy(), right.column("rep").to_numpy()
+        out = []
+        for r in np.flatnonzero(ok.any(axis=1)).tolist():
+            cols = np.flatnonzero(ok[r] & (others != mine[r]))
+            while len(cols):
+                c, into, gone = int(cols[0]), mine[r], others[cols[0]]
+                out.append((int(a[r]), int(b[c])))
+                mine[mine == gone] = into
+                others[others == gone] = into
+                cols = cols[others[cols] != mine[r]]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
+    return run
 
-def _blocks(threshold: float):
-    floor = least_matches(threshold)
-    mask = np.uint64(0x5555555555555555)
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        sig = [f"s{i}" for i in range(SIGNATURE_LONGS)]
-        u, v = (np.ascontiguousarray(x[sig].to_numpy(np.int64)).view(np.uint64) for x in (left, right))
-        miss = np.zeros((len(u), len(v)), np.int32)
-        for i in range(SIGNATURE_LONGS):
-            d = u[:, i : i + 1] ^ v[None, :, i]
-            miss += np.bitwise_count((d | (d >> np.uint64(1))) & mask)
-        n, m = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        ok = (PERMUTATIONS - miss >= floor) & (np.minimum(n, m) >= np.maximum(n, m) * (threshold - 1e-9))
-        ok &= left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :]
-        a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
-        i, j = np.nonzero(ok & (a[:, None] != b[None, :]))
-        out = pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
-        return out.drop_duplicates()
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """Rows of (hub, rep, ...) dealt to pairs i <= j of their cluster's blocks: as side 0 of (own, j), side 1 of (i, own)."""
+    size = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    m = members.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    sides = F.array_union(
+        F.transform(F.sequence("own", F.col("parts") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
+        F.transform(F.sequence(F.lit(0), "own"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))),
+    )
+    return m.withColumn("at", F.explode(sides)).select("hub", "at.i", "at.j", "at.side", *[c for c in m.columns if c not in ("hub", "parts", "own")])
+
+
+def _set_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            for lo, hi in slices(offsets):
+                sets = distinct_sets(*shingle_hashes(hash_words(data, offsets[lo : hi + 1]), width))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "hashes"])
 
     return run
 
@@ -228,60 +269,38 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         base = rows.where("id is not null").groupBy("id").agg(F.min("text").alias("text")).unionAll(rows.where("id is null"))
     sketch = durable.write(base.mapInArrow(_sketch(shingle), _SKETCH), "sketch")
     usable = sketch.where("n > 0 and id is not null")
-    sig = [f"s{i}" for i in range(SIGNATURE_LONGS)]
     classes = durable.write(
-        usable.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", *sig, "bands")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", F.col("r.id").alias("rep"), "copies", *[f"r.{c}" for c in ("n", *sig, "bands")]), "classes"
+        usable.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", *_SIG, "bands")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", F.col("r.id").alias("rep"), "copies", *[f"r.{c}" for c in ("n", *_SIG, "bands")]), "classes"
     )
-    light = classes.select("rep", "n", *sig)
+    light = classes.select("rep", "n", *_SIG)
     band = classes.select("rep", F.explode("bands").alias("k"))
-    hubs = band.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("m")).where("hub < top")
-    buckets = durable.write(band.join(hubs, "k").select("k", "rep", "hub", "m"), "buckets")
-    star = buckets.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    star = durable.write(_estimated(_sides(star, light), threshold).select("a", "b"), "pairs")
-
-    verify = _Verifier(base.where("id is not null"), shingle, num, den)
-    # first every class with the least of its hubs, which joins nearly all of a group at the cost of one check a class
-    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = durable.write(verify.links(first), "links")
-    comp = durable.write(connected_components(links), "labels")
-
-    def labelled(pairs: DataFrame, c: DataFrame) -> DataFrame:
-        x = c.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        y = c.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        out = pairs.join(x, "a", "left").join(y, "b", "left")
-        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = durable.write(labelled(star.join(first, ["a", "b"], "left_anti"), comp), "rest")
-    if not rest.isEmpty():
-        more = durable.write(verify.links(rest), "links")
-        links = links.unionAll(more)
-        if not more.isEmpty():
-            comp = durable.write(connected_components(links), "labels")
-
-    # buckets whose members lie in several components
-    member = buckets.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k", "rep", "m", F.coalesce("component", "rep").alias("comp"))
-    # the pairs of a bucket's hub are all checked: only buckets with two components beside the hub's hold open pairs
-    state = member.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("rep").alias("hub"), F.count("*").alias("size"))
-    open_k = state.where("lo < hi and size > 2").select("k", "size", "hub")
-    opened = durable.write(member.join(open_k, "k").where("rep <> hub").select("k", "rep", "comp", "size"), "open")
-    tables = [opened]
-    small = opened.where(F.col("size") <= DIRECT)
-    x = small.select("k", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    y = small.select("k", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    near = x.join(y, "k").where("a < b and ca <> cb").select("a", "b").distinct()
-    near = _estimated(_sides(near, light), threshold).select("a", "b")
-    large = opened.where(F.col("size") > DIRECT).join(light, "rep")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = large.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    as_left = large.withColumn("other", F.explode(F.sequence(F.col("own"), F.col("parts") - 1))).select("k", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "rep", "comp", "n", *sig)
-    as_right = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("own")))).select("k", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "rep", "comp", "n", *sig)
-    far = as_left.unionAll(as_right).groupBy("k", "i", "j").applyInPandas(_blocks(threshold), "a long, b long")
-    last = durable.write(near.unionAll(far).distinct().join(star, ["a", "b"], "left_anti"), "rest")
-    if not last.isEmpty():
-        more = durable.write(verify.links(last), "links")
-        if not more.isEmpty():
-            comp = durable.write(connected_components(links.unionAll(more)), "labels")
-    durable.delete(buckets, star, rest, last, *tables, *verify.tables)
+    hubs = band.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("k", "hub")
+    cluster = durable.write(band.join(hubs, "k").select("hub", "rep").distinct(), "clusters")
+    blocks = _in_blocks(cluster.join(light, "rep"))
+    near = by_group(blocks, ["hub", "i", "j"], ["side"], _marked(threshold), "hub long, rep long")
+    near = durable.write(near.distinct(), "near")
+    durable.delete(cluster)
+
+    ids = near.select("rep").distinct()
+    if near.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = base.where("id is not null").select(F.col("id").alias("rep"), "text")
+    sets = durable.write(texts.join(ids, "rep").mapInArrow(_set_rows(shingle), "rep long, hashes binary"), "sets")
+    full = sets.join(light, "rep")
+
+    def links(rows: DataFrame) -> DataFrame:
+        found = by_group(_in_blocks(rows.join(full, "rep")), ["hub", "i", "j"], ["side"], _linked(threshold, num, den), "a long, b long")
+        return durable.write(found.distinct(), "links")
+
+    first = near.groupBy("rep").agg(F.min("hub").alias("hub")).select("hub", "rep", F.col("rep").alias("comp"))
+    edges = links(first)
+    comp = durable.write(connected_components(edges), "labels")
+    member = near.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = member.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
+    more = links(member.join(mixed, "hub"))
+    if not more.isEmpty():
+        comp = durable.write(connected_components(edges.unionAll(more)), "labels")
+    durable.delete(near, sets)
 
     of_class = classes.select("h1", "h2", "rep").join(comp.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     # the empty set is not a class; its rows stand alone
