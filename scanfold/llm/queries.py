@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import durable, mixing, packing, pii, quality, urlfilter, warc
 from .fingerprint import edited_fingerprints
 from .minhash import minhash_components
+from .neighbours import similar_vectors
+from .passages import repeated_passages
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -29,6 +31,10 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_components(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = packing.tokenize_pieces(docs, tokenizer_path())
@@ -53,6 +59,10 @@ def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_chained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
@@ -69,7 +79,7 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op3_best_fit_packing, op4_pii_boosting, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op9_quality_rules, op10_systematic_mixing)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_nn_descent, op3_best_fit_packing, op4_pii_boosting, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op8_chained_passages, op9_quality_rules, op10_systematic_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
