@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -315,3 +315,19 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _repeats(rows: DataFrame) -> bool:
     """Whether some id stands on several rows."""
     return not rows.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with their own columns, whose document is the least of its near-duplicate group.
+
+    Texts without words and rows with a null id all stay. Of rows that repeat an id one stays, that of the least text.
+    """
+    found = minhash_components(docs, id_col, text_col, shingle, num, den)
+    gone = durable.write(found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    out = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
+    if _repeats(docs.select(F.col(id_col).alias("id"))):
+        rows = out.select(F.struct(*[out[f"`{c}`"] for c in out.columns]).alias("row"), out[id_col].alias("id"), out[text_col].alias("text"))
+        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("text")))
+        out = rows.where("nth = 1 or id is null").select("row.*")
+    return out
