@@ -1,4 +1,4 @@
-"""Registry of the engine's queries and of the SQL that checks them."""
+"""All queries of the engine."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import feature_queries, grid_queries, scan_queries, track_queries  # noqa: F401  they register themselves
+from .registry import ORACLE, QUERIES
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)
