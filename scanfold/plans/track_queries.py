@@ -80,14 +80,14 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 37 % 1600 / F.lit(10.0) - 80).alias("lat"), (F.col("s_nationkey") * 13 % 360 - 180 + F.col("s_acctbal") / 20000).alias("lon"))
 
 
-@query(f"""WITH {PLACES} SELECT id, round(lon * pi() * 6378137.0 / 180, 3) AS mx, round(6378137.0 * ln(tan((90 + lat) * pi() / 360)), 3) AS my, round(cos(lat * pi() / 180), 6) AS scale, round(CAST(lat AS DOUBLE), 4) AS lat, round(lon, 4) AS lon FROM places""")
+@query(f"""WITH {PLACES} SELECT id, round(lon * pi() * 6378137.0 / 180, 3) AS mx, round(6378137.0 * ln(tan((90 + lat) * pi() / 360)), 3) AS my, round(cos(lat * pi() / 180), 6) AS scale, round(CAST(lat AS DOUBLE), 9) AS lat, round(lon, 9) AS lon FROM places""")
 def mercator_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _places(spark, sf_dir)
     mx, my = geo.to_mercator(F.col("lat"), F.col("lon"))
     p = p.select("id", geo.mercator_scale(F.col("lat")).alias("scale"), mx.alias("mx"), my.alias("my"))
     lat, lon = geo.from_mercator(F.col("mx"), F.col("my"))
     p = p.select("id", F.round("mx", 3).alias("mx"), F.round("my", 3).alias("my"), "scale", lat.alias("lat"), lon.alias("lon"))
-    return rounded(rounded(p, "scale"), "lat", "lon", digits=4)
+    return rounded(rounded(p, "scale"), "lat", "lon", digits=9)
 
 
 @query(f"""WITH {PLACES}, m AS (SELECT id, lon * pi() * 6378137.0 / 180 AS mx, 6378137.0 * ln(tan((90 + lat) * pi() / 360)) AS my FROM places)
