@@ -184,3 +184,45 @@ def link_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SCAN} SELECT frame, col, CAST(k AS INTEGER) AS k, floor(k * 0.3) <> floor((k - 1) * 0.3) AS taken FROM (SELECT frame, col, row_number() OVER (PARTITION BY frame ORDER BY col) AS k FROM scan WHERE dist IS NOT NULL)")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.systematic(scan(spark, sf_dir).where("dist is not null"), 0.3, "col", "frame").select("frame", "col", "k", "taken")
+
+
+def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanfold.operators import surface
+
+    rows = image.connections(image.connections(pixels(spark, sf_dir), "col", "wh"), "row", "wv")
+    return surface.normals(surface.image_to_points(rows, 360, -0.2, 0.05))
+
+
+@query()
+def normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normals and their confidence at every return."""
+    from scanfold.operators import surface
+
+    return surface.normal_confidence(_surfaces(spark, sf_dir)).select("frame", "row", "col", "nx", "ny", "nz", "conf")
+
+
+@query()
+def reinforced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scanfold.operators import surface
+
+    rows = image.connections(image.connections(pixels(spark, sf_dir), "col", "sh"), "row", "sv")
+    return surface.reinforced(rows)
+
+
+DECIDE_W, DECIDE_B = (2.0, -0.5, 0.25), -0.4
+
+
+@query(f"""WITH {HITS}, l AS (SELECT src, dst, count(*) AS strength FROM hits GROUP BY ALL), t AS (SELECT dst, count(*) AS points, count(DISTINCT src) AS age FROM hits GROUP BY dst),
+  f AS (SELECT src, dst, strength, ln(greatest(1.0, 1 + strength)) AS f1, ln(greatest(1.0, 1 + points)) AS f2, ln(greatest(1.0, 1 + age)) AS f3 FROM l JOIN t USING (dst)),
+  s AS (SELECT src, dst, strength, -0.4 + 2.0 * (f1 / 4.0) + -0.5 * (f2 / 10.0) + 0.25 * (f3 / 6.0) AS sc, count(*) OVER (PARTITION BY src) AS n FROM f),
+  g AS (SELECT *, CASE WHEN n = 1 THEN greatest(sc, 1.0) ELSE sc END AS score FROM s)
+  SELECT src, dst, round(score, 6) AS score, CASE WHEN score > 0 THEN 'merge' WHEN strength > 0 THEN 'keep' ELSE 'ignore' END AS decision FROM g QUALIFY row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) = 1""")
+def merge_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best link of each source by a linear score of logarithmic features."""
+    from scanfold.operators import lifecycle
+
+    h = hits(spark, sf_dir)
+    t = h.groupBy("dst").agg(F.count("*").alias("points"), F.count_distinct("src").alias("age")).withColumns({k: F.lit(0.0) for k in ("speed",)})
+    f = lifecycle.link_features(links.count_links(h).withColumns({"moved": F.lit(0.0), "error": F.lit(0.0)}), t)
+    f = f.withColumn("f", F.slice("f", 1, 3))
+    return rounded(lifecycle.decide(f, DECIDE_W, DECIDE_B, (0.0, 0.0, 0.0), (4.0, 10.0, 6.0)), "score")

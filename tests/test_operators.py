@@ -153,3 +153,28 @@ def test_texts(spark):
     assert [tuple(r) for r in got] == [("d.tar.gz", "/a/b.c/", ".gz", 1265169906123456789, 6), ("plain", "", "", 123456, 1), ("", "x/", "", 0, 2)]
     rgb = spark.range(1).select(*text.hsv_to_rgb(text.hue_of(F.lit(1.0), 0.0, 2.0))).first()
     assert tuple(rgb) == pytest.approx((0.0, 1.0, 0.0))
+
+
+def test_normals_of_a_plane(spark):
+    from scanfold.operators import surface
+
+    rows = [(1, r, c, math.sqrt(25 + (c - 3) ** 2 + (r - 2) ** 2), 5.0, 3.0 - c, 2.0 - r, 1.0, 1.0) for r in range(5) for c in range(7)]
+    p = spark.createDataFrame(rows, "frame long, row int, col int, dist double, x double, y double, z double, wh double, wv double")
+    got = surface.normal_confidence(surface.normals(p)).where("row between 1 and 3 and col between 1 and 5").collect()
+    assert len(got) == 15
+    assert all((r.nx, r.ny, r.nz) == pytest.approx((-1, 0, 0)) and r.conf == pytest.approx(1) for r in got)
+
+
+def test_lives_of_tracks(spark):
+    from scanfold.operators import lifecycle
+
+    t = spark.createDataFrame([(1, 5, 99), (2, 5, 60), (3, 5, 98)], "uid long, age int, last_update int")
+    n = spark.createDataFrame([(1, 10), (2, 10), (3, 1)], "uid long, points int")
+    assert [(r.uid, r.age) for r in lifecycle.age_tracks(t, n, 100).collect()] == [(1, 6)]
+    a = spark.createDataFrame([(1, 0.1, 0.1, 0.1)], "id long, x double, y double, z double")
+    b = spark.createDataFrame([(7, 0.2, 0.2, 0.2), (8, 3.1, 0.1, 0.1), (9, 3.2, 0.1, 0.1)], a.schema)
+    assert {r.id for r in lifecycle.merge_points(a, b, 1.0).collect()} == {1, 8}
+    s = lifecycle.new_states(spark.createDataFrame([(4, 1.0, 2.0, 3.0), (4, 3.0, 2.0, 3.0)], "segment long, x double, y double, z double")).first()
+    assert s.x[3:6] == [2.0, 2.0, 3.0] and len(s.p) == 144
+    draws = np.array([r.v for r in lifecycle.normal_sample(spark.range(4000), [1.0, -1.0], [[2.0, 1.0], [1.0, 1.0]], 3).collect()])
+    assert np.allclose(draws.mean(0), [1, -1], atol=0.15) and np.allclose(np.cov(draws.T), [[2, 1], [1, 1]], atol=0.2)
