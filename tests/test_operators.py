@@ -178,3 +178,23 @@ def test_lives_of_tracks(spark):
     assert s.x[3:6] == [2.0, 2.0, 3.0] and len(s.p) == 144
     draws = np.array([r.v for r in lifecycle.normal_sample(spark.range(4000), [1.0, -1.0], [[2.0, 1.0], [1.0, 1.0]], 3).collect()])
     assert np.allclose(draws.mean(0), [1, -1], atol=0.15) and np.allclose(np.cov(draws.T), [[2, 1], [1, 1]], atol=0.2)
+
+
+def test_noise_and_kernels(spark, tmp_path):
+    from scanfold import params
+    from scanfold.operators import kernels, noise
+
+    table = noise.sigma_table(spark, draws=200, bins=8)
+    got = {(r.i, r.j): r.sigma for r in table.collect()}
+    assert len(got) == 64 and got[0, 0] > got[7, 7] > 0
+    assert got == {(r.i, r.j): r.sigma for r in noise.sigma_table(spark, draws=200, bins=8).repartition(3).collect()}
+    rows = spark.createDataFrame([(10.0, 0.1, 0.1), (10.0, 99.0, 0.1), (None, 0.1, 0.1)], "dist double, side_a double, side_b double")
+    assert [r.sigma for r in noise.with_sigma(rows, table, bins=8).orderBy(F.desc("dist"), "side_a").collect()] == [got[0, 0], math.pi / 2, math.pi / 2]
+    cov = spark.range(1).select(noise.point_covariance(F.lit(10.0), F.lit(0.0), F.lit(0.0), 0.1, 0.01).alias("c")).first().c
+    assert cov == pytest.approx([0.01, 0, 0, 0, 0.01, 0, 0, 0, 0.01])
+    f = spark.createDataFrame([([1.0, 0.0],), ([0.0, 1.0],)], "f array<double>")
+    plane = kernels.KernelPlane([[1.0, 0.0], [0.0, 1.0]], [1.0, -1.0], 0.0, gamma=0.5)
+    got = kernels.vote(f, {(1, 2): plane}).collect()
+    assert [r.label for r in got] == [1, 2] and got[0].decision_1_2 == pytest.approx(1 - math.exp(-1))
+    params.save(spark, params.TRACKER, str(tmp_path / "p"))
+    assert params.load(spark, str(tmp_path / "p")) == params.TRACKER
