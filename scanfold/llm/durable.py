@@ -22,6 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2_000, size: str = "16m") -> None:
+    """Lower the session's Arrow batches from their defaults, so that a batch of long texts, which Python holds whole,
+    stays small. Values that the session sets itself are kept."""
+    for key, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, value)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -41,6 +50,6 @@ def delete(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "written_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration() if hasattr(t.sparkSession, "_jsc") else t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            sc = t.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

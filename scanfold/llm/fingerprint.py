@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import durable
 from .hashing import SLICE_BYTES, hash_words, mix64, shingle_hashes, slices, text_buffers
 
 K = 128
@@ -103,6 +104,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(map(len, texts)), pa.int64()), pa.array(list(map(encode, s))), pa.array([distinct_count(x, k) for x in s])], names=["i", "n", "f", "d"])
                 lo = hi
 
+    durable.bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"`{id_col}` long, n_chars long, fingerprint string, n_distinct double")
 
 
@@ -123,6 +125,7 @@ def followed_by_next(docs: DataFrame, id_col: str, text_col: str, blocks: int |
     first one's to the last), so one shuffle of the texts suffices and no order over the whole table is made.
     """
     spark = docs.sparkSession
+    durable.bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = blocks or 4 * parts
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -1,5 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
+Sets are sets of 64-bit hashes of shingles; two shingles of one pair of documents would have to collide to change a link.
+
 1. Each document gets the minima of 128 hash functions over its distinct word shingles. Bands of four minima give
    bucket keys; the low two bits of all minima are packed into four longs.
 2. Documents with equal shingle sets become one class, so that exact copies cost one row from then on.
@@ -263,6 +265,7 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     its texts. Other columns are not read.
     """
     threshold = num / den
+    durable.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base, repeated = rows, _repeats(rows)
     if repeated:

@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import durable
+
 #: Documents of a shard; a shard leaves a handful of sequences unfilled.
 SHARD_DOCS = 20_000
 #: Words whose ids a worker keeps; beyond that it keeps those of the texts at hand.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 500_000
 
 _CORE = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)", re.UNICODE)
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
@@ -42,6 +44,12 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.ids: dict[str, bytes] = {}
+        self.last: set[str] = set()
+
+    def shrink(self) -> None:
+        """Forget all words but those of the last texts."""
+        self.ids = {w: self.ids[w] for w in self.last if w in self.ids}
+        self.last = set()
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -81,7 +89,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         plain = [None if t is None or _ODD_SPACE.search(t) or "<|" in t else t.split() for t in texts]
-        words = set(chain.from_iterable(p for p in plain if p is not None))
+        words = self.last = set(chain.from_iterable(p for p in plain if p is not None))
         if len(self.ids) > CACHE_WORDS:
             self.ids = {w: self.ids[w] for w in words if w in self.ids}
         missing = words - self.ids.keys()
@@ -127,7 +135,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
                     [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"]
                 )
                 lo = hi
+        # an idle worker keeps the common words only
+        enc.shrink()
 
+    durable.bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import durable
 from .hashing import _LANE, hash_words, mix64, slices, text_buffers
 from .trees import fit_boosted, sigmoid
 
@@ -89,6 +90,7 @@ def with_statistics(rows: DataFrame, text_col: str, prefix: str = "stat_") -> Da
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(s[:, j]) for j in range(s.shape[1]))], names=[*names, *added])
 
+    durable.bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(a, T.DoubleType()) for a in added)]))
 
 
@@ -190,5 +192,7 @@ def score_documents(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, model: RuleModel, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their own columns, that the model does not reject."""
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[text_col].cast("string").alias("text"))
-    return with_statistics(rows, "text").where(model.column() >= 0.5).select("row.*")
+    prefix = "stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    return with_statistics(docs, text_col, prefix).where(model.column(prefix) >= 0.5).select(*[f"`{c}`" for c in docs.columns])
