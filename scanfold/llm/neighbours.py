@@ -2,8 +2,8 @@
 
 1. Vectors are normalised in double precision; equal unit vectors become one class.
 2. A first neighbour graph comes from random hyperplane trees: the vectors of a leaf are compared by matrix products
-   and each keeps its nearest. Leaves too large for one product are cut in two by further hyperplanes; leaves that no
-   hyperplane cuts are compared block by block.
+   and each keeps its nearest. Leaves too large for one product are cut by further hyperplanes, and what those do not
+   cut into parts by a hash that differs from tree to tree.
 3. Rounds of NN-descent join neighbours (and reverse neighbours) of neighbours; a list keeps its k nearest. A list that
    is saturated, its last neighbour above the threshold, is enlarged, so a large group gets the lists that it needs.
 4. A sample of vectors, fixed by hash, is compared with all others in blocks. While it finds links that the graph lacks,

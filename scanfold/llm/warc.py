@@ -3,6 +3,8 @@
 A monolithic archive is one gzip member over all its records, which no reader can enter in the middle. The normaliser
 inflates such a stream once, in bounded chunks, rewrites every record as a member of its own and writes a sidecar
 index of (offset, length) lines, so that any record can be read alone from then on.
+
+Tasks write and read archives through pyarrow's file systems, by the URI of the shared folder (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
