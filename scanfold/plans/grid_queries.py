@@ -20,7 +20,7 @@ def _cell(c: str, e: float = EXTENT) -> str:
 
 
 CELLS = f"{POINTS}, cells AS (SELECT *, {_cell('x')} AS ix, {_cell('y')} AS iy, {_cell('z')} AS iz FROM points)"
-EVEN, ODD = F.col("id") % 2 == 0, F.col("id") % 2 == 1
+EVEN, ODD = "id % 2 = 0", "id % 2 = 1"
 NEAR = "a.ix - b.ix BETWEEN -1 AND 1 AND a.iy - b.iy BETWEEN -1 AND 1 AND a.iz - b.iz BETWEEN -1 AND 1"
 D2 = "((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
 
