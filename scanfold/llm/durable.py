@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2_000, size: str = "16m") -> None:
+def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
     """Lower the session's Arrow batches from their defaults, so that a batch of long texts, which Python holds whole,
     stays small. Values that the session sets itself are kept."""
     for key, default, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .hashing import release_memory
+
 
 def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``fn`` over each group of equal, non-null integer ``keys``, its rows sorted by ``order``.
@@ -39,5 +41,6 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.
             last = tuple(int(c[-1]) for c in cols)
         if held:
             yield from fn(pa.Table.from_batches(held))
+        release_memory()
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from . import durable
 from .components import connected_components
 from .grouping import by_group
-from .hashing import distinct_sets, hash_words, mix64, shingle_hashes, slices, text_buffers
+from .hashing import distinct_sets, hash_words, mix64, release_memory, shingle_hashes, slices, text_buffers
 
 PERMUTATIONS = 128
 BAND_ROWS = 4
@@ -127,6 +127,7 @@ def _sketch(width: int):
                 cols += [pa.array(packed[:, i]) for i in range(SIGNATURE_LONGS)]
                 cols.append(pa.ListArray.from_arrays(pa.array(at), pa.array(keys.ravel())))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in _SKETCH])
+        release_memory()
 
     return run
 
@@ -251,6 +252,7 @@ def _set_rows(width: int):
             for lo, hi in slices(offsets):
                 sets = distinct_sets(*shingle_hashes(hash_words(data, offsets[lo : hi + 1]), width))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "hashes"])
+        release_memory()
 
     return run
 

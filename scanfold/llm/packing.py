@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import durable
+from .hashing import release_memory
 
 #: Documents of a shard; a shard leaves a handful of sequences unfilled.
 SHARD_DOCS = 20_000
 #: Words whose ids a worker keeps; beyond that it keeps those of the texts at hand.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _CORE = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)", re.UNICODE)
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
@@ -137,6 +138,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
                 lo = hi
         # an idle worker keeps the common words only
         enc.shrink()
+        release_memory()
 
     durable.bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import durable
-from .hashing import _LANE, hash_words, mix64, slices, text_buffers
+from .hashing import _LANE, hash_words, mix64, release_memory, slices, text_buffers
+from .sampling import hash_share
 from .trees import fit_boosted, sigmoid
 
 STATISTICS = ("words", "word_length", "upper", "digit", "pipe", "symbol", "bang", "stop", "comma", "high", "lines", "distinct", "repeated_pairs", "marked", "short", "long", "longest_line")
@@ -89,6 +90,7 @@ def with_statistics(rows: DataFrame, text_col: str, prefix: str = "stat_") -> Da
                 s = statistics(data, offsets[lo : hi + 1])
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(s[:, j]) for j in range(s.shape[1]))], names=[*names, *added])
+        release_memory()
 
     durable.bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(a, T.DoubleType()) for a in added)]))
@@ -172,7 +174,7 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """A model from at most ``sample_rows`` labelled rows that are not held out, those of the least hashes of their id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
-    sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
+    sample = hash_share(known, F.col("id"), 2 * sample_rows).orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
     # the sample is bounded by sample_rows, so its broadcast is too
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
     rows = with_statistics(texts, "text").drop("text")

@@ -7,9 +7,10 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scanfold.llm import components, neighbours, queries, urlfilter, warc
+from scanfold.llm import components, durable, neighbours, queries, sampling, urlfilter, warc
 
 
 def test_components_of_paths_and_stars(spark):
@@ -141,6 +142,22 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_samples_are_bounded_and_fixed(spark):
+    df = spark.range(20_000)
+    one = {r.id for r in sampling.hash_share(df, F.col("id"), 1000).collect()}
+    assert 850 < len(one) < 1150 and one == {r.id for r in sampling.hash_share(df.repartition(7), F.col("id"), 1000).collect()}
+    assert sampling.hash_share(df.limit(10), F.col("id"), 1000).count() == 10
+
+
+def test_session_values_are_kept(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "77")
+    durable.bounded_batches(spark)
+    assert spark.conf.get(key) == "77"
+    spark.conf.set(key, before)
+
+
 def test_registry():
     names = queries.queries()
     assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
