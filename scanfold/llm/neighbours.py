@@ -3,11 +3,12 @@
 1. Vectors are normalised in double precision; equal unit vectors become one class.
 2. A first neighbour graph comes from random hyperplane trees: the vectors of a leaf are compared by matrix products
    and each keeps its nearest. Leaves too large for one product are cut by further hyperplanes, and what those do not
-   cut into parts by a hash that differs from tree to tree.
+   cut into parts by a hash that differs from tree to tree. Each product also gives its bridges: links that join all
+   that its links connect, so vectors whose nearest are all of their own group keep their way to other groups.
 3. Rounds of NN-descent join neighbours (and reverse neighbours) of neighbours; a list keeps its k nearest. A list that
-   is saturated, its last neighbour above the threshold, is enlarged, so a large group gets the lists that it needs.
+   is saturated, its last neighbour above the threshold, is enlarged, up to NEAREST << ROUNDS; bridges are never cut.
 4. A sample of vectors, fixed by hash, is compared with all others in blocks. While it finds links that the graph lacks,
-   more trees are grown and descent goes on.
+   more trees are grown and descent goes on. If the last forest still lacks one, all vectors are compared by blocks.
 5. Edges above the threshold are kept. Groups that they connect are closed: all members of a component are compared by
    blocks, which counts links within a group of any size without a list as long as the group.
 """
@@ -42,9 +43,12 @@ MISS = 1e-4
 AUDIT = 1024
 FORESTS = 3
 BLOCK = 512
+#: Vectors of a block where all are compared with all.
+WHOLE_BLOCK = 2048
 #: Single-precision products are this close to double ones.
 MARGIN = 1e-4
 _CODE_BITS = 40
+_EDGE = "a long, b long, sim double, bridge boolean"
 
 
 def _unit_rows(dim: int):
@@ -88,8 +92,24 @@ def _codes(trees: int, dim: int, seed: int):
     return run
 
 
-def _nearest(k: int):
-    """The k nearest others of each vector of a group."""
+def _spanning(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of edges of a symmetric matrix that join all that its edges connect, one less than a component's nodes."""
+    left = ok.any(axis=1)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for root in np.flatnonzero(left).tolist():
+        reached = [root] if left[root] else []
+        left[root] = False
+        while reached and left.any():
+            i = reached.pop()
+            new = np.flatnonzero(ok[i] & left)
+            left[new] = False
+            a.append(np.full(len(new), i)), b.append(new)
+            reached += new.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _nearest(k: int, threshold: float):
+    """The k nearest others of each vector of a group, and the group's bridges."""
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = len(table)
@@ -102,21 +122,29 @@ def _nearest(k: int):
         top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n - 1 else np.argsort(-s, axis=1)[:, :m]
         a, b, sim = np.repeat(ids, m), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()
         ok = sim > -2
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(sim[ok].astype(np.float64))], names=["a", "b", "sim"])
+        x, y = _spanning(s >= threshold - MARGIN)
+        a, b, sim = np.concatenate((a[ok], ids[x])), np.concatenate((b[ok], ids[y])), np.concatenate((sim[ok], s[x, y]))
+        bridge = np.arange(len(a)) >= len(a) - len(x)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim.astype(np.float64)), pa.array(bridge)], names=["a", "b", "sim", "bridge"])
 
     return run
 
 
 def _lists(edges: DataFrame, threshold: float, stage: int) -> DataFrame:
-    """The nearest of each vector: NEAREST of them, or 2 ** stage times as many as long as they are links."""
-    e = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    """The nearest of each vector: NEAREST of them, or 2 ** stage times as many as long as they are links.
+
+    Bridges stay, ``near`` or not; ``full`` marks the last place of a list that is saturated.
+    """
+    e = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("bridge").alias("bridge"))
     e = e.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")))
-    keep = (F.col("nth") <= NEAREST) | ((F.col("nth") <= NEAREST << stage) & (F.col("sim") >= threshold - MARGIN))
-    return e.where(keep).select("a", "b", "sim")
+    link = F.col("sim") >= threshold - MARGIN
+    near = (F.col("nth") <= NEAREST) | ((F.col("nth") <= NEAREST << stage) & link)
+    full = (F.col("nth") == NEAREST << stage) & link
+    return e.withColumns({"near": near, "full": full}).where("near or bridge").select("a", "b", "sim", "bridge", "near", "full")
 
 
 def _forest(vectors: DataFrame, n: int, dim: int, threshold: float, seed: int) -> DataFrame:
-    """Edges (a, b, sim) within the leaves of random hyperplane trees."""
+    """Edges (a, b, sim, bridge) within the leaves of random hyperplane trees."""
     bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     trees = max(4, math.ceil(math.log(MISS) / math.log(1 - same))) if same < 1 else 1
@@ -138,21 +166,22 @@ def _forest(vectors: DataFrame, n: int, dim: int, threshold: float, seed: int) -
     large = deeper(cut(rows)).groupBy("tree", "leaf", "sub").count().where(F.col("count") > LEAF_MOST).withColumn("parts", F.ceil(F.col("count") / LEAF_MOST)).drop("count")
     placed = deeper(cut(rows, "unit")).join(large, ["tree", "leaf", "sub"], "left")
     placed = placed.withColumn("part", F.pmod(F.xxhash64("rep", "tree"), F.coalesce("parts", F.lit(1)))).drop("parts")
-    return by_group(placed.withColumn("tree", F.col("tree").cast("long")), ["tree", "leaf", "sub", "part"], [], _nearest(LEAF_NEAREST), "a long, b long, sim double")
+    return by_group(placed.withColumn("tree", F.col("tree").cast("long")), ["tree", "leaf", "sub", "part"], [], _nearest(LEAF_NEAREST, threshold), _EDGE)
 
 
-def _descend(lists: DataFrame, vectors: DataFrame) -> DataFrame:
+def _descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """Edges between neighbours, and reverse neighbours, of the same vector, itself included."""
+    lists = lists.where("near")
     ends = lists.select(F.col("b").alias("via"), F.col("a").alias("rep")).unionAll(lists.select(F.col("a").alias("via"), F.col("b").alias("rep")))
     ends = ends.distinct()
     degree = ends.groupBy("via").agg(F.ceil(F.count("*") / REVERSE).alias("parts"))
     ends = ends.join(degree, "via").withColumn("part", F.pmod(F.xxhash64("rep", "via"), F.col("parts"))).select("via", "part", "rep")
     own = ends.select("via", "part", F.col("via").alias("rep")).distinct()
-    return by_group(ends.unionAll(own).join(vectors.select("rep", "unit"), "rep"), ["via", "part"], [], _nearest(NEAREST // 2), "a long, b long, sim double")
+    return by_group(ends.unionAll(own).join(vectors.select("rep", "unit"), "rep"), ["via", "part"], [], _nearest(NEAREST // 2, threshold), _EDGE)
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    size = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+def _in_blocks(members: DataFrame, block: int) -> DataFrame:
+    size = members.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     m = members.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     left = m.withColumn("j", F.explode(F.sequence("own", F.col("parts") - 1))).select("hub", F.col("own").alias("i"), "j", F.lit(0).alias("side"), "rep", "unit", "copies")
     right = m.where("own > 0").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own") - 1))).select("hub", "i", F.col("own").alias("j"), F.lit(1).alias("side"), "rep", "unit", "copies")
@@ -236,14 +265,15 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         lists, comp = None, None
         for grown in range(FORESTS):
             edges = _forest(classes, n, dim, threshold, seed + grown)
-            edges = edges if lists is None else edges.unionAll(lists)
+            edges = edges if lists is None else edges.unionAll(lists.select(*edges.columns))
             lists = durable.write(_lists(edges, threshold, 0), "lists")
             for stage in range(1, ROUNDS + 1):
-                wider = durable.write(_lists(_descend(lists, classes).unionAll(lists), threshold, stage), "lists")
-                changed = wider.join(lists, ["a", "b"], "left_anti").select("a").distinct().count()
+                wider = _descend(lists, classes, threshold)
+                wider = durable.write(_lists(wider.unionAll(lists.select(*wider.columns)), threshold, stage), "lists")
+                changed = wider.where("near").join(lists.where("near"), ["a", "b"], "left_anti").select("a").distinct().count()
                 durable.delete(lists)
                 lists = wider
-                if changed <= CHANGED * n:
+                if changed <= CHANGED * n and wider.where("full").isEmpty():
                     break
             comp = durable.write(connected_components(lists.where(F.col("sim") >= threshold - MARGIN)), "labels")
             labelled = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "unit", F.coalesce("component", "rep").alias("component"))
@@ -251,9 +281,11 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             sample = [(r.rep, bytes(r.unit), r.component) for r in labelled.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(AUDIT).collect()]
             true, found = labelled.mapInArrow(_audit(sample, threshold), "true long, found long").agg(F.sum("true"), F.sum("found")).first()
             if found == true:
+                members, block = comp.select(F.col("component").alias("hub"), F.col("node").alias("rep")).join(classes, "rep"), BLOCK
                 break
-        members = comp.select(F.col("component").alias("hub"), F.col("node").alias("rep")).join(classes, "rep")
-        closed = durable.write(by_group(_in_blocks(members), ["hub", "i", "j"], ["side"], _closed(threshold), "rep long, links long, to long"), "closed")
+        else:
+            members, block = classes.withColumn("hub", F.lit(0).cast("long")), WHOLE_BLOCK
+        closed = durable.write(by_group(_in_blocks(members, block), ["hub", "i", "j"], ["side"], _closed(threshold), "rep long, links long, to long"), "closed")
         counts = closed.where("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
         roots = connected_components(closed.where("to is not null"), "rep", "to")
         linked = counts.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -63,6 +63,35 @@ def test_vectors_match_brute_force(spark, monkeypatch):
     assert got == _brute(rows)
 
 
+def _tight_groups(spark):
+    """Two groups of near vectors, 0.999 within and 0.96 across, and vectors apart from them."""
+    rng = np.random.default_rng(11)
+    a, b = np.eye(8)[0], 0.965 * np.eye(8)[0] + np.sqrt(1 - 0.965**2) * np.eye(8)[1]
+    rows = [(i, ((a if i % 2 else b) + rng.standard_normal(8) * 0.002).tolist()) for i in range(40)]
+    rows += [(40 + i, rng.standard_normal(8).tolist()) for i in range(20)]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+def test_vectors_keep_links_between_tight_groups(spark, monkeypatch):
+    rows, table = _tight_groups(spark)
+    whole = []
+    blocks = neighbours._in_blocks
+    monkeypatch.setattr(neighbours, "_in_blocks", lambda m, block: whole.append(block == neighbours.WHOLE_BLOCK) or blocks(m, block))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.similar_vectors(table).collect()}
+    assert got == _brute(rows) and got[0] == (39, 0)
+    assert whole == [False]
+
+
+def test_vectors_are_all_compared_when_the_audit_fails(spark, monkeypatch):
+    rows, table = _tight_groups(spark)
+    none = np.zeros(0, np.int64)
+    monkeypatch.setattr(neighbours, "_spanning", lambda ok: (none, none))
+    monkeypatch.setattr(neighbours, "FORESTS", 1)
+    monkeypatch.setattr(neighbours, "WHOLE_BLOCK", 16)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.similar_vectors(table).collect()}
+    assert got == _brute(rows)
+
+
 def test_vectors_edge_cases(spark):
     schema = "vec_id long, embedding array<float>"
     assert neighbours.similar_vectors(spark.createDataFrame([], schema)).count() == 0
