@@ -34,10 +34,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids with their places in sequences of 2048."""
-    pieces = packing.tokenize_pieces(docs, tokenizer_path())
-    light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.place_pieces(light, packing.shard_count(docs))
+    """Pieces of token ids with their places in sequences of 2048.
+
+    ``copy`` numbers the rows of ``docs``, so copies of a document stay apart. Only lengths are packed; the ids join
+    their places by copy and piece, row by row.
+    """
+    numbered = docs.withColumn("copy", F.monotonically_increasing_id())
+    pieces = durable.write(packing.tokenize_pieces(numbered, tokenizer_path(), carry=("copy",)), "pieces")
+    placed = packing.place_pieces(pieces.drop("ids"), packing.shard_count(docs))
+    whole = placed.join(pieces.select("copy", "piece", "ids"), ["copy", "piece"])
+    return whole.select("doc_id", "copy", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids", "sequence_id", "offset")
 
 
 STAGES = [

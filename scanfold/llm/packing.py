@@ -109,11 +109,11 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, end_id: int = 0) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_len: int = 2048, end_id: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, piece, start, length, ids): each document's ids and a final ``end_id``, cut into pieces of ``max_len``.
 
     ids is binary, little-endian unsigned 32-bit. A null or empty text has the one id ``end_id``. Null ids and repeated
-    rows are ordinary rows; other columns are not read.
+    rows are ordinary rows. Each piece also has its row's columns ``carry``; other columns are not read.
     """
     tail = np.uint32(end_id).tobytes()
 
@@ -125,15 +125,16 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
             ends = np.cumsum(sizes)
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
-                ids, piece, start, length, out = [], [], [], [], []
+                ids, piece, start, length, out, of = [], [], [], [], [], []
                 keys = batch.column(0).slice(lo, hi - lo).to_pylist()
-                for key, raw in zip(keys, enc.encode(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True):
+                for row, (key, raw) in enumerate(zip(keys, enc.encode(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True), lo):
                     raw += tail
                     for p, at in enumerate(range(0, len(raw), 4 * max_len)):
                         part = raw[at : at + 4 * max_len]
-                        ids.append(key), piece.append(p), start.append(at // 4), length.append(len(part) // 4), out.append(part)
+                        ids.append(key), piece.append(p), start.append(at // 4), length.append(len(part) // 4), out.append(part), of.append(row)
+                carried = [batch.column(2 + k).take(pa.array(of, pa.int64())) for k in range(len(carry))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"]
+                    [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary()), *carried], names=["doc_id", "piece", "start", "length", "ids", *carry]
                 )
                 lo = hi
         # an idle worker keeps the common words only
@@ -141,7 +142,9 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
         release_memory()
 
     durable.bounded_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
+    schema = T.StructType.fromDDL("doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(run, T.StructType([*schema.fields, *rows.schema.fields[2:]]))
 
 
 class CapacityTree:

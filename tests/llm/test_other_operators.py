@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -171,6 +172,27 @@ def test_pipeline_stages(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
 
 
+def test_pipeline_packs_whole_sequences(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    rows = [(1, "one two three"), (1, "one two three"), (2, "word " * 5000), (2, "word " * 5000), (None, "nobody"), (None, "no one"), (3, None), (4, "")]
+    got = corpus_pipeline.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    encode = Tokenizer.from_file(queries.tokenizer_path()).encode
+    # each row's ids, in order, by its copy
+    texts = {}
+    for r in sorted(got, key=lambda r: (r.copy, r.piece)):
+        assert r.ids_crc32 == zlib.crc32(r.ids) and r.start == len(texts.get((r.doc_id, r.copy), ()))
+        texts.setdefault((r.doc_id, r.copy), []).extend(np.frombuffer(r.ids, np.uint32).tolist())
+    want = [(i, [*(encode(t or "", add_special_tokens=False).ids), 0]) for i, t in rows]
+    assert sorted(map(str, ((i, t) for (i, _), t in texts.items()))) == sorted(map(str, want))
+    # and each sequence is built from the ids of its pieces
+    sequences = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == len(sequences.setdefault(r.sequence_id, []))
+        sequences[r.sequence_id] += np.frombuffer(r.ids, np.uint32).tolist()
+    assert max(map(len, sequences.values())) <= 2048 and sum(map(len, sequences.values())) == sum(len(t) for _, t in want)
+
+
 def test_samples_are_bounded_and_fixed(spark):
     df = spark.range(20_000)
     one = {r.id for r in sampling.hash_share(df, F.col("id"), 1000).collect()}
