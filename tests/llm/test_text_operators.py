@@ -268,6 +268,28 @@ def test_passages_finds_planted_and_fuzzy(spark):
     assert passages.repeated_passages(docs(spark, [])).count() == 0
 
 
+def test_passages_with_evenly_spaced_edits(spark):
+    rng = random.Random(4)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k, (period, size) in enumerate([(5, 54), (5, 200), (6, 60), (8, 60), (10, 60), (12, 100)] * 2):
+        own = fresh(size)
+        edited = [w if i % period != period - 1 else f"e{i}" for i, w in enumerate(own)]
+        rows += [(2 * k, " ".join(fresh(30) + own + fresh(30))), (2 * k + 1, " ".join(fresh(70) + edited + fresh(10)))]
+        # brute force on the diagonal of the plant: all but an edit at the end
+        want[2 * k + 1] = (2 * k, 70, 70 + size - (size % period == 0))
+    # texts that end with a block of words
+    own = fresh(2 * passages.WORDS_BLOCK)
+    rows += [(90, " ".join(own)), (91, " ".join(own))]
+    want[91] = (90, 0, len(own))
+    # agreement of 3 words in 4 without a short seed beyond the margin on both sides of an exact part, longer than the first margin
+    own = fresh(3000)
+    edited = [w if 1400 <= i < 1600 or i % 4 != 3 else f"e{i}" for i, w in enumerate(own)]
+    rows += [(100, " ".join(own)), (101, " ".join(fresh(40) + edited))]
+    got = {r.doc_id: (r.ref_id, r.start_word, r.end_word) for r in passages.repeated_passages(docs(spark, rows), least_similarity=0.75).collect()}
+    assert got == want | {101: (100, 40, 3039)}
+
+
 def test_chaining_matches_quadratic_search():
     rng = np.random.default_rng(3)
     for _ in range(40):
