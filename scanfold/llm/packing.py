@@ -1,104 +1,28 @@
 """Packing of tokenised documents into sequences of bounded length by best-fit decreasing.
 
-Documents are tokenised where they lie and cut into pieces; only piece lengths need be shuffled. Pieces are dealt evenly over shards of about SHARD_DOCS documents by a hash
-of their key, so a very long document or a hot source is spread too, and each shard places its pieces, longest first,
-into the tightest open sequence that a segment tree over remaining capacities finds in logarithmic time.
+Documents are tokenised where they lie and cut into pieces; only piece lengths need be shuffled. Pieces are dealt evenly
+over shards of about SHARD_PIECES by a hash of their row and number, so a very long document, a hot source or an id on
+many rows is spread too, and each shard places its pieces, longest first, into the tightest open sequence that a segment
+tree over remaining capacities finds in logarithmic time.
 """
 
 from __future__ import annotations
 
-import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import durable
 from .hashing import release_memory
+from .tokens import WordEncoder, encoded
 
-#: Documents of a shard; a shard leaves a handful of sequences unfilled.
-SHARD_DOCS = 20_000
-#: Words whose ids a worker keeps; beyond that it keeps those of the texts at hand.
-CACHE_WORDS = 250_000
-
-_CORE = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)", re.UNICODE)
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -​    　﻿]")
-
-
-class WordEncoder:
-    """Token ids of whole texts, by ids of their space-separated words where the tokenizer splits there.
-
-    ``word_bpe`` tokenizers never join across white space, so a text's ids are those of its words one after another.
-    Letters and a following run of punctuation are words of their own for them too. Texts with unusual white space go
-    to the tokenizer whole.
-    """
-
-    def __init__(self, tokenizer_path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.ids: dict[str, bytes] = {}
-        self.last: set[str] = set()
-
-    def shrink(self) -> None:
-        """Forget all words but those of the last texts."""
-        self.ids = {w: self.ids[w] for w in self.last if w in self.ids}
-        self.last = set()
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _letters(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 4000):
-            part = words[lo : lo + 4000]
-            enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            of = np.asarray(enc.word_ids, np.int64)
-            ids = np.asarray(enc.ids, np.uint32)
-            cut = np.searchsorted(of, np.arange(len(part) + 1))
-            if len(of) and (of[-1] != len(part) - 1 or (np.diff(cut) == 0).any()):
-                self.ids.update((w, self._whole(w)) for w in part)
-            else:
-                self.ids.update((w, ids[cut[i] : cut[i + 1]].tobytes()) for i, w in enumerate(part))
-
-    def _learn(self, words: set[str]) -> None:
-        known = self.ids
-        split, letters, odd = [], set(), []
-        for w in words:
-            m = _CORE.fullmatch(w)
-            if m and max(w) < "ɐ":
-                low = m[1].lower()
-                split.append((w, low, m[2]))
-                if low not in known:
-                    letters.add(low)
-                if m[2] and m[2] not in known:
-                    known[m[2]] = self._whole(m[2])
-            else:
-                odd.append(w)
-        self._letters(sorted(letters))
-        for w, low, tail in split:
-            known[w] = known[low] + known[tail] if tail else known[low]
-        for w in odd:
-            known[w] = self._whole(w)
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        plain = [None if t is None or _ODD_SPACE.search(t) or "<|" in t else t.split() for t in texts]
-        words = self.last = set(chain.from_iterable(p for p in plain if p is not None))
-        if len(self.ids) > CACHE_WORDS:
-            self.ids = {w: self.ids[w] for w in words if w in self.ids}
-        missing = words - self.ids.keys()
-        if missing:
-            self._learn(missing)
-        get = self.ids.__getitem__
-        return [b"".join(map(get, p)) if p is not None else self._whole(t) if t is not None else b"" for p, t in zip(plain, texts, strict=True)]
-
+#: Pieces of a shard; a shard leaves a handful of sequences unfilled.
+SHARD_PIECES = 25_000
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -115,35 +39,27 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id"
     ids is binary, little-endian unsigned 32-bit. A null or empty text has the one id ``end_id``. Null ids and repeated
     rows are ordinary rows. Each piece also has its row's columns ``carry``; other columns are not read.
     """
-    tail = np.uint32(end_id).tobytes()
+    schema = T.StructType.fromDDL("doc_id long, piece int, start long, length long, ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(tokenizer_path)
         for batch in batches:
-            lo = 0
-            sizes = np.asarray(pc.binary_length(batch.column(1)).fill_null(0))
-            ends = np.cumsum(sizes)
-            while lo < len(batch):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + (1 << 20), "right")))
-                ids, piece, start, length, out, of = [], [], [], [], [], []
-                keys = batch.column(0).slice(lo, hi - lo).to_pylist()
-                for row, (key, raw) in enumerate(zip(keys, enc.encode(batch.column(1).slice(lo, hi - lo).to_pylist()), strict=True), lo):
-                    raw += tail
-                    for p, at in enumerate(range(0, len(raw), 4 * max_len)):
-                        part = raw[at : at + 4 * max_len]
-                        ids.append(key), piece.append(p), start.append(at // 4), length.append(len(part) // 4), out.append(part), of.append(row)
-                carried = [batch.column(2 + k).take(pa.array(of, pa.int64())) for k in range(len(carry))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(out, pa.binary()), *carried], names=["doc_id", "piece", "start", "length", "ids", *carry]
-                )
-                lo = hi
-        # an idle worker keeps the common words only
-        enc.shrink()
+            for lo, _, ids, bounds in encoded(enc, batch.column(1), end_id):
+                size = np.diff(bounds)
+                pieces = -(-size // max_len)
+                row = np.repeat(np.arange(len(size)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * max_len
+                at = bounds[row] + start
+                cut = pa.py_buffer((np.append(at, bounds[-1]) * 4).astype(np.int32))
+                flat = pa.Array.from_buffers(pa.binary(), len(row), [None, cut, pa.py_buffer(ids)])
+                of = pa.array(lo + row)
+                fixed = [pa.array(piece.astype(np.int32)), pa.array(start), pa.array(np.minimum(size[row] - start, max_len)), flat]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), *fixed, *(batch.column(2 + k).take(of) for k in range(len(carry)))], names=[*schema.names, *carry])
         release_memory()
 
     durable.bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    schema = T.StructType.fromDDL("doc_id long, piece int, start long, length long, ids binary")
     return rows.mapInArrow(run, T.StructType([*schema.fields, *rows.schema.fields[2:]]))
 
 
@@ -199,14 +115,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def place_pieces(pieces: DataFrame, shards: int, max_len: int = 2048) -> DataFrame:
+def place_pieces(pieces: DataFrame, shards: int, max_len: int = 2048, row_col: str | None = None) -> DataFrame:
     """``pieces`` (doc_id, piece, start, length and any other columns) with sequence_id and offset.
 
     sequence_id is unique over all shards; offsets of a sequence are gapless from 0. Order within a shard is by
-    descending length, then doc_id, piece and start, so reruns agree. A null doc_id sorts last.
+    descending length, then doc_id, piece and start, so reruns agree. A null doc_id sorts last. ``row_col`` is a
+    column, left out of the result, that tells rows of equal or null doc_id apart, so that they are spread over shards.
     """
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    names = [f.name for f in pieces.schema]
+    names = [c for c in pieces.columns if c != row_col]
+    schema = T.StructType([*(f for f in pieces.schema.fields if f.name != row_col), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
@@ -214,9 +131,10 @@ def place_pieces(pieces: DataFrame, shards: int, max_len: int = 2048) -> DataFra
         pdf["sequence_id"], pdf["offset"] = bins * shards + int(key[0]), offsets
         return pdf[[*names, "sequence_id", "offset"]]
 
-    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece"), F.lit(shards)).cast("int")
+    key = [F.col(row_col)] if row_col else []
+    shard = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "piece", *key), F.lit(shards)).cast("int")
     return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(pack, schema)
 
 
-def shard_count(docs: DataFrame, shard_docs: int = SHARD_DOCS) -> int:
-    return max(1, -(-docs.count() // shard_docs))
+def shard_count(pieces: DataFrame, shard_pieces: int = SHARD_PIECES) -> int:
+    return max(1, -(-pieces.count() // shard_pieces))

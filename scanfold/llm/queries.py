@@ -36,10 +36,10 @@ def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = packing.tokenize_pieces(docs, tokenizer_path())
-    light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return packing.place_pieces(light, packing.shard_count(docs))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    pieces = packing.tokenize_pieces(docs, tokenizer_path(), carry=("row",))
+    light = durable.write(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "row"), "pieces")
+    return packing.place_pieces(light, packing.shard_count(light), row_col="row")
 
 
 def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:

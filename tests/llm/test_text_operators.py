@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scanfold.llm import fingerprint, minhash, mixing, packing, passages, pii, quality, queries
+from scanfold.llm import fingerprint, minhash, mixing, packing, passages, pii, quality, queries, tokens
 
 WORD = r"[^\x20\x09-\x0D]+"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -122,6 +122,38 @@ def test_bit_counts_estimate_similarity():
     assert same >= minhash.least_matches(0.8)
 
 
+def test_word_encoder_matches_the_tokenizer(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    encode = Tokenizer.from_file(path).encode
+    rng = np.random.default_rng(11)
+    signs = [*"aAbBéÉß'<|>  \t\n\r\x0b\x0c\x1c\x85\xa0.,!?-0123٣Ⅷ×÷ª€漢字русский\u0301\u0301İİıſƏɐ\u2028\u3000\x00\x7f", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "abcdefghijklmnopqrstuvwxyz", "ﬁ", "🙂"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(4000)] + [None, "", " ", "\n\n", "x" * 5000, "x" * 5000, "word " * 3000]
+    one = tokens.WordEncoder(path)
+    for limit, rounds in ((tokens.CACHE_WORDS, 2), (50, 1)):  # words kept, and forgotten at every pass
+        monkeypatch.setattr(tokens, "CACHE_WORDS", limit)
+        monkeypatch.setattr(tokens, "PASS_BYTES", 10_000)
+        for _ in range(rounds):
+            for lo, hi, ids, bounds in tokens.encoded(one, pa.array(texts), 0):
+                for k, t in enumerate(texts[lo:hi]):
+                    assert ids[bounds[k] : bounds[k + 1]].tolist() == [*encode(t or "", add_special_tokens=False).ids, 0]
+
+
+def test_words_with_one_key_are_told_apart(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    encode = Tokenizer.from_file(path).encode
+    monkeypatch.setattr(tokens, "mix64", lambda x: np.zeros_like(x))
+    one = tokens.WordEncoder(path)
+    for text in ("one two three two one", "three four five one"):
+        (_, _, ids, _), *_ = tokens.encoded(one, pa.array([text]), 0)
+        assert ids.tolist() == [*encode(text, add_special_tokens=False).ids, 0]
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
