@@ -1,22 +1,26 @@
 """Near-duplicate vectors by NN-descent, run as Spark jobs over tables of neighbours.
 
 1. Vectors are normalised in double precision; equal unit vectors become one class.
-2. A first neighbour graph comes from random hyperplane trees: the vectors of a leaf are compared by matrix products
-   and each keeps its nearest. Leaves too large for one product are cut by further hyperplanes, and what those do not
-   cut into parts by a hash that differs from tree to tree. Each product also gives its bridges: links that join all
-   that its links connect, so vectors whose nearest are all of their own group keep their way to other groups.
-3. Rounds of NN-descent join neighbours (and reverse neighbours) of neighbours; a list keeps its k nearest. A list that
-   is saturated, its last neighbour above the threshold, is enlarged, up to NEAREST << ROUNDS; bridges are never cut.
-4. A sample of vectors, fixed by hash, is compared with all others in blocks. While it finds links that the graph lacks,
-   more trees are grown and descent goes on. If the last forest still lacks one, all vectors are compared by blocks.
-5. Edges above the threshold are kept. Groups that they connect are closed: all members of a component are compared by
+2. A start graph comes from a few random hyperplane trees, whatever the table's size: the vectors of a leaf are compared
+   by matrix products and each keeps its nearest. Leaves too large for one product are cut by further hyperplanes, and
+   what those do not cut into parts by a hash that differs from tree to tree. Each product also gives its bridges: links
+   that join all that its links connect, so vectors whose nearest are all of their own group keep their way to others.
+3. Rounds of NN-descent join neighbours (and reverse neighbours) of neighbours until few lists change; a list keeps its
+   k nearest. A list that is saturated, its last neighbour above the threshold, is enlarged; bridges are never cut.
+4. Edges above the threshold are kept. Groups that they connect are closed: all members of a component are compared by
    blocks, which counts links within a group of any size without a list as long as the group.
+5. A sample of vectors, fixed by hash and enlarged until it has AUDIT_LINKS links, is compared with all others in blocks.
+   While less than RECALL of its links lie within components, more trees are grown and descent goes on from all edges
+   known. If the last forest still fails, all vectors of a table of at most WHOLE_MOST are compared by blocks, and a
+   larger one is an error. The figures are logged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +37,29 @@ LEAF_MOST = 1024
 #: Nearest that a leaf gives to each vector, and length of a list at first.
 LEAF_NEAREST = 4
 NEAREST = 8
-ROUNDS = 4
+#: Trees of the start graph; each further forest has twice as many as the one before.
+TREES = 4
+FORESTS = 4
+#: Rounds of descent at most, and times that saturated lists are doubled: the closure finds the links of longer ones.
+ROUNDS = 12
+DOUBLED = 4
 #: Share of lists that must have changed for another round.
 CHANGED = 0.01
-#: Reverse neighbours joined at a time.
+#: Reverse neighbours joined at a time, and edges that a join of vectors gives for its saturated lists.
 REVERSE = 256
-#: Share of pairs at the threshold that a forest may miss; vectors of the audit; forests grown at most.
-MISS = 1e-4
+GIVEN = 8192
+#: Least share of the audit's links within components; links that the audit has, vectors it takes at first and at most.
+RECALL = 0.999
+AUDIT_LINKS = 1000
 AUDIT = 1024
-FORESTS = 3
-BLOCK = 512
-#: Vectors of a block where all are compared with all.
-WHOLE_BLOCK = 2048
+AUDIT_MOST = 16_384
+#: Vectors of a block where a component, or the whole table, is compared, and of a table that is compared whole.
+BLOCK = 2048
+WHOLE_MOST = 1_000_000
 #: Single-precision products are this close to double ones.
 MARGIN = 1e-4
 _CODE_BITS = 40
+LOG = logging.getLogger(__name__)
 _EDGE = "a long, b long, sim double, bridge boolean"
 
 
@@ -108,8 +120,9 @@ def _spanning(ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(a), np.concatenate(b)
 
 
-def _nearest(k: int, threshold: float):
-    """The k nearest others of each vector of a group, and the group's bridges."""
+def _nearest(k: int, threshold: float, longest: int = 0):
+    """The k nearest others of each vector of a group, more of them, up to ``longest`` and GIVEN of the whole group,
+    while they are links, and the group's bridges."""
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         n = len(table)
@@ -118,10 +131,14 @@ def _nearest(k: int, threshold: float):
         ids, v = table.column("rep").to_numpy(), _matrix(table.column("unit"), np.float32)
         s = v @ v.T
         s[ids[:, None] == ids[None, :]] = -2
-        m = min(k, n - 1)
+        m = min(n - 1, max(k, min(longest, GIVEN // n)))
         top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < n - 1 else np.argsort(-s, axis=1)[:, :m]
-        a, b, sim = np.repeat(ids, m), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()
-        ok = sim > -2
+        near = np.take_along_axis(s, top, axis=1)
+        if m > k:
+            order = np.argsort(-near, axis=1, kind="stable")
+            top, near = np.take_along_axis(top, order, axis=1), np.take_along_axis(near, order, axis=1)
+        a, b, sim = np.repeat(ids, m), ids[top].ravel(), near.ravel()
+        ok = (sim > -2) & ((np.tile(np.arange(m), n) < k) | (sim >= threshold - MARGIN))
         x, y = _spanning(s >= threshold - MARGIN)
         a, b, sim = np.concatenate((a[ok], ids[x])), np.concatenate((b[ok], ids[y])), np.concatenate((sim[ok], s[x, y]))
         bridge = np.arange(len(a)) >= len(a) - len(x)
@@ -130,24 +147,27 @@ def _nearest(k: int, threshold: float):
     return run
 
 
+def _longest(stage: int) -> int:
+    return NEAREST << min(stage, DOUBLED)
+
+
 def _lists(edges: DataFrame, threshold: float, stage: int) -> DataFrame:
-    """The nearest of each vector: NEAREST of them, or 2 ** stage times as many as long as they are links.
+    """The nearest of each vector: NEAREST of them, or 2 ** stage times as many (DOUBLED at most) while they are links.
 
     Bridges stay, ``near`` or not; ``full`` marks the last place of a list that is saturated.
     """
     e = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("bridge").alias("bridge"))
     e = e.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b")))
     link = F.col("sim") >= threshold - MARGIN
-    near = (F.col("nth") <= NEAREST) | ((F.col("nth") <= NEAREST << stage) & link)
-    full = (F.col("nth") == NEAREST << stage) & link
+    longest = _longest(stage)
+    near = (F.col("nth") <= NEAREST) | ((F.col("nth") <= longest) & link)
+    full = (F.col("nth") == longest) & link
     return e.withColumns({"near": near, "full": full}).where("near or bridge").select("a", "b", "sim", "bridge", "near", "full")
 
 
-def _forest(vectors: DataFrame, n: int, dim: int, threshold: float, seed: int) -> DataFrame:
+def _forest(vectors: DataFrame, n: int, dim: int, threshold: float, seed: int, trees: int) -> DataFrame:
     """Edges (a, b, sim, bridge) within the leaves of random hyperplane trees."""
     bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
-    same = (1 - math.acos(threshold) / math.pi) ** bits
-    trees = max(4, math.ceil(math.log(MISS) / math.log(1 - same))) if same < 1 else 1
     rows = durable.write(vectors.select("rep", "unit").mapInArrow(_codes(trees, dim, seed), "rep long, unit binary, codes array<long>"), "codes")
     mask = (1 << bits) - 1
 
@@ -169,7 +189,7 @@ def _forest(vectors: DataFrame, n: int, dim: int, threshold: float, seed: int) -
     return by_group(placed.withColumn("tree", F.col("tree").cast("long")), ["tree", "leaf", "sub", "part"], [], _nearest(LEAF_NEAREST, threshold), _EDGE)
 
 
-def _descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+def _descend(lists: DataFrame, vectors: DataFrame, threshold: float, stage: int) -> DataFrame:
     """Edges between neighbours, and reverse neighbours, of the same vector, itself included."""
     lists = lists.where("near")
     ends = lists.select(F.col("b").alias("via"), F.col("a").alias("rep")).unionAll(lists.select(F.col("a").alias("via"), F.col("b").alias("rep")))
@@ -177,7 +197,7 @@ def _descend(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
     degree = ends.groupBy("via").agg(F.ceil(F.count("*") / REVERSE).alias("parts"))
     ends = ends.join(degree, "via").withColumn("part", F.pmod(F.xxhash64("rep", "via"), F.col("parts"))).select("via", "part", "rep")
     own = ends.select("via", "part", F.col("via").alias("rep")).distinct()
-    return by_group(ends.unionAll(own).join(vectors.select("rep", "unit"), "rep"), ["via", "part"], [], _nearest(NEAREST // 2, threshold), _EDGE)
+    return by_group(ends.unionAll(own).join(vectors.select("rep", "unit"), "rep"), ["via", "part"], [], _nearest(NEAREST // 2, threshold, _longest(stage)), _EDGE)
 
 
 def _in_blocks(members: DataFrame, block: int) -> DataFrame:
@@ -198,12 +218,21 @@ def _closed(threshold: float):
         if not len(left) or not len(right):
             return
         a, b = left.column("rep").to_numpy(), right.column("rep").to_numpy()
-        ok = _matrix(left.column("unit")) @ _matrix(right.column("unit")).T >= threshold
-        if same:
-            np.fill_diagonal(ok, False)
-        rows = {"rep": [a], "links": [ok @ right.column("copies").to_numpy()], "to": [np.full(len(a), -1)]}
+        u, v = _matrix(left.column("unit")), _matrix(right.column("unit"))
+        ok = np.empty((len(a), len(b)), bool)
+        links = [np.zeros(len(a)), np.zeros(len(b))]
+        weights = [x.column("copies").to_numpy().astype(np.float64) for x in (left, right)]
+        for lo in range(0, len(a), 512):
+            near = u[lo : lo + 512] @ v.T >= threshold
+            if same:
+                near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+            ok[lo : lo + 512] = near
+            near = near.astype(np.float64)
+            links[0][lo : lo + 512] = near @ weights[1]
+            links[1] += weights[0][lo : lo + 512] @ near
+        rows = {"rep": [a], "links": [links[0]], "to": [np.full(len(a), -1)]}
         if not same:
-            rows["rep"].append(b), rows["links"].append(left.column("copies").to_numpy() @ ok), rows["to"].append(np.full(len(b), -1))
+            rows["rep"].append(b), rows["links"].append(links[1]), rows["to"].append(np.full(len(b), -1))
         x = np.arange(len(a))
         y = x.copy() if same else np.arange(len(a), len(a) + len(b))
         joined = []
@@ -227,15 +256,31 @@ def _closed(threshold: float):
     return run
 
 
-def _audit(sample: list[tuple[int, bytes, int]], threshold: float):
+@dataclass(frozen=True)
+class Audit:
+    """Links of a sample of vectors: all of them, those in the vectors' lists, and those within components."""
+
+    vectors: int
+    links: int
+    listed: int
+    found: int
+
+    @property
+    def recall(self) -> float:
+        return self.found / self.links if self.links else 1.0
+
+
+def _compared(sample: list[tuple[int, bytes, int]], threshold: float):
+    """Links of the sample's vectors with all, how many of them lie within a component, and those that do as edges."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.array([s[0] for s in sample])
         v = np.frombuffer(b"".join(s[1] for s in sample), np.float64).reshape(len(sample), -1)
         comp = np.array([s[2] for s in sample])
         true = found = 0
         for batch in batches:
-            for lo in range(0, len(batch), 4096):
-                part = batch.slice(lo, 4096)
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
                 ok = (_matrix(part.column(1)) @ v.T >= threshold) & (part.column(0).to_numpy()[:, None] != ids[None, :])
                 true += int(ok.sum())
                 found += int((ok & (part.column(2).to_numpy()[:, None] == comp[None, :])).sum())
@@ -244,6 +289,48 @@ def _audit(sample: list[tuple[int, bytes, int]], threshold: float):
     return run
 
 
+def audit(lists: DataFrame, labelled: DataFrame, n: int, threshold: float, seed: int) -> Audit:
+    """Recall of the links of some of the ``n`` vectors of ``labelled`` (rep, unit, component) against brute force.
+
+    The sample, AUDIT_MOST vectors at most, is doubled until it has AUDIT_LINKS links or is the whole table.
+    """
+    take = AUDIT
+    labelled = labelled.select("rep", "unit", "component")
+    while True:
+        sample = [(r.rep, bytes(r.unit), r.component) for r in labelled.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(take).collect()]
+        true, found = labelled.mapInArrow(_compared(sample, threshold), "true long, found long").agg(F.sum("true"), F.sum("found")).first()
+        if true >= AUDIT_LINKS or take >= min(n, AUDIT_MOST):
+            break
+        take = min(take * 4, AUDIT_MOST)
+    ids = lists.sparkSession.createDataFrame([(s[0],) for s in sample], "a long")
+    listed = lists.where(F.col("sim") >= threshold).join(F.broadcast(ids), "a").count()
+    return Audit(len(sample), true, listed, found)
+
+
+def neighbour_lists(classes: DataFrame, n: int, dim: int, threshold: float, seed: int, trees: int, known: DataFrame | None) -> DataFrame:
+    """Neighbour lists (a, b, sim, bridge, near, full) of ``n`` unit vectors: a start graph of ``trees`` trees and the
+    ``known`` lists, refined by descent until few lists change and none can be enlarged."""
+    edges = _forest(classes, n, dim, threshold, seed, trees)
+    edges = edges if known is None else edges.unionAll(known.select(*edges.columns))
+    lists = durable.write(_lists(edges, threshold, 0), "lists")
+    for stage in range(1, ROUNDS + 1):
+        wider = _descend(lists, classes, threshold, stage)
+        wider = durable.write(_lists(wider.unionAll(lists.select(*wider.columns)), threshold, stage), "lists")
+        changed = wider.where("near").join(lists.where("near"), ["a", "b"], "left_anti").select("a").distinct().count()
+        durable.delete(lists)
+        lists = wider
+        if changed <= CHANGED * n and (stage >= DOUBLED or wider.where("full").isEmpty()):
+            break
+    return lists
+
+
+def _one_group(classes: DataFrame, n: int, checked: Audit) -> DataFrame:
+    if n > WHOLE_MOST:
+        raise RuntimeError(f"descent does not reach a recall of {RECALL}: {checked}")
+    return classes.withColumn("hub", F.lit(0).cast("long"))
+
+
+@durable.leaves_only("linked-vectors")
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, seed: int = 5) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row, for links at a cosine of at least ``threshold``.
 
@@ -262,30 +349,19 @@ def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = classes.count()
     linked = None
     if n > 1:
-        lists, comp = None, None
+        lists = None
         for grown in range(FORESTS):
-            edges = _forest(classes, n, dim, threshold, seed + grown)
-            edges = edges if lists is None else edges.unionAll(lists.select(*edges.columns))
-            lists = durable.write(_lists(edges, threshold, 0), "lists")
-            for stage in range(1, ROUNDS + 1):
-                wider = _descend(lists, classes, threshold)
-                wider = durable.write(_lists(wider.unionAll(lists.select(*wider.columns)), threshold, stage), "lists")
-                changed = wider.where("near").join(lists.where("near"), ["a", "b"], "left_anti").select("a").distinct().count()
-                durable.delete(lists)
-                lists = wider
-                if changed <= CHANGED * n and wider.where("full").isEmpty():
-                    break
+            lists = neighbour_lists(classes, n, dim, threshold, seed + grown, TREES << grown, lists)
             comp = durable.write(connected_components(lists.where(F.col("sim") >= threshold - MARGIN)), "labels")
-            labelled = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "unit", F.coalesce("component", "rep").alias("component"))
-            # AUDIT rows at most
-            sample = [(r.rep, bytes(r.unit), r.component) for r in labelled.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(AUDIT).collect()]
-            true, found = labelled.mapInArrow(_audit(sample, threshold), "true long, found long").agg(F.sum("true"), F.sum("found")).first()
-            if found == true:
-                members, block = comp.select(F.col("component").alias("hub"), F.col("node").alias("rep")).join(classes, "rep"), BLOCK
+            labelled = durable.write(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "unit", F.coalesce("component", "rep").alias("component")), "labelled")
+            checked = audit(lists, labelled, n, threshold, seed)
+            LOG.info("op2 audit after forest %d: %s, recall %.5f", grown + 1, checked, checked.recall)
+            if checked.recall >= RECALL:
+                members = comp.select(F.col("component").alias("hub"), F.col("node").alias("rep")).join(classes, "rep")
                 break
         else:
-            members, block = classes.withColumn("hub", F.lit(0).cast("long")), WHOLE_BLOCK
-        closed = durable.write(by_group(_in_blocks(members, block), ["hub", "i", "j"], ["side"], _closed(threshold), "rep long, links long, to long"), "closed")
+            members = _one_group(classes, n, checked)
+        closed = durable.write(by_group(_in_blocks(members, BLOCK), ["hub", "i", "j"], ["side"], _closed(threshold), "rep long, links long, to long"), "closed")
         counts = closed.where("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
         roots = connected_components(closed.where("to is not null"), "rep", "to")
         linked = counts.join(roots.withColumnRenamed("node", "rep"), "rep", "left")

@@ -75,12 +75,9 @@ def _tight_groups(spark):
 
 def test_vectors_keep_links_between_tight_groups(spark, monkeypatch):
     rows, table = _tight_groups(spark)
-    whole = []
-    blocks = neighbours._in_blocks
-    monkeypatch.setattr(neighbours, "_in_blocks", lambda m, block: whole.append(block == neighbours.WHOLE_BLOCK) or blocks(m, block))
+    monkeypatch.setattr(neighbours, "_one_group", None)  # the audit passes
     got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.similar_vectors(table).collect()}
     assert got == _brute(rows) and got[0] == (39, 0)
-    assert whole == [False]
 
 
 def test_vectors_are_all_compared_when_the_audit_fails(spark, monkeypatch):
@@ -88,9 +85,40 @@ def test_vectors_are_all_compared_when_the_audit_fails(spark, monkeypatch):
     none = np.zeros(0, np.int64)
     monkeypatch.setattr(neighbours, "_spanning", lambda ok: (none, none))
     monkeypatch.setattr(neighbours, "FORESTS", 1)
-    monkeypatch.setattr(neighbours, "WHOLE_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "BLOCK", 16)
     got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.similar_vectors(table).collect()}
     assert got == _brute(rows)
+    monkeypatch.setattr(neighbours, "WHOLE_MOST", 50)
+    with pytest.raises(RuntimeError, match="recall"):
+        neighbours.similar_vectors(table)
+
+
+def test_descent_finds_what_the_start_graph_lacks(spark, monkeypatch):
+    """2,000 vectors with planted groups: two trees find part of the links, descent from them nearly all."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in [1] * 1100 + [2] * 200 + [5] * 60 + [30] * 6:
+        centre = rng.standard_normal(32)
+        rows += [(centre + rng.standard_normal(32) * 0.1 * (size > 1)).tolist() for _ in range(size)]
+    x = np.array(rows)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = int((x @ x.T >= 0.95).sum()) - len(x)
+    classes = spark.createDataFrame([(i, v.tobytes(), 1) for i, v in enumerate(x)], "rep long, unit binary, copies long")
+
+    def listed():
+        lists = neighbours.neighbour_lists(classes, len(x), 32, 0.95, 1, 2, None)
+        checked = neighbours.audit(lists, classes.withColumn("component", F.lit(0)), len(x), 0.95, 1)
+        assert checked.vectors == 1024 and checked.links == checked.found
+        return lists.where("sim >= 0.95").count() / true
+
+    monkeypatch.setattr(neighbours, "LEAF", 64)
+    whole = listed()
+    monkeypatch.setattr(neighbours, "ROUNDS", 0)
+    assert listed() < 0.6 < 0.99 < whole
+    monkeypatch.undo()
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in neighbours.similar_vectors(table).collect()}
+    assert [got[i] for i in range(len(x))] == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist()
 
 
 def test_vectors_edge_cases(spark):
