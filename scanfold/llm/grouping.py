@@ -7,17 +7,38 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .hashing import release_memory
 
+#: Rows of a batch that is gathered from tuples.
+GATHERED = 4096
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, heavy: bool = False) -> DataFrame:
     """``fn`` over each group of equal, non-null integer ``keys``, its rows sorted by ``order``.
 
     Like a grouped map, but without a cost of its own for each of very many small groups; a task holds one group.
+    ``heavy`` keeps all shuffle partitions apart where a group's work is out of proportion to its bytes. ``fn`` may also
+    yield tuples, which are gathered into batches of the ``schema``.
     """
+    names, kinds = zip(*((f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(schema)), strict=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gathered(parts: Iterator) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for part in parts:
+            if not isinstance(part, tuple):
+                yield part
+                continue
+            rows.append(part)
+            if len(rows) >= GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator:
         held: list[pa.RecordBatch] = []
         last = None
         for batch in batches:
@@ -41,6 +62,10 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.
             last = tuple(int(c[-1]) for c in cols)
         if held:
             yield from fn(pa.Table.from_batches(held))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(groups(batches))
         release_memory()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    number = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if heavy else []
+    return df.repartition(*number, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
