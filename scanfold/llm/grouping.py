@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -69,3 +70,20 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.
 
     number = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if heavy else []
     return df.repartition(*number, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+#: A key of more than this share of all rows, and of more than so many, is joined by broadcast.
+HOT_SHARE = 1 / 1000
+HOT_ROWS = 1000
+
+
+def join_by_size(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has one row a ``key`` and the ``size`` of the key among the ``total`` rows.
+
+    Keys of over HOT_SHARE of all rows, of which there are at most 1 / HOT_SHARE, are broadcast, so that no task gets
+    all rows of such a key; the others are shuffled.
+    """
+    hot = F.col(size) > max(HOT_ROWS, int(total * HOT_SHARE))
+    some = F.broadcast(keyed.where(hot))
+    rest = rows.join(some.select(key), key, "left_anti").join(keyed.where(~hot), key)
+    return rows.join(some, key).unionByName(rest)

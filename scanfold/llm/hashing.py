@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,6 +25,9 @@ _BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
 _P = int(_RNG.integers(1 << 61, 1 << 62)) * 4 + 3
 _P_INV = pow(_P, -1, 1 << 64)
 _LANE = _RNG.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Words of more bytes are hashed by a digest: long patterned words collide in a polynomial modulo a power of two.
+LONG_WORD = 64
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -116,6 +120,8 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     total[0] = 0
     np.cumsum(_BYTE[part] * _Powers.up[: len(part)], out=total[1:])
     h = mix64((total[end] - total[start]) * _Powers.down[start] + (end - start).astype(np.uint64) * _LANE[63])
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(part[start[i] : end[i]].tobytes().translate(_FOLD), digest_size=8).digest(), "little")
     return Words(part, start, end, h, np.searchsorted(start, edge).astype(np.int64), edge)
 
 

@@ -6,12 +6,12 @@ Sets are sets of 64-bit hashes of shingles; two shingles of one pair of document
    bucket keys; the low two bits of all minima are packed into four longs.
 2. Documents with equal shingle sets become one class, so that exact copies cost one row from then on.
 3. Each bucket is named by its least class, its hub, and all classes of a hub's buckets form a cluster, so two classes
-   that share a bucket share a cluster. Clusters are cut into blocks; pairs of blocks are compared by collision-corrected
-   similarity from bit counts of the packed signatures, and a class that is near no other drops out.
-4. What is left is confirmed on full shingle sets, again block by block, and a block returns no more links than join
-   its classes into components. First each class is checked in its least cluster only, which settles most of them;
-   then clusters that still hold several components are checked between components. So no link between classes that
-   share a bucket is lost, and no group is expanded into all its pairs.
+   that share a bucket share a cluster. Each class is compared with its hub only, by collision-corrected similarity
+   from bit counts of the packed signatures, then on full shingle sets: that is linear and settles most clusters.
+4. In clusters that still hold several components, the classes outside the cluster's largest component are compared
+   with all others, block by block, again by signatures first; full sets are read only for classes whose signatures
+   are near some class of another component. A block returns no more links than join its classes into components. So
+   no link between classes that share a bucket is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from . import durable
 from .components import connected_components
-from .grouping import by_group
+from .grouping import by_group, join_by_size
 from .hashing import distinct_sets, hash_words, mix64, release_memory, shingle_hashes, slices, text_buffers
 
 PERMUTATIONS = 128
@@ -157,14 +157,14 @@ def _near(left: pa.Table, right: pa.Table, floor: int, threshold: float) -> np.n
 
 
 def _marked(threshold: float):
-    """Classes of a pair of blocks that are near some other class of it."""
+    """Classes of a pair of blocks that are near some class of another component in it."""
     floor = least_matches(threshold)
 
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         left, right = _side(table, 0), _side(table, 1)
         if not len(left) or not len(right) or (len(left) == 1 and len(right) == 1 and left.column("rep")[0] == right.column("rep")[0]):
             return
-        ok = _near(left, right, floor, threshold)
+        ok = _near(left, right, floor, threshold) & (left.column("comp").to_numpy()[:, None] != right.column("comp").to_numpy()[None, :])
         reps = np.union1d(left.column("rep").to_numpy()[ok.any(axis=1)], right.column("rep").to_numpy()[ok.any(axis=0)])
         if len(reps):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(reps), table.column("hub")[0].as_py())), pa.array(reps)], names=["hub", "rep"])
@@ -234,15 +234,17 @@ def _linked(threshold: float, num: int, den: int):
     return run
 
 
-def _in_blocks(members: DataFrame) -> DataFrame:
-    """Rows of (hub, rep, ...) dealt to pairs i <= j of their cluster's blocks: as side 0 of (own, j), side 1 of (i, own)."""
-    size = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    m = members.join(size, "hub").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    sides = F.array_union(
-        F.transform(F.sequence("own", F.col("parts") - 1), lambda j: F.struct(F.col("own").alias("i"), j.alias("j"), F.lit(0).alias("side"))),
-        F.transform(F.sequence(F.lit(0), "own"), lambda i: F.struct(i.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))),
-    )
-    return m.withColumn("at", F.explode(sides)).select("hub", "at.i", "at.j", "at.side", *[c for c in m.columns if c not in ("hub", "parts", "own")])
+def _in_blocks(members: DataFrame, rows: int) -> DataFrame:
+    """Members (hub, rep, few, ...) dealt to pairs of a block i of their cluster's ``few`` and a block j of all, as side
+    0 and side 1. The copies of a cluster of n members with m ``few`` are about 2 * n * m / BLOCK, and n if m is 1."""
+    size = members.groupBy("hub").agg(F.count("*").alias("size"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"), F.ceil(F.sum(F.col("few").cast("int")) / BLOCK).cast("int").alias("few_parts"))
+    m = join_by_size(members, size, "hub", "size", rows)
+    h = F.xxhash64("rep")
+    i, j = F.pmod(h, F.col("few_parts")).cast("int"), F.pmod(h, F.col("parts")).cast("int")
+    left = F.when(F.col("few"), F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(i.alias("i"), k.alias("j"), F.lit(0).alias("side"))))
+    right = F.transform(F.sequence(F.lit(0), F.col("few_parts") - 1), lambda k: F.struct(k.alias("i"), j.alias("j"), F.lit(1).alias("side")))
+    both = F.concat(F.coalesce(left, F.array().cast("array<struct<i:int,j:int,side:int>>")), right)
+    return m.where("few_parts > 0").withColumn("at", F.explode(both)).select("hub", "at.i", "at.j", "at.side", *[c for c in members.columns if c not in ("hub", "few")])
 
 
 def _set_rows(width: int):
@@ -257,6 +259,7 @@ def _set_rows(width: int):
     return run
 
 
+@durable.leaves_only("minhash")
 def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Classes of documents linked by ``den * |A & B| >= num * |A | B|`` over distinct ``shingle``-word shingles.
 
@@ -277,35 +280,39 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = durable.write(
         usable.groupBy("h1", "h2").agg(F.min(F.struct("id", "n", *_SIG, "bands")).alias("r"), F.count("*").alias("copies")).select("h1", "h2", F.col("r.id").alias("rep"), "copies", *[f"r.{c}" for c in ("n", *_SIG, "bands")]), "classes"
     )
+    n = classes.count()
     light = classes.select("rep", "n", *_SIG)
     band = classes.select("rep", F.explode("bands").alias("k"))
-    hubs = band.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top").select("k", "hub")
-    cluster = durable.write(band.join(hubs, "k").select("hub", "rep").distinct(), "clusters")
-    blocks = _in_blocks(cluster.join(light, "rep"))
-    near = by_group(blocks, ["hub", "i", "j"], ["side"], _marked(threshold), "hub long, rep long")
-    near = durable.write(near.distinct(), "near")
-    durable.delete(cluster)
-
-    ids = near.select("rep").distinct()
-    if near.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+    per = PERMUTATIONS // BAND_ROWS
+    hubs = band.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("size")).where("hub < top").select("k", "hub", "size")
+    cluster = durable.write(join_by_size(band, hubs, "k", "size", n * per).select("hub", "rep").distinct(), "clusters")
+    in_clusters = cluster.count()
     texts = base.where("id is not null").select(F.col("id").alias("rep"), "text")
-    sets = durable.write(texts.join(ids, "rep").mapInArrow(_set_rows(shingle), "rep long, hashes binary"), "sets")
-    full = sets.join(light, "rep")
 
-    def links(rows: DataFrame) -> DataFrame:
-        found = by_group(_in_blocks(rows.join(full, "rep")), ["hub", "i", "j"], ["side"], _linked(threshold, num, den), "a long, b long")
+    def links(members: DataFrame) -> DataFrame:
+        """Confirmed links of (hub, rep, comp, few), between different components."""
+        near = by_group(_in_blocks(members.join(light, "rep"), in_clusters), ["hub", "i", "j"], ["side"], _marked(threshold), "hub long, rep long")
+        near = durable.write(near.distinct(), "near")
+        ids = near.select("rep").distinct()
+        if near.count() <= BROADCAST_IDS:
+            ids = F.broadcast(ids)
+        sets = texts.join(ids, "rep").mapInArrow(_set_rows(shingle), "rep long, hashes binary").join(light, "rep")
+        found = by_group(_in_blocks(members.join(near, ["hub", "rep"], "left_semi").join(sets, "rep"), in_clusters), ["hub", "i", "j"], ["side"], _linked(threshold, num, den), "a long, b long")
         return durable.write(found.distinct(), "links")
 
-    first = near.groupBy("rep").agg(F.min("hub").alias("hub")).select("hub", "rep", F.col("rep").alias("comp"))
-    edges = links(first)
+    # each class with the hub of its least cluster
+    first = cluster.groupBy("rep").agg(F.min("hub").alias("hub"))
+    own = F.col("rep") == F.col("hub")
+    star = first.where(~own).select("hub", "rep").unionAll(first.where(~own).select("hub", F.col("hub").alias("rep")).distinct())
+    edges = links(star.select("hub", "rep", F.col("rep").alias("comp"), own.alias("few")))
     comp = durable.write(connected_components(edges), "labels")
-    member = near.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = member.groupBy("hub").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("hub")
-    more = links(member.join(mixed, "hub"))
+    member = durable.write(cluster.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp")), "members")
+    share = member.groupBy("hub", "comp").agg(F.count("*").alias("size"))
+    mixed = share.groupBy("hub").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("size").alias("size")).where("comps > 1")
+    mixed = mixed.select("hub", F.col("most.comp").alias("largest"), "size")
+    more = links(join_by_size(member, mixed, "hub", "size", in_clusters).select("hub", "rep", "comp", (F.col("comp") != F.col("largest")).alias("few")))
     if not more.isEmpty():
         comp = durable.write(connected_components(edges.unionAll(more)), "labels")
-    durable.delete(near, sets)
 
     of_class = classes.select("h1", "h2", "rep").join(comp.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     # the empty set is not a class; its rows stand alone

@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scanfold.llm import fingerprint, minhash, mixing, packing, passages, pii, quality, queries, tokens
+from scanfold.llm import fingerprint, grouping, minhash, mixing, packing, passages, pii, quality, queries, tokens
 
 WORD = r"[^\x20\x09-\x0D]+"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -100,6 +100,29 @@ def test_minhash_large_group_of_near_copies(spark):
     assert got == components({d: shingles(t, 3) for d, t in rows}, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
 
 
+def test_long_patterned_words_are_told_apart(spark):
+    """Thue-Morse words collide in polynomials modulo 2 ** 64; documents that differ in one share a third of their shingles."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    got = minhash.minhash_components(docs(spark, [(1, f"{a} one two three"), (2, f"{b} one two three"), (3, f"{a.upper()} one two three")]), shingle=3, num=85)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_minhash_groups_that_their_hub_does_not_join(spark, monkeypatch):
+    """Chains of copies, each near the next and far from the first, in clusters of several blocks."""
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(grouping, "HOT_ROWS", 5)
+    rng = random.Random(5)
+    rows = []
+    for g in range(3):
+        words = [f"w{g}x{rng.randrange(10**6)}" for _ in range(80)]
+        for k in range(40):
+            rows.append((100 * g + k, " ".join(words)))
+            words[rng.randrange(80)] = f"e{g}x{k}"
+    got = {r.doc_id: r.component_id for r in minhash.minhash_components(docs(spark, rows), shingle=2, num=80).collect()}
+    assert got == components({d: shingles(t, 2) for d, t in rows}, lambda a, b: 100 * len(a & b) >= 80 * len(a | b))
+
+
 def test_minhash_null_and_repeated_ids(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, "z y x w"), (3, "a b c d")]
     got = minhash.minhash_components(docs(spark, rows), shingle=3, num=85).collect()
