@@ -41,7 +41,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     numbered = docs.withColumn("copy", F.monotonically_increasing_id())
     pieces = durable.write(packing.tokenize_pieces(numbered, tokenizer_path(), carry=("copy",)), "pieces")
-    placed = packing.place_pieces(pieces.drop("ids"), packing.shard_count(docs))
+    placed = packing.place_pieces(pieces.drop("ids").withColumn("row", F.col("copy")), packing.shard_count(pieces), row_col="row")
     whole = placed.join(pieces.select("copy", "piece", "ids"), ["copy", "piece"])
     return whole.select("doc_id", "copy", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "ids", "sequence_id", "offset")
 
