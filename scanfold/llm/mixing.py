@@ -17,9 +17,10 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 #: Fixed-point units of one copy.
 UNIT = 1 << 24
-#: A size class is split into one part for so many documents of its source, into MOST_PARTS at most.
+#: A size class is split into one part for so many documents of its source, or into more of FEW_DOCS, up to FEW_PARTS.
 PART_DOCS = 50_000
-MOST_PARTS = 4096
+FEW_DOCS = 500
+FEW_PARTS = 64
 #: Multiplier of the Weyl sequence of offsets, UNIT over the golden ratio, and the default seed.
 GOLDEN = 10_368_889
 SEED = 17
@@ -56,7 +57,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 def systematic_copies(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``rows`` (mix_id, mix_source, mix_size and other columns) with source_size, target and copies."""
     t = targets.select(F.col("source").alias("mix_source"), "source_size", "n_docs", "target", "rate", "start")
-    part = F.pmod(F.coalesce("mix_id", F.lit(0)), F.least(F.floor(F.col("n_docs") / PART_DOCS) + 1, F.lit(MOST_PARTS)))
+    parts = F.greatest(F.floor(F.col("n_docs") / PART_DOCS), F.least(F.floor(F.col("n_docs") / FEW_DOCS), F.lit(FEW_PARTS))) + 1
+    part = F.pmod(F.coalesce("mix_id", "mix_size"), parts)
     keyed = rows.withColumnRenamed("mix_source", "own").join(t, F.col("own").eqNullSafe(F.col("mix_source"))).drop("own")
     keyed = keyed.withColumn("class", F.floor(F.sqrt("mix_size")).cast("long")).withColumn("part", part.cast("long"))
     key = ["start", "class", "part"]  # start tells the sources apart, and unlike them is never null
@@ -100,7 +102,7 @@ s4 AS (SELECT *, least(CAST(most AS DOUBLE), max(lv) OVER () * weight) AS target
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * {UNIT}) AS BIGINT) ELSE 0 END AS rate,
           ((rank + {SEED}) * {GOLDEN}) % {UNIT} AS start FROM s4),
 p AS (SELECT d.doc_id, d.size, s5.source_size, s5.target, s5.rate, s5.start,
-        row_number() OVER (PARTITION BY s5.rank ORDER BY floor(sqrt(d.size)), coalesce(d.doc_id, 0) % least(s5.n_docs // {PART_DOCS} + 1, {MOST_PARTS}), d.doc_id NULLS FIRST, d.size) AS nth
+        row_number() OVER (PARTITION BY s5.rank ORDER BY floor(sqrt(d.size)), coalesce(d.doc_id, d.size) % (greatest(s5.n_docs // {PART_DOCS}, least(s5.n_docs // {FEW_DOCS}, {FEW_PARTS})) + 1), d.doc_id NULLS FIRST, d.size) AS nth
       FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
 SELECT doc_id, size, source_size, target,
   CAST(((nth * rate + start) // {UNIT} - ((nth - 1) * rate + start) // {UNIT}) * size AS BIGINT) AS taken FROM p
