@@ -45,6 +45,25 @@ def test_knn_matches_brute_force(spark):
     assert counts == {i: int((d[i] <= 1).sum()) for i in range(len(xyz))}
 
 
+def _nearest_brute(rows, k):
+    out = {}
+    for i, *a in rows:
+        d = sorted((sum((p - q) ** 2 for p, q in zip(a, b, strict=True)), j) for j, *b in rows if j != i)
+        out |= {(i, n + 1): j for n, (_, j) in enumerate(d[:k])}
+    return out
+
+
+def test_knn_reaches_outliers_and_splits_dense_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, 0.0, 0.0, 0.0), (1, 0.1, 0.0, 0.0), (2, 1000.0, 0.0, 0.0), (3, -5e5, 7.0, 0.0)]
+    rows += [(10 + i, *map(float, rng.normal(3, 0.01, 3))) for i in range(300)]
+    p = spark.createDataFrame([*rows, (900, None, 0.0, 0.0), (901, float("nan"), 0.0, 0.0), (902, float("inf"), 0.0, 0.0)], "id long, x double, y double, z double")
+    assert {(r.id, r.nth): r.near_id for r in knn.knn(p, p, 3, 1.0).collect()} == _nearest_brute(rows, 3)
+    few = p.where("id in (0, 1, 2)")
+    assert {(r.id, r.nth): r.near_id for r in knn.knn(few, few, 5, 1.0).collect()} == _nearest_brute(rows[:3], 5)
+    assert knn.knn(p.limit(0), p, 2, 1.0).count() == 0 and knn.knn(p, p.limit(0), 2, 1.0, same_table=False).count() == 0
+
+
 def test_gap_filling_rules(spark):
     row = [1.0, None, None, 1.3, None, 0.2, None, None, None, None, None, 0.2, None, 9.0, None]
     rows = spark.createDataFrame([(1, i + 1, d) for i, d in enumerate(row)], "frame long, col int, dist double")
