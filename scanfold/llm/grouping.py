@@ -77,13 +77,13 @@ HOT_SHARE = 1 / 1000
 HOT_ROWS = 1000
 
 
-def join_by_size(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_by_size(rows: DataFrame, keyed: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed``, which has one row a ``key`` and the ``size`` of the key among the ``total`` rows.
 
     Keys of over HOT_SHARE of all rows, of which there are at most 1 / HOT_SHARE, are broadcast, so that no task gets
-    all rows of such a key; the others are shuffled.
+    all rows of such a key; the others are shuffled. ``how`` is inner or left.
     """
     hot = F.col(size) > max(HOT_ROWS, int(total * HOT_SHARE))
     some = F.broadcast(keyed.where(hot))
-    rest = rows.join(some.select(key), key, "left_anti").join(keyed.where(~hot), key)
+    rest = rows.join(some.select(key), key, "left_anti").join(keyed.where(~hot), key, how)
     return rows.join(some, key).unionByName(rest)

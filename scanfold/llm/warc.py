@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import durable
+from .grouping import join_by_size
 
 CHUNK = 1 << 20
 #: Payloads below this many bytes are never replaced by revisits.
@@ -74,17 +75,21 @@ class RecordSplitter:
 
 
 def inflate(stream: Iterable[bytes]) -> Iterator[bytes]:
-    """Bytes of a gzip file of one or more members, chunk by chunk."""
-    z = zlib.decompressobj(31)
+    """Bytes of a gzip file of one or more members, chunk by chunk. A stream that ends within a member is an error."""
+    z, begun = zlib.decompressobj(31), False
     for data in stream:
         while data:
+            begun = True
             yield z.decompress(data, CHUNK)
             while z.unconsumed_tail:
                 yield z.decompress(z.unconsumed_tail, CHUNK)
             data = z.unused_data
             if z.eof:
-                z = zlib.decompressobj(31)
-    yield z.flush()
+                z, begun = zlib.decompressobj(31), False
+    if begun:
+        yield z.flush()
+        if not z.eof:
+            raise EOFError("the gzip stream is cut off")
 
 
 def normalise(source: str, target: str, index: str) -> int:
@@ -121,10 +126,13 @@ def choose_records(pages: DataFrame, id_col: str, payload_col: str) -> DataFrame
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     base = base.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    least = base.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.min("page_id").alias("least"))
-    out = base.join(least, "payload_digest", "left")
+    large = F.col("payload_bytes") >= LEAST_REVISIT
+    least = base.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("least"), F.count("*").alias("same"))
+    least = durable.write(least.where("same > 1"), "least")
     refers = F.when(F.col("page_id") != F.col("least"), F.col("least"))
-    return out.withColumn("refers_to", refers).drop("least")
+    # payloads of digests on very many pages stay where they are
+    out = join_by_size(base, least, "payload_digest", "same", base.count(), "left")
+    return out.withColumn("refers_to", F.when(large, refers)).drop("least", "same")
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
@@ -222,5 +230,10 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", payload_col: str =
     mono = durable.write(write_archives(records, folder), "mono")
     paths = mono.repartition(max(1, mono.count()))
     norm = durable.write(normalise_archives(paths, folder), "norm")
+    written, kept = (t.agg(F.sum("records")).first()[0] or 0 for t in (mono, norm))
+    if written != kept:
+        raise RuntimeError(f"{written} records were written and {kept} normalised")
+    durable.delete(mono)
+    durable.delete_path(spark, f"{folder}/mono")
     return read_archives(norm.repartition(max(1, norm.count())))
 

@@ -162,6 +162,11 @@ def test_normaliser_makes_members(tmp_path):
     (tmp_path / "bad.gz").write_bytes(gzip.compress(b"".join(records)[:-3]))
     with pytest.raises(ValueError, match="within a record"):
         warc.normalise(*(f"file://{tmp_path}/{x}" for x in ("bad.gz", "o.gz", "o.idx")))
+    # a stream flushed and cut at a record boundary, without its end
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    (tmp_path / "cut.gz").write_bytes(z.compress(b"".join(records[:3])) + z.flush(zlib.Z_FULL_FLUSH))
+    with pytest.raises(EOFError):
+        warc.normalise(*(f"file://{tmp_path}/{x}" for x in ("cut.gz", "o.gz", "o.idx")))
 
 
 def test_urls(spark):
