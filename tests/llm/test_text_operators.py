@@ -241,6 +241,23 @@ def test_pii_base_matches_the_patterns():
     assert pii.base_spans("Mail bob@x.example.com, card 4111 1111 1111 1111 or +1 (212) 555-1234 at 10.0.0.1.") == [("email", 5, 22), ("ip", 73, 81), ("card", 29, 48), ("phone", 52, 69)]
 
 
+def test_card_and_phone_candidates_match_brute_force():
+    """In rejected runs all ranges of whole digit groups with the right number of digits are proposed."""
+    rng = random.Random(8)
+    for _ in range(300):
+        text = "x " + "".join(str(rng.randrange(10)) + rng.choice(["", " ", "-", " "]) for _ in range(rng.randint(20, 50))) + "7 y"
+        if any(k == "card" for k, _, _ in pii.base_spans(text)):
+            continue
+        groups = [m.span() for m in re.finditer("[0-9]+", text)]
+        want = {(a, b) for i, (a, _) in enumerate(groups) for _, b in groups[i:] if 13 <= len(re.sub("[^0-9]", "", text[a:b])) <= 19 and pii.luhn(re.sub("[^0-9]", "", text[a:b]))}
+        assert {(a, b) for k, a, b in pii.candidates(text) if k == "card"} == want
+        call = "+" + text[2:-2]
+        ends = [m.end() for m in re.finditer("[0-9]+", call)]
+        if not any(k == "phone" for k, _, _ in pii.base_spans(call)):
+            want = {(0, b) for b in ends if 9 <= len(re.sub("[^0-9]", "", call[:b])) <= 15}
+            assert {(a, b) for k, a, b in pii.candidates(call) if k == "phone" and not a} == want
+
+
 def test_pii_adds_spans_and_redacts(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
@@ -345,6 +362,33 @@ def test_passages_with_evenly_spaced_edits(spark):
     assert got == want | {101: (100, 40, 3039)}
 
 
+def test_passages_cover_all_shared_runs(spark):
+    """Every word that lies in a run of 50 words or more shared with a lesser document is in a passage, by brute force."""
+    rng = random.Random(12)
+    common = [[f"c{k}w{rng.randrange(10**6)}" for _ in range(rng.randint(52, 90))] for k in range(4)]
+    rows = []
+    for d in range(40):
+        w = [f"d{d}w{rng.randrange(10**6)}" for _ in range(rng.randint(0, 60))]
+        for c in rng.sample(common, rng.randint(0, 2)):
+            at = rng.randint(0, len(w))
+            w[at:at] = c
+        rows.append((d, " ".join(w)))
+    rows += [(90, "x " * 4000 + " ".join(common[0])), (91, ""), (92, None)]
+    texts = {d: words(t) for d, t in rows}
+    want = set()
+    for d in texts:
+        for e in texts:
+            if e < d:
+                at = collections.defaultdict(list)
+                for j in range(len(texts[e]) - 49):
+                    at[tuple(texts[e][j : j + 50])].append(j)
+                for i in range(len(texts[d]) - 49):
+                    if tuple(texts[d][i : i + 50]) in at:
+                        want |= {(d, i + k) for k in range(50)}
+    found = {(r.doc_id, k) for r in passages.repeated_passages(docs(spark, rows)).collect() for k in range(r.start_word, r.end_word)}
+    assert want and len(want - found) == 0 and len(found - want) <= 0.02 * len(want)
+
+
 def test_chaining_matches_quadratic_search():
     rng = np.random.default_rng(3)
     for _ in range(40):
@@ -398,6 +442,26 @@ def _targets(sizes, weights=(5, 2, 1), most=3):
         capped |= over
 
 
+def test_statistics_match_brute_force():
+    import pyarrow as pa
+
+    texts = ["One two, two THREE!\nfour | five. six; a bb", "", " \n ", "Straße 12 € #x# ok\n\nlast", "w " * 300 + "\n" + "v", "a,b c.d: e!"]
+    data, offsets = quality.text_buffers(pa.array(texts))
+    got = quality.statistics(data, offsets)
+    keep = set(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ.,") | set(range(128, 256))
+    for row, text in zip(got, texts, strict=True):
+        raw = text.encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        low = [x.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) for x in w]
+        n, size = len(w), max(1, len(raw))
+        pairs = list(zip(low, low[1:], strict=False))
+        share = {k: sum(c in v for c in raw) / size for k, v in quality._CLASSES.items()}
+        want = {"words": np.log1p(n), "word_length": sum(map(len, w)) / max(1, n), **share, "high": sum(c >= 128 for c in raw) / size, "lines": raw.count(b"\n") / max(1, n), "distinct": len(set(low)) / max(1, n)}
+        want |= {"repeated_pairs": 1 - len(set(pairs)) / max(1, n - 1), "marked": sum(x[-1] not in keep for x in w) / max(1, n), "short": sum(len(x) <= 2 for x in w) / max(1, n), "long": sum(len(x) >= 10 for x in w) / max(1, n)}
+        want["longest_line"] = np.log1p(max(len(re.findall(rb"[^\x20\x09-\x0D]+", line)) for line in raw.split(b"\n")))
+        assert np.allclose(row, [want[k] if n else 0 for k in quality.STATISTICS])
+
+
 def test_mixing_targets_and_copies(spark):
     rng = random.Random(11)
     rows = []
