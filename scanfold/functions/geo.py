@@ -89,3 +89,28 @@ def tile_of(mx: Column, my: Column, zoom: int, tile_size: int = 256) -> tuple[Co
     shift = math.pi * EARTH_RADIUS
     res = 2 * shift / (tile_size * 2**zoom)
     return tuple((F.ceil((v + shift) / res / tile_size) - 1).cast("int") for v in (mx, my))
+
+
+def add_metres(lat: Column, lon: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
+    """Latitude and longitude moved by metres east and north, at the scale of the start."""
+    scale = mercator_scale(lat)
+    mx, my = to_mercator(lat, lon, scale)
+    return from_mercator(mx + dx, my + dy, scale)
+
+
+def metres_between(lat: Column, lon: Column, lat_end: Column, lon_end: Column) -> tuple[Column, Column]:
+    """Metres east and north from a start to an end, at the scale of the start."""
+    scale = mercator_scale(lat)
+    (ax, ay), (bx, by) = to_mercator(lat, lon, scale), to_mercator(lat_end, lon_end, scale)
+    return bx - ax, by - ay
+
+
+def split_pose(m: Column) -> tuple[Column, Column]:
+    """Rotation (9 values by row) and translation (3 values) of a 4 x 4 pose."""
+    return F.concat(*[F.slice(m, 4 * r + 1, 3) for r in range(3)]), F.array(*[m.getItem(4 * r + 3) for r in range(3)])
+
+
+def join_pose(rotation: Column, translation: Column) -> Column:
+    """The 4 x 4 pose of a rotation and a translation."""
+    rows = [F.concat(F.slice(rotation, 3 * r + 1, 3), F.array(translation.getItem(r))) for r in range(3)]
+    return F.concat(*rows, F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))

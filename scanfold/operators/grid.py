@@ -111,3 +111,10 @@ def elect(points: DataFrame, extent: float, order: str = "id", least_gain: float
         return pd.DataFrame({"ix": [key[0]], "iy": [key[1]], "iz": [key[2]], "id": [pdf["id"].iloc[held]], "hits": [len(pdf)]})
 
     return p.groupBy(*CELL).applyInPandas(fold, "ix int, iy int, iz int, id long, hits long")
+
+
+def neighbour_cells(points: DataFrame, extent: float, radius: int = 1) -> DataFrame:
+    """(ix, iy, iz, n): each occupied cell with the number of occupied cells within ``radius`` on each axis, itself included."""
+    cells = with_cells(points, extent).select(*CELL).distinct()
+    seen = spread(cells, radius).groupBy(*CELL).agg(F.count("*").alias("n"))
+    return cells.join(seen, list(CELL))

@@ -115,3 +115,23 @@ def preprocess(rows: DataFrame, most: float = 50.0, pixels_h: int = 5, pixels_v:
     if "row" in rows.columns:
         out = out.transform(fill_gaps, pixels_v, slope, "row")
     return out.transform(smooth, near)
+
+
+def median_square(rows: DataFrame, radius: int) -> DataFrame:
+    """Upper median of each return over the square of ``radius`` pixels around it, cut at the border; missing stays
+    missing. All pixels of an image are rows, missing returns with a null ``dist``."""
+    across = Window.partitionBy("frame", "row").orderBy("col").rangeBetween(-radius, radius)
+    down = Window.partitionBy("frame", "col").orderBy("row").rangeBetween(-radius, radius)
+    r = rows.withColumn("near", F.collect_list("dist").over(across))
+    return r.withColumn("median", F.when(F.col("dist").isNotNull(), upper_median(F.flatten(F.collect_list("near").over(down))))).drop("near")
+
+
+def elementwise(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Greatest and least of the returns of two images at the same pixel, a missing one left aside."""
+    both = a.select(*keys, F.col("dist").alias("da")).join(b.select(*keys, F.col("dist").alias("db")), keys)
+    return both.select(*keys, F.greatest("da", "db").alias("most"), F.least("da", "db").alias("least"))
+
+
+def binarised(rows: DataFrame, name: str = "weight", least: float = 0.5) -> DataFrame:
+    """Connections as 1.0 from ``least`` on and else 0.0."""
+    return rows.withColumn(name, (F.col(name) >= least).cast("double"))

@@ -141,3 +141,24 @@ def systematic(rows: DataFrame, share: float, order: str, by: str) -> DataFrame:
     w = Window.partitionBy(by).orderBy(order)
     k = F.row_number().over(w)
     return rows.withColumn("k", k).withColumn("taken", F.floor(F.col("k") * share) != F.floor((F.col("k") - 1) * share))
+
+
+def subsample_size(n: Column, least: int) -> Column:
+    """Points kept of ``n``: all up to ``least``, beyond it the root of the surplus doubled; one at least."""
+    return F.greatest(F.when(n <= least, n).otherwise(F.lit(least) + F.ceil(2 * F.sqrt(n - least))).cast("long"), F.lit(1).cast("long"))
+
+
+def stratified(rows: DataFrame, wanted: int, upper: Column, order: str, by: str) -> DataFrame:
+    """Rows of which about ``wanted`` a ``by`` are taken, three from the upper stratum for one from the lower: within a
+    stratum those at which floor(k * share) rises. ``share`` is at most 1."""
+    r = rows.withColumn("upper", upper)
+    stratum = Window.partitionBy(by, "upper")
+    share = F.least(F.lit(1.0), F.when(F.col("upper"), 0.75 * wanted).otherwise(0.25 * wanted) / F.count("*").over(stratum))
+    k = F.row_number().over(stratum.orderBy(order))
+    r = r.withColumns({"share": share, "k": k})
+    return r.withColumn("taken", F.floor(F.col("k") * F.col("share")) != F.floor((F.col("k") - 1) * F.col("share"))).drop("share", "k")
+
+
+def registration_order(tracks: DataFrame) -> DataFrame:
+    """Tracks (uid, age, n) with ``place``: moving long-term tracks first, by age and then points, both descending."""
+    return tracks.withColumn("place", F.row_number().over(Window.orderBy(F.desc("age"), F.desc("n"), "uid")))

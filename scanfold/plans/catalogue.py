@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries, grid_queries, scan_queries, track_queries  # noqa: F401  they register themselves
+from . import feature_queries, grid_queries, sampling_queries, scan_queries, track_queries  # noqa: F401  they register themselves
 from .registry import ORACLE, QUERIES
 
 

@@ -45,8 +45,19 @@ def test_query_runs(spark, sf_dir, name):
     assert catalogue.queries()[name](spark, sf_dir).count() > 0
 
 
-def test_entry_without_the_llm_subpackage(spark):
+def test_entry_without_the_llm_subpackage(spark, monkeypatch):
+    import importlib
+    import sys
+
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() > 0
+    with monkeypatch.context() as m:
+        for name in [n for n in sys.modules if n.startswith("scanfold.llm")]:
+            m.delitem(sys.modules, name)
+        for name in ("scanfold.llm", "scanfold.llm.queries", "corpus_pipeline"):
+            m.setitem(sys.modules, name, None)
+        importlib.reload(entry)
+        assert set(entry.queries()) == set(catalogue.queries()) and set(entry.oracle_sql()) == set(catalogue.oracle_sql())
+        assert entry.entry(spark).count() > 0
+    importlib.reload(entry)
     assert set(entry.oracle_sql()) <= set(entry.queries())
