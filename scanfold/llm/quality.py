@@ -172,14 +172,20 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """A model from at most ``sample_rows`` labelled rows that are not held out, those of the least hashes of their id."""
+    """A model from at most ``sample_rows`` labelled ids that are not held out, those of the least hashes.
+
+    An id with several labels has the greatest, one on several rows of ``docs`` the row of the least statistics, so the
+    rows that reach the driver are bounded too. Null ids, labels and ids without a document are left out.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("label"))
+    known = known.groupBy("id").agg(F.max("label").alias("label"))
     sample = hash_share(known, F.col("id"), 2 * sample_rows).orderBy(F.xxhash64("id"), "id", "label").limit(sample_rows)
     # the sample is bounded by sample_rows, so its broadcast is too
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id")
-    rows = with_statistics(texts, "text").drop("text")
-    got = rows.orderBy("id").toPandas()
-    x = got[["stat_" + s for s in STATISTICS]].to_numpy(np.float64).reshape(len(got), len(STATISTICS))
+    stats = ["stat_" + s for s in STATISTICS]
+    rows = with_statistics(texts, "text").groupBy("id", "label").agg(F.min(F.struct(*stats)).alias("stats"))
+    got = rows.select("id", "label", "stats.*").orderBy("id").toPandas()
+    x = got[stats].to_numpy(np.float64).reshape(len(got), len(STATISTICS))
     return fit_rules(x, (got["label"].to_numpy(np.float64) > 0.5).astype(np.float64))
 
 
