@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanfold.functions.vec import dot, doubles
+from scanfold.stored import stored
 
 
 def long_form(vectors: DataFrame) -> DataFrame:
@@ -19,13 +20,42 @@ def mean_std(vectors: DataFrame) -> DataFrame:
     return long_form(vectors).groupBy("dim").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
+SKETCH = 10_000  # rank error of the sketch that brackets a selection: one part of this
+MOST_BRACKETS = 10_000  # brackets that may be broadcast; beyond that their join shuffles
+
+
+def ranked(rows: DataFrame, by: list[str], value: str, shares: dict[str, Column]) -> DataFrame:
+    """(by, name, n, value): the exact value at a rank of each group, without sorting the group.
+
+    ``shares`` gives for each name a share of 0 to 1 of a group's n non-null values; the rank, from 0, is the floor of n
+    times the share, held to n - 1. A quantile sketch brackets each rank, the values below the bracket are
+    counted, and only distinct values within it, a few parts in ``SKETCH`` of the group, are put in order. The
+    brackets, a row a group and name, are stored and counted; they are broadcast up to ``MOST_BRACKETS``. ``by`` names at
+    least one column; empty groups give no row.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), s.cast("double").alias("share")) for k, s in shares.items()]))
+    sketch = F.percentile_approx("v", [i / SKETCH for i in range(SKETCH + 1)], SKETCH)
+    q = v.groupBy(*by).agg(F.count("*").alias("n"), sketch.alias("q")).select(*by, "n", "q", at.alias("at")).select(*by, "n", "q", "at.name", "at.share")
+    step = F.floor(F.col("share") * SKETCH).cast("int")
+    edge = [F.element_at("q", F.greatest(F.least(step + i, F.lit(SKETCH)), F.lit(0)) + 1) for i in (-3, 4)]
+    q = q.select(*by, "name", "n", F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1).alias("k"), edge[0].alias("from"), edge[1].alias("to"))
+    q = stored(q)
+    j = v.join(F.broadcast(q) if q.count() <= MOST_BRACKETS else q, by)
+    inside = F.col("v") >= F.col("from")
+    # one row for all values below a bracket, one for each distinct value within
+    c = j.where(F.col("v") <= F.col("to")).groupBy(*by, "name", "k", "n", F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by, "name").orderBy(F.asc_nulls_first("v"))
+    return c.withColumn("upto", F.sum("c").over(w)).where("v is not null and upto > k").groupBy(*by, "name", "n").agg(F.min("v").alias(value))
+
+
 def minmax_fit(vectors: DataFrame, trim: float = 0.0) -> DataFrame:
     """(dim, lo, hi) of each dimension after leaving out the share ``trim`` at either end; (0, 1) if it is constant."""
-    v = long_form(vectors).where("value is not null")
-    w = Window.partitionBy("dim").orderBy("value", "id")
-    n = F.count("*").over(Window.partitionBy("dim"))
-    r = v.withColumn("k", F.row_number().over(w) - 1).withColumn("cut", F.floor(n * F.lit(trim))).withColumn("n", n)
-    r = r.where((F.col("k") >= F.col("cut")) & (F.col("k") < F.col("n") - F.col("cut"))).groupBy("dim").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    n = F.col("n")
+    cut = F.floor(n * F.lit(trim))
+    # half a rank more keeps the floor of n times the share on the rank itself
+    r = ranked(long_form(vectors), ["dim"], "value", {"lo": (cut + 0.5) / n, "hi": (n - cut - 0.5) / n})
+    r = r.groupBy("dim").agg(*[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ("lo", "hi")])
     same = F.col("lo") == F.col("hi")
     return r.select("dim", F.when(same, 0.0).otherwise(F.col("lo")).alias("lo"), F.when(same, 1.0).otherwise(F.col("hi")).alias("hi"))
 

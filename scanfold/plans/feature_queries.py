@@ -11,12 +11,13 @@ from scanfold.operators import learn, tracks
 from .registry import query, rounded
 from .views import POINTS, points, table
 
-VECTORS = "vectors AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[])[1:8] AS f FROM embeddings)"
-LONG = f"{VECTORS}, long_f AS (SELECT id, label, CAST(i AS INTEGER) - 1 AS dim, f[i] AS value FROM vectors, (SELECT unnest(range(1, 9)) AS i))"
+VECTORS = "vectors AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS f FROM embeddings)"
+LONG = f"{VECTORS}, long_f AS (SELECT id, label, CAST(unnest(range(len(f))) AS INTEGER) AS dim, unnest(f) AS value FROM vectors)"
+DIMS = 64  # of the driver's vectors
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 8).alias("f"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("f"))
 
 
 @query(f"WITH {LONG} SELECT dim, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM long_f GROUP BY dim")
@@ -47,7 +48,7 @@ def l1_l2_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.select((F.col("next") - 1).alias("id"), l1(F.col("f"), F.col("g")).alias("l1"), l2(F.col("f"), F.col("g")).alias("l2")), "l1", "l2")
 
 
-PLANES = {(1, 2): ([1.0, -1.0, 0.5, 0.0, 0.0, 2.0, 0.0, 0.0], 0.01), (1, 3): ([0.0, 1.0, 1.0, -1.0, 0.0, 0.0, 0.5, 0.0], -0.02), (2, 3): ([0.5, 0.0, 0.0, 1.0, -2.0, 0.0, 0.0, 1.0], 0.0)}
+PLANES = {(a, b): ([((i * (a + 2) + b) % 5 - 2) / 2 for i in range(DIMS)], c) for a, b, c in ((1, 2, 0.01), (1, 3, -0.02), (2, 3, 0.0))}
 
 
 def _score(w: list[float], b: float) -> str:

@@ -56,10 +56,10 @@ def grid_cubic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.neighbours(p, p, EXTENT, 1).groupBy("a_id").agg(F.count("*").alias("n"), F.sum("b_id").alias("ids"))
 
 
-@query(f"WITH {CELLS} SELECT id, ix, iy, iz FROM cells a WHERE NOT EXISTS (SELECT 1 FROM cells b WHERE b.id % 50 = 0 AND {NEAR})")
+@query(f"WITH {CELLS} SELECT id, ix, iy, iz FROM cells a WHERE NOT EXISTS (SELECT 1 FROM cells b WHERE b.label = 3 AND {NEAR})")
 def grid_remove_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return grid.remove_neighbourhood(p, p.where("id % 50 = 0"), EXTENT).select("id", "ix", "iy", "iz")
+    return grid.remove_neighbourhood(p, p.where("label = 3"), EXTENT).select("id", "ix", "iy", "iz")
 
 
 @query(f"WITH {CELLS} SELECT id, x, y, z, conf FROM cells WHERE ix % 2 = 0 AND iy % 2 = 0 AND iz % 2 = 0")
@@ -119,29 +119,34 @@ def radius_pairs_theiler(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OFF = "(b.nx * (a.x - b.x) + b.ny * (a.y - b.y) + b.nz * (a.z - b.z))"
-FIRST = f"m AS (SELECT a.id, b.id AS near_id, a.x, a.y, a.z, b.nx, b.ny, b.nz, {D2} AS d2, {OFF} AS o FROM points a, points b WHERE a.id % 2 = 0 AND b.id % 2 = 1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) = 1)"
+MOVE = {"x": 0.75, "y": -0.5, "z": 0.25}
+FIRST = f"""a AS (SELECT id, {", ".join(f"{c} + {d} AS {c}" for c, d in MOVE.items())} FROM points),
+  m AS (SELECT a.id, b.id AS near_id, a.x, a.y, a.z, b.nx, b.ny, b.nz, {D2} AS d2, {OFF} AS o FROM a, points b QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) = 1)"""
 
 
-def _even_to_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir)
-    a, b = p.where(EVEN), p.where(ODD)
+def _moved_to_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points, moved, with their nearest among all points where they were."""
+    b = points(spark, sf_dir)
+    a = b.withColumns({c: F.col(c) + d for c, d in MOVE.items()})
     return knn.matched(a, b, knn.knn(a, b, 1, EXTENT, same_table=False))
 
 
 @query(f"WITH {POINTS}, {FIRST} SELECT id, near_id, round(o, 6) AS off, round(x - o * nx, 6) AS px, round(y - o * ny, 6) AS py, round(z - o * nz, 6) AS pz FROM m")
 def plane_project(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(knn.project_on_planes(_even_to_odd(spark, sf_dir)), "off", "px", "py", "pz")
+    return rounded(knn.project_on_planes(_moved_to_points(spark, sf_dir)), "off", "px", "py", "pz")
 
 
 @query(f"""WITH {POINTS}, {FIRST}, w AS (SELECT sqrt(d2) AS d, abs(o) AS o, CASE WHEN sqrt(d2) > 5.0 / ln(2.0) THEN 0.0 ELSE exp(-sqrt(d2) / (5.0 / ln(2.0))) END AS w FROM m)
   SELECT round(sum(w), 6) AS w, round(sum(w * o) / sum(w), 6) AS mean_plane, round(sum(w * d) / sum(w), 6) AS mean_point FROM w""")
 def reg_error_pt_plane_pt_pt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(knn.registration_error(_even_to_odd(spark, sf_dir), 5.0), "w", "mean_plane", "mean_point")
+    return rounded(knn.registration_error(_moved_to_points(spark, sf_dir), 5.0), "w", "mean_plane", "mean_point")
+
 
+SHIFTED = f"""{CELLS}, p AS (SELECT a.id, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS c, {OFF} AS b, exp(-sqrt(sqrt({D2}))) AS wd FROM cells a JOIN cells b ON {NEAR} AND a.id <> b.id),
+  g AS (SELECT id, count(*) AS n, sum(c * wd * c * c * b) AS g, sum(c * wd * c * c * c) AS h FROM p WHERE c > 0 GROUP BY id), s AS (SELECT id, n, -g / h AS shift FROM g)"""
 
-@query(f"""WITH {CELLS}, p AS (SELECT a.id, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS c, {OFF} AS b, exp(-sqrt(sqrt({D2}))) AS wd FROM cells a JOIN cells b ON {NEAR} AND a.id <> b.id),
-  s AS (SELECT id, count(*) AS n, sum(c * wd * c * c * b) AS g, sum(c * wd * c * c * c) AS h FROM p WHERE c > 0 GROUP BY id)
-  SELECT id, n, round(CASE WHEN n >= 3 AND abs(-g / h) < 0.5 THEN -g / h END, 6) AS shift FROM s""")
+
+@query(f"WITH {SHIFTED} SELECT id, n, round(CASE WHEN n >= 3 AND abs(shift) < 0.5 THEN shift END, 6) AS shift FROM s")
 def adapt_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.plane_shift(points(spark, sf_dir), EXTENT), "shift")
 
@@ -199,12 +204,12 @@ def icp_point_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return icp.register_known_move(points(spark, sf_dir), EXTENT)
 
 
-@query()
+@query(f"""WITH {SHIFTED} SELECT id, round(x + shift * nx, 6) AS x, round(y + shift * ny, 6) AS y, round(z + shift * nz, 6) AS z, n FROM s JOIN points USING (id) WHERE n >= 3 AND abs(shift) < 0.5""")
 def map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that have a plane shift, moved by it: one Jacobi pass of the map filter."""
     p = points(spark, sf_dir)
     s = knn.plane_shift(p, EXTENT).where("shift is not null")
-    return p.join(s, "id").select("id", *[(F.col(c) + F.col("shift") * F.col("n" + c)).alias(c) for c in "xyz"], "n")
+    return rounded(p.join(s, "id").select("id", *[(F.col(c) + F.col("shift") * F.col("n" + c)).alias(c) for c in "xyz"], "n"), *"xyz")
 
 
 @query()

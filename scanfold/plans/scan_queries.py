@@ -111,9 +111,9 @@ def preprocessed_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.preprocess(pixels(spark, sf_dir))
 
 
-@query(f"WITH {PIXELS}, s AS (SELECT DISTINCT frame FROM pixels) SELECT frame, row, col, dist FROM pixels WHERE dist IS NOT NULL AND dist < 3")
+@query(f"WITH {PIXELS} SELECT frame, row, col, dist FROM pixels WHERE dist IS NOT NULL")
 def valid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels(spark, sf_dir).where("dist is not null and dist < 3")
+    return pixels(spark, sf_dir).where("dist is not null")
 
 
 SEGMENTS = f"""WITH RECURSIVE {PIXELS}, px AS (SELECT frame, row, col, dist, row * 100000 + col AS k FROM pixels WHERE dist IS NOT NULL),
@@ -162,18 +162,19 @@ def links_top1_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.best_link(links.count_links(hits(spark, sf_dir)), last=False)
 
 
-@query(f"""WITH {HITS}, a AS (SELECT src, dst, count(*) AS before FROM hits WHERE day <= 3 GROUP BY ALL), b AS (SELECT src, dst, count(*) AS after FROM hits WHERE day > 3 AND day <= 6 GROUP BY ALL)
+@query(f"""WITH {HITS}, a AS (SELECT src, dst, count(*) AS before FROM hits WHERE day <= 15 GROUP BY ALL), b AS (SELECT src, dst, count(*) AS after FROM hits WHERE day > 15 GROUP BY ALL)
   SELECT coalesce(a.src, b.src) AS src, coalesce(a.dst, b.dst) AS dst, before, after FROM a FULL OUTER JOIN b ON a.src = b.src AND a.dst = b.dst""")
 def segment_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = hits(spark, sf_dir)
-    return links.full_match(links.count_links(h.where("day <= 3")), links.count_links(h.where("day > 3 and day <= 6")))
+    return links.full_match(links.count_links(h.where("day <= 15")), links.count_links(h.where("day > 15")))
 
 
-@query(f"WITH {HITS} SELECT a.src, b.dst, CAST(count(*) AS BIGINT) AS strength FROM (SELECT * FROM hits WHERE day = 1) a JOIN (SELECT * FROM hits WHERE day = 2) b ON a.src = b.src GROUP BY a.src, b.dst")
+@query(f"WITH {HITS} SELECT a.src, b.dst, CAST(count(*) AS BIGINT) AS strength FROM hits a JOIN hits b ON a.src = b.src AND b.day = a.day + 1 GROUP BY a.src, b.dst")
 def pixel_colocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's hits against the next day's on the same pixel."""
     h = hits(spark, sf_dir)
-    a, b = h.where("day = 1").select("src", F.col("src").alias("pixel")), h.where("day = 2").select("dst", F.col("src").alias("pixel"))
-    return links.colocated(a, b, ["pixel"])
+    a, b = h.select("src", "day", F.col("src").alias("pixel")), h.select("dst", (F.col("day") - 1).alias("day"), F.col("src").alias("pixel"))
+    return links.colocated(a, b, ["pixel", "day"])
 
 
 @query()

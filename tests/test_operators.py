@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,15 @@ def test_noise_and_kernels(spark, tmp_path):
     assert [r.label for r in got] == [1, 2] and got[0].decision_1_2 == pytest.approx(1 - math.exp(-1))
     params.save(spark, params.TRACKER, str(tmp_path / "p"))
     assert params.load(spark, str(tmp_path / "p")) == params.TRACKER
+
+
+def test_ranked_selects_exact_values(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=30_000), np.full(9_000, 0.25), rng.exponential(1e6, 1_001)])
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * len(values) + ["b"] * 4, "v": np.concatenate([values, [3.0, 1.0, 1.0, 2.0]])}))
+    df = df.unionAll(spark.createDataFrame([("a", None), ("c", None)], "g string, v double"))
+    shares = {"low": 0.05, "mid": 0.5, "high": 0.9, "last": 1.0}
+    got = {(r.g, r.name): r.v for r in learn.ranked(df, ["g"], "v", {k: F.lit(s) for k, s in shares.items()}).collect()}
+    for g, all_of in (("a", np.sort(values)), ("b", np.array([1.0, 1.0, 2.0, 3.0]))):
+        assert {k: got.pop((g, k)) for k in shares} == {k: all_of[min(int(np.floor(len(all_of) * s)), len(all_of) - 1)] for k, s in shares.items()}
+    assert not got
