@@ -114,3 +114,27 @@ def join_pose(rotation: Column, translation: Column) -> Column:
     """The 4 x 4 pose of a rotation and a translation."""
     rows = [F.concat(F.slice(rotation, 3 * r + 1, 3), F.array(translation.getItem(r))) for r in range(3)]
     return F.concat(*rows, F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
+
+
+def compose_pose(a: Column, b: Column) -> Column:
+    """The pose that first applies ``b``, then ``a``."""
+    x, y = [a.getItem(i) for i in range(16)], [b.getItem(i) for i in range(16)]
+    return F.array(*[sum((x[4 * r + k] * y[4 * k + c] for k in range(1, 4)), x[4 * r] * y[c]) for r in range(4) for c in range(4)])
+
+
+def recentred(m: Column, x: Column, y: Column, z: Column) -> Column:
+    """A pose whose origin is moved to a point given in its own frame; its rotation stays."""
+    e = [m.getItem(i) for i in range(16)]
+    t = transform_point(m, x, y, z)
+    return F.array(*[t[i // 4] if i in (3, 7, 11) else c for i, c in enumerate(e)])
+
+
+def unskewed(point: tuple[Column, Column, Column], move: tuple[Column, ...], col: Column, width: int, blocks: int) -> tuple[Column, Column, Column]:
+    """A point of a turning scan as seen from the pose at the scan's end.
+
+    ``move`` is yaw, pitch, roll, x, y and z of the sensor's way back from the end to the start of the scan. It applies
+    in full to the first block of columns and less by one share to each block after it.
+    """
+    block = max(width // blocks, 1)
+    share = F.greatest(1 - F.floor(col / block) * F.lit(block / width), F.lit(0.0))
+    return transform_point(pose_matrix(*[share * c for c in move]), *point)

@@ -85,3 +85,40 @@ def register_known_move(points: DataFrame, extent: float) -> DataFrame:
     pose = register(moved(points, start), points, extent)
     rows = [(f"r{i}{j}", float(pose.rotation[i, j])) for i in range(3) for j in range(3)] + [(f"t{i}", float(pose.translation[i])) for i in range(3)] + [("error", pose.error)]
     return points.sparkSession.createDataFrame(rows, "term string, value double")
+
+
+def rigid_fit(m: DataFrame) -> Pose:
+    """The rotation and translation that best lay the points a_x, a_y, a_z of matches on b_x, b_y, b_z by weight ``w``.
+
+    One pass sums the weighted moments; the singular vectors of their 3 x 3 cross-covariance give the rotation. The
+    identity without any weight.
+    """
+    a, b = ([F.col(p + c) for c in "xyz"] for p in ("a_", "b_"))
+    w = F.col("w")
+    sums = [F.sum(w).alias("w")] + [F.sum(w * c).alias(f"{n}{i}") for n, p in (("a", a), ("b", b)) for i, c in enumerate(p)]
+    sums += [F.sum(w * a[i] * b[j]).alias(f"c{i}{j}") for i in range(3) for j in range(3)] + [F.sum(w * sum(x * x for x in p)).alias(n) for n, p in (("aa", a), ("bb", b))]
+    s = m.agg(*sums).first()
+    if not s["w"]:
+        return Pose(np.eye(3), np.zeros(3))
+    ma, mb = (np.array([s[f"{n}{i}"] for i in range(3)]) / s["w"] for n in "ab")
+    cross = np.array([[s[f"c{i}{j}"] for j in range(3)] for i in range(3)]) / s["w"] - np.outer(ma, mb)
+    u, _, vt = np.linalg.svd(cross)
+    flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(vt.T @ u.T)) or 1.0])
+    r = vt.T @ flip @ u.T
+    rest = (s["aa"] / s["w"] - ma @ ma) + (s["bb"] / s["w"] - mb @ mb) - 2 * np.trace(r @ cross)
+    return Pose(r, mb - r @ ma, float(np.sqrt(max(rest, 0.0))), 1)
+
+
+def register_points(scan: DataFrame, target: DataFrame, extent: float, half: float = 5.0, most_rounds: int = 10, tolerance: float = 1e-3) -> Pose:
+    """The pose that lays ``scan`` on ``target`` by points alone: nearest neighbours and ``rigid_fit`` in turn, until the
+    error changes by less than ``tolerance`` of itself."""
+    pose = Pose(np.eye(3), np.zeros(3))
+    for k in range(most_rounds):
+        now = moved(scan, pose)
+        m = knn.matched(now, target, knn.knn(now, target, 1, extent, same_table=False))
+        d = F.sqrt("d2")
+        step = rigid_fit(m.withColumn("w", knn.correspondence_weight(d, d, half)))
+        last, pose = pose.error, Pose(step.rotation @ pose.rotation, step.rotation @ pose.translation + step.translation, step.error, k + 1)
+        if abs(last - pose.error) <= tolerance * (pose.error + 1e-12):
+            break
+    return pose

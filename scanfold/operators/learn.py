@@ -21,6 +21,7 @@ def mean_std(vectors: DataFrame) -> DataFrame:
 
 
 SKETCH = 10_000  # rank error of the sketch that brackets a selection: one part of this
+STEPS = 200  # quantiles taken from the sketch; their distance is well above its error
 MOST_BRACKETS = 10_000  # brackets that may be broadcast; beyond that their join shuffles
 
 
@@ -29,16 +30,16 @@ def ranked(rows: DataFrame, by: list[str], value: str, shares: dict[str, Column]
 
     ``shares`` gives for each name a share of 0 to 1 of a group's n non-null values; the rank, from 0, is the floor of n
     times the share, held to n - 1. A quantile sketch brackets each rank, the values below the bracket are
-    counted, and only distinct values within it, a few parts in ``SKETCH`` of the group, are put in order. The
+    counted, and only distinct values within it, three parts in ``STEPS`` of the group, are put in order. The
     brackets, a row a group and name, are stored and counted; they are broadcast up to ``MOST_BRACKETS``. ``by`` names at
     least one column; empty groups give no row.
     """
     v = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), s.cast("double").alias("share")) for k, s in shares.items()]))
-    sketch = F.percentile_approx("v", [i / SKETCH for i in range(SKETCH + 1)], SKETCH)
+    sketch = F.percentile_approx("v", [i / STEPS for i in range(STEPS + 1)], SKETCH)
     q = v.groupBy(*by).agg(F.count("*").alias("n"), sketch.alias("q")).select(*by, "n", "q", at.alias("at")).select(*by, "n", "q", "at.name", "at.share")
-    step = F.floor(F.col("share") * SKETCH).cast("int")
-    edge = [F.element_at("q", F.greatest(F.least(step + i, F.lit(SKETCH)), F.lit(0)) + 1) for i in (-3, 4)]
+    step = F.floor(F.col("share") * STEPS).cast("int")
+    edge = [F.element_at("q", F.greatest(F.least(step + i, F.lit(STEPS)), F.lit(0)) + 1) for i in (-1, 2)]
     q = q.select(*by, "name", "n", F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1).alias("k"), edge[0].alias("from"), edge[1].alias("to"))
     q = stored(q)
     j = v.join(F.broadcast(q) if q.count() <= MOST_BRACKETS else q, by)

@@ -84,3 +84,29 @@ def edge_score(n1: tuple[Column, ...], n2: tuple[Column, ...], along: tuple[Colu
     c2 = -sum(a * b for a, b in zip(n2, along, strict=True))
     convex = soft_threshold(F.greatest(c1, c2), convex_at, convex_slope)
     return F.greatest(upright, alike, convex)
+
+
+def hard_edge(n1: tuple[Column, ...], n2: tuple[Column, ...], along: tuple[Column, ...], length: Column, normal_at: float = 0.049, convex_at: float = 0.104, upright_at: float = 0.5) -> Column:
+    """Whether an edge holds by fixed thresholds: convex from both ends, normals alike by an angle that grows with the
+    edge's length, or both surfaces upright."""
+    dot = sum(a * b for a, b in zip(n1, n2, strict=True))
+    c1 = sum(a * b for a, b in zip(n1, along, strict=True))
+    c2 = -sum(a * b for a, b in zip(n2, along, strict=True))
+    alike = dot >= 1 - length * F.sin(F.acos(F.lit(1 - normal_at)))
+    return ((c1 <= convex_at) & (c2 <= convex_at)) | alike | ((F.abs(n1[2]) < upright_at) & (F.abs(n2[2]) < upright_at))
+
+
+def blended(score: Column, conf1: Column, conf2: Column, square: bool = False) -> Column:
+    """A score trusted as far as both normals are: 1 where both are uncertain, towards 0 as their confidences differ."""
+    mean, gap = (conf1 + conf2) / 2, F.abs(conf1 - conf2)
+    return (1 - (gap * gap if square else gap)) * (mean * score + 1 - mean)
+
+
+def multiscale(rows: DataFrame, score: str, score2: str, axis: str = "col") -> DataFrame:
+    """Rows with ``multi``: the score of the edge to the next pixel of a line, held to the better of the two edges of
+    length 2 that cover it (``score2``, of each pixel to the next but one). Edges that lack either keep their score."""
+    other = "row" if axis == "col" else "col"
+    w = Window.partitionBy("frame", other).orderBy(axis)
+    before = F.when(F.lag(axis).over(w) == F.col(axis) - 1, F.lag(score2).over(w))
+    both = F.when(before.isNotNull() & F.col(score2).isNotNull(), F.greatest(before, F.col(score2)))
+    return rows.withColumn("multi", F.least(F.col(score), F.coalesce(both, F.col(score))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
@@ -162,3 +162,17 @@ def stratified(rows: DataFrame, wanted: int, upper: Column, order: str, by: str)
 def registration_order(tracks: DataFrame) -> DataFrame:
     """Tracks (uid, age, n) with ``place``: moving long-term tracks first, by age and then points, both descending."""
     return tracks.withColumn("place", F.row_number().over(Window.orderBy(F.desc("age"), F.desc("n"), "uid")))
+
+
+def result_filter(static: bool = True, age: int | None = None, idle: int | None = None, points: int | None = None, distance: float | None = None, flatness: float | None = None, volume: float | None = None) -> Column:
+    """Whether a result (uid, age, idle, points, x, y, z, ex, ey, ez) is shown: older than ``age``, idle for fewer than
+    ``idle`` frames, of more than ``points``, nearer than ``distance``, with a log of its width by its height below
+    ``flatness`` and less than ``volume``. The world, uid 1, is shown if ``static``; filters left out pass all."""
+    ok = F.lit(True) if static else F.col("uid") != 1
+    wide = F.log(F.try_divide(F.greatest("ex", "ey"), F.col("ez")))
+    for value, rule in ((age, lambda v: F.col("age") > v), (idle, lambda v: F.col("idle") < v), (points, lambda v: F.col("points") > v),
+                        (distance, lambda v: F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2) < v), (flatness, lambda v: F.coalesce(wide < v, F.lit(False))),
+                        (volume, lambda v: F.col("ex") * F.col("ey") * F.col("ez") < v)):
+        if value is not None:
+            ok = ok & rule(value)
+    return ok
