@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from scanfold.functions.soft import soft_threshold
 
+STRIDE = 100_000  # of rows in the names of pixels; a line has fewer pixels
+
 
 def pixel_edges(rows: DataFrame, most: float) -> DataFrame:
     """Edges (frame, r1, c1, r2, c2) between neighbouring returns that differ by less than ``most``."""
@@ -25,16 +29,18 @@ def pixel_edges(rows: DataFrame, most: float) -> DataFrame:
 def segment_frames(rows: DataFrame, most: float) -> DataFrame:
     """(frame, row, col, dist, segment) of each return; a segment is named by its first pixel, row * 100000 + col.
 
-    A frame is an image of bounded size, so its labels are spread in one task, in numpy sweeps until none changes.
+    Frames lie together and in order within a partition. Each Arrow batch labels all frames that end in it at once, in
+    numpy sweeps until none changes; only the rows of the last, open frame are carried on. Null frames are one frame.
     """
 
-    def label(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["dist"].notna()].copy()
-        own = (pdf["row"] * 100_000 + pdf["col"]).to_numpy(np.int64)
-        order = np.argsort(own)
-        own, dist = own[order], pdf["dist"].to_numpy()[order]
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["dist"].notna()].sort_values(["nth", "row", "col"], kind="stable")
+        place = (pdf["row"].astype("int64") * STRIDE + pdf["col"]).to_numpy(np.int64)
+        # places of different frames lie too far apart to touch; a frame's pixels are below the span
+        span = int(place.max(initial=0) - place.min(initial=0)) + 2 * STRIDE
+        own, dist = pdf["nth"].to_numpy(np.int64) * span + place, pdf["dist"].to_numpy()
         a, b = [], []
-        for step in (1, 100_000):
+        for step in (1, STRIDE):
             at = np.minimum(np.searchsorted(own, own + step), max(len(own) - 1, 0))
             ok = (own[at] == own + step) & (np.abs(dist[at] - dist) < most) if len(own) else np.zeros(0, bool)
             a.append(np.flatnonzero(ok)), b.append(at[ok])
@@ -49,9 +55,33 @@ def segment_frames(rows: DataFrame, most: float) -> DataFrame:
             if (new == seg).all():
                 break
             seg = new
-        return pd.DataFrame({"frame": np.full(len(own), key[0]), "row": (own // 100_000).astype(np.int32), "col": (own % 100_000).astype(np.int32), "dist": dist, "segment": own[seg]})
-
-    return rows.select("frame", F.col("row").cast("int"), F.col("col").cast("int"), "dist").groupBy("frame").applyInPandas(label, "frame long, row int, col int, dist double, segment long")
+        return pdf.assign(segment=place[seg])[["frame", "row", "col", "dist", "segment"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            frame = pdf["frame"]
+            ends = np.flatnonzero((frame != frame.shift()) & ~(frame.isna() & frame.shift().isna()))
+            last = int(ends[-1]) if len(ends) else 0
+            same = held and (held[-1]["frame"].iloc[-1] == frame.iloc[0] or (pd.isna(held[-1]["frame"].iloc[-1]) and pd.isna(frame.iloc[0])))
+            if last == 0 and same:
+                held.append(pdf)
+                continue
+            if last > 0 or held:
+                yield label(_numbered(pd.concat([*held, pdf.iloc[:last]])))
+            held = [pdf.iloc[last:]]
+        if held:
+            yield label(_numbered(pd.concat(held)))
+
+    one = rows.select("frame", F.col("row").cast("int"), F.col("col").cast("int"), "dist").repartition("frame").sortWithinPartitions("frame")
+    return one.mapInPandas(run, "frame long, row int, col int, dist double, segment long")
+
+
+def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows with the number of their frame among these, the null frame being one too."""
+    return pdf.assign(nth=pd.factorize(pdf["frame"], use_na_sentinel=False)[0])
 
 
 def segment_stats(labelled: DataFrame, least: int = 1, near_factor: float = 0.0) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from scanfold.functions import geo, mat
 from scanfold.functions.vec import norm3
 from scanfold.operators import audit, icp, knn, segments, tracks
+from scanfold.stored import stored
 
 from .grid_queries import D2, EXTENT, FIRST, PIX, _moved_to_points, _pixels
 from .registry import query, rounded
@@ -166,7 +167,7 @@ def ids_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frame_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels of each frame against segments of at least three pixels."""
     p = pixels(spark, sf_dir)
-    lab = segments.segment_frames(p, 2.0)
+    lab = stored(segments.segment_frames(p, 2.0))
     return audit.frame_audit(p.join(lab.drop("dist"), ["frame", "row", "col"], "left"), segments.segment_stats(lab, 3))
 
 

@@ -230,3 +230,15 @@ def test_ranked_selects_exact_values(spark):
     for g, all_of in (("a", np.sort(values)), ("b", np.array([1.0, 1.0, 2.0, 3.0]))):
         assert {k: got.pop((g, k)) for k in shares} == {k: all_of[min(int(np.floor(len(all_of) * s)), len(all_of) - 1)] for k, s in shares.items()}
     assert not got
+
+
+def test_segments_span_batches_and_null_frames(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(f, r, c, 1.0 + 5 * (c > 2)) for f in (7, None, 9) for r in range(2) for c in range(5)] + [(11, 0, 0, None)]
+        df = spark.createDataFrame(rows, "frame long, row int, col int, dist double")
+        got = segments.segment_frames(df, 2.0).groupBy("frame", "segment").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r.frame or 0, r.segment, r["count"]) for r in got)) == [(f, s, n) for f in (0, 7, 9) for s, n in ((0, 6), (3, 4))]
+    assert segments.segment_frames(df.limit(0), 2.0).count() == 0
