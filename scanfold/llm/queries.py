@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import durable, mixing, packing, pii, quality, urlfilter, warc
+from . import durable, mixing, packing, pii, quality, suffixes, urlfilter, warc
 from .fingerprint import edited_fingerprints
 from .minhash import minhash_components
 from .neighbours import similar_vectors
@@ -78,12 +78,18 @@ def op10_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("mix_id").alias("doc_id"), F.col("mix_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("mix_size")).alias("taken"))
 
 
+def op11_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.drop_repeats(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_nn_descent, op3_best_fit_packing, op4_pii_boosting, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op8_chained_passages, op9_quality_rules, op10_systematic_mixing)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_nn_descent, op3_best_fit_packing, op4_pii_boosting, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op8_chained_passages, op9_quality_rules, op10_systematic_mixing, op11_difference_cover)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_vocabulary": urlfilter.oracle_sql(), "op10_systematic_mixing": mixing.ORACLE_SQL, "op5_warc_normaliser": WARC_SQL}
+    return {"op6_url_vocabulary": urlfilter.oracle_sql(), "op10_systematic_mixing": mixing.ORACLE_SQL, "op5_warc_normaliser": WARC_SQL, "op11_difference_cover": suffixes.ORACLE_SQL}
 
 
 WARC_SQL = """
