@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import durable, mixing, packing, pii, quality, suffixes, urlfilter, warc
+from . import conversations, durable, mixing, negatives, packing, pii, quality, suffixes, urlfilter, warc
 from .fingerprint import edited_fingerprints
 from .minhash import minhash_components
 from .neighbours import similar_vectors
@@ -84,12 +84,20 @@ def op11_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_distance_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.prepared(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_dedup, op2_nn_descent, op3_best_fit_packing, op4_pii_boosting, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op8_chained_passages, op9_quality_rules, op10_systematic_mixing, op11_difference_cover)}
+    return {f.__name__: f for f in (op1_minhash_dedup, op2_nn_descent, op3_best_fit_packing, op4_pii_boosting, op5_warc_normaliser, op6_url_vocabulary, op7_bottom_k_fingerprints, op8_chained_passages, op9_quality_rules, op10_systematic_mixing, op11_difference_cover, op12_distance_keys, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_vocabulary": urlfilter.oracle_sql(), "op10_systematic_mixing": mixing.ORACLE_SQL, "op5_warc_normaliser": WARC_SQL, "op11_difference_cover": suffixes.ORACLE_SQL}
+    return {"op6_url_vocabulary": urlfilter.oracle_sql(), "op10_systematic_mixing": mixing.ORACLE_SQL, "op5_warc_normaliser": WARC_SQL, "op11_difference_cover": suffixes.ORACLE_SQL, "op12_distance_keys": negatives.ORACLE_SQL}
 
 
 WARC_SQL = """
