@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import knn
+from . import kdtree, knn
 
 
 @dataclass
@@ -58,13 +58,14 @@ def normal_equations(m: DataFrame, half: float) -> tuple[np.ndarray, np.ndarray,
     return h, np.array([s[f"g{i}"] or 0.0 for i in range(6)]), s["e"] or 0.0, s["w"] or 0.0
 
 
-def register(scan: DataFrame, surface: DataFrame, extent: float, half: float = 5.0, most_rounds: int = 10, tolerance: float = 0.01, ridge: float = 1e-6) -> Pose:
+def register(scan: DataFrame, surface: DataFrame, half: float = 5.0, most_rounds: int = 10, tolerance: float = 0.01, ridge: float = 1e-6) -> Pose:
     """The pose that lays ``scan`` on ``surface``, from the identity: stops when three changes of the error are below
     ``tolerance``; angles of a step are held to 0.1 rad."""
     pose, errors = Pose(np.eye(3), np.zeros(3)), []
+    index = kdtree.index(surface, knn.AXES)
     for k in range(most_rounds):
         now = moved(scan, pose)
-        m = knn.matched(now, surface, knn.knn(now, surface, 1, extent, same_table=False))
+        m = knn.matched(now, surface, kdtree.search(index, now, 1, same_table=False))
         h, g, e, w = normal_equations(m, half)
         if w < 1:
             break
@@ -79,10 +80,10 @@ def register(scan: DataFrame, surface: DataFrame, extent: float, half: float = 5
     return pose
 
 
-def register_known_move(points: DataFrame, extent: float) -> DataFrame:
+def register_known_move(points: DataFrame) -> DataFrame:
     """(term, value): pose and error of the registration of slightly moved points onto the points themselves."""
     start = Pose(rotation_from(np.array([0.004, -0.006, 0.01])), np.array([0.05, -0.04, 0.03]))
-    pose = register(moved(points, start), points, extent)
+    pose = register(moved(points, start), points)
     rows = [(f"r{i}{j}", float(pose.rotation[i, j])) for i in range(3) for j in range(3)] + [(f"t{i}", float(pose.translation[i])) for i in range(3)] + [("error", pose.error)]
     return points.sparkSession.createDataFrame(rows, "term string, value double")
 
@@ -109,13 +110,14 @@ def rigid_fit(m: DataFrame) -> Pose:
     return Pose(r, mb - r @ ma, float(np.sqrt(max(rest, 0.0))), 1)
 
 
-def register_points(scan: DataFrame, target: DataFrame, extent: float, half: float = 5.0, most_rounds: int = 10, tolerance: float = 1e-3) -> Pose:
+def register_points(scan: DataFrame, target: DataFrame, half: float = 5.0, most_rounds: int = 10, tolerance: float = 1e-3) -> Pose:
     """The pose that lays ``scan`` on ``target`` by points alone: nearest neighbours and ``rigid_fit`` in turn, until the
     error changes by less than ``tolerance`` of itself."""
     pose = Pose(np.eye(3), np.zeros(3))
+    index = kdtree.index(target, knn.AXES)
     for k in range(most_rounds):
         now = moved(scan, pose)
-        m = knn.matched(now, target, knn.knn(now, target, 1, extent, same_table=False))
+        m = knn.matched(now, target, kdtree.search(index, now, 1, same_table=False))
         d = F.sqrt("d2")
         step = rigid_fit(m.withColumn("w", knn.correspondence_weight(d, d, half)))
         last, pose = pose.error, Pose(step.rotation @ pose.rotation, step.rotation @ pose.translation + step.translation, step.error, k + 1)

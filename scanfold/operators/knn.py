@@ -1,24 +1,12 @@
-"""Nearest neighbours and radius joins by buckets, without cross joins.
-
-``knn`` searches the 27 cells around each query and widens the search only for queries whose k-th neighbour is not yet
-proven: a neighbour within a cell's extent of the query can't lie outside these.
-"""
+"""Nearest neighbours over a k-d split, radius joins by cells, and what is computed from matches."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scanfold.stored import stored
-
-from .grid import AXES, CELL, neighbours, with_cells
-
-#: Points of a cell for each neighbour asked for, beyond which cells are halved, and times they are.
-DENSE = 8
-HALVINGS = 20
-#: Queries left open, 100 or one in so many points, whose cells grow faster.
-FEW = 1000
-
+from . import kdtree
+from .grid import AXES, neighbours
 
 def squared(cols: tuple[str, ...] = AXES, weights: dict[str, float] | None = None) -> Column:
     """Squared distance of a_* and b_* columns, each weighted."""
@@ -26,59 +14,25 @@ def squared(cols: tuple[str, ...] = AXES, weights: dict[str, float] | None = Non
     return sum(((F.col("a_" + c) - F.col("b_" + c)) * F.lit(w.get(c, 1.0))) ** 2 for c in cols)
 
 
-def _start_extent(points: DataFrame, extent: float, k: int) -> float:
-    """``extent``, halved while a point's own cell holds more than DENSE * (k + 1) points on average."""
-    for _ in range(HALVINGS):
-        n = with_cells(points, extent).groupBy(*CELL).agg(F.count("*").cast("double").alias("n"))
-        s = n.agg(F.sum(F.col("n") * F.col("n")), F.sum("n")).first()
-        if not s[1] or s[0] / s[1] <= DENSE * (k + 1):
-            break
-        extent /= 2
-    return extent
-
-
-def knn(queries: DataFrame, points: DataFrame, k: int, extent: float, same_table: bool = True, extra: dict[str, float] | None = None) -> DataFrame:
-    """(id, near_id, d2, nth) of the k nearest points of each query by x, y, z and the weighted ``extra`` columns; fewer
-    only where the table has fewer points.
+def knn(queries: DataFrame, points: DataFrame, k: int, same_table: bool = True, extra: dict[str, float] | None = None, weights: dict[str, float] | None = None) -> DataFrame:
+    """(id, near_id, d2, nth) of the k nearest points of each query by x, y, z and the ``extra`` columns, with their weights
+    and those of the axes in ``weights``; fewer only where the table has fewer points.
 
-    Ties go to the lesser id. With ``same_table`` a point is not its own neighbour. ``extra`` can only add to the
-    distance, so the cells of x, y and z bound it too. The search goes on for the queries that are not proven, with cells
-    of twice the extent, until cells are as wide as the space of all points. What a round finds and leaves is stored.
-    Rows with a null or non-finite coordinate are left out.
+    Ties go to the lesser id. With ``same_table`` a point is not its own neighbour. Rows with a null or non-finite value in
+    any of the columns are left out. To search a table repeatedly, see ``index`` and ``search`` of ``kdtree``.
     """
-    cols = (*AXES, *(extra or {}))
-    finite = sum((F.abs(F.col(c)) for c in AXES), F.lit(0.0)) < F.lit(float("inf"))
-    queries, points = (t.select("id", *cols).where(finite) for t in (queries, points))
-    both = queries.select(*AXES).unionAll(points.select(*AXES))
-    bounds = both.agg(*[(F.max(c) - F.min(c)).alias(c) for c in AXES]).first()
-    span = max((b or 0.0) for b in bounds)
-    total = points.count()
-    most = min(k, total - 1 if same_table else total)
-    extent = _start_extent(points, extent, k)
-    open_q, done = queries, None
-    while True:
-        p = neighbours(open_q, points, extent, 1)
-        if same_table:
-            p = p.where("a_id <> b_id")
-        p = p.withColumn("d2", squared(cols, extra))
-        w = Window.partitionBy("a_id").orderBy("d2", "b_id")
-        # the window's limit is taken before the shuffle too, so a dense cell's pairs do not leave their task
-        near = p.select("a_id", "b_id", "d2").withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
-        if extent >= span:
-            found = near
-        else:
-            proven = (F.count("*").over(Window.partitionBy("a_id")) == most) & (F.max("d2").over(Window.partitionBy("a_id")) <= extent * extent)
-            found = stored(near.withColumn("proven", proven).where("proven").drop("proven"))
-        done = found if done is None else done.unionAll(found)
-        if extent >= span:
-            break
-        open_q = stored(open_q.join(found.select(F.col("a_id").alias("id")).distinct(), "id", "left_anti"))
-        left = open_q.count()
-        if not left:
-            break
-        # queries that are few are soon compared with wide cells
-        extent *= 2 if left > max(100, total // FEW) else 16
-    return done.select(F.col("a_id").alias("id"), F.col("b_id").alias("near_id"), "d2", "nth")
+    return kdtree.search(kdtree.index(points, (*AXES, *(extra or {})), {**(weights or {}), **(extra or {})}, k), queries, k, same_table)
+
+
+def map_matches(scan: DataFrame, surface: DataFrame, centre: tuple[float, float, float], reach: float, k: int = 1, stretch: float = 2.0) -> DataFrame:
+    """(id, near_id, dist, w, nth): the ``k`` nearest of the surface points within ``reach`` of the scan's centre, in place,
+    heights stretched, and normal. ``dist`` is the true distance; a match weighs as much less as it is farther than the first."""
+    at = sum((F.col(a) - F.lit(float(c))) ** 2 for a, c in zip(AXES, centre, strict=True))
+    near_by = surface.where(at < F.lit(float(reach) ** 2))
+    m = matched(scan, near_by, knn(scan, near_by, k, False, {"n" + a: 1.0 for a in AXES}, {"z": stretch}))
+    m = m.withColumn("dist", F.sqrt(squared()))
+    first = F.min(F.when(F.col("nth") == 1, F.col("dist"))).over(Window.partitionBy("id"))
+    return m.select("id", "near_id", "dist", F.least(F.lit(1.0), first / F.greatest(F.col("dist"), F.lit(1e-8))).alias("w"), "nth")
 
 
 def radius_pairs(points: DataFrame, radius: float, apart: int = 0) -> DataFrame:

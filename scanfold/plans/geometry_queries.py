@@ -13,7 +13,7 @@ from scanfold.functions.vec import norm3
 from scanfold.operators import audit, icp, knn, segments, tracks
 from scanfold.stored import stored
 
-from .grid_queries import D2, EXTENT, FIRST, PIX, _moved_to_points, _pixels
+from .grid_queries import D2, FIRST, MOVE, PIX, _moved_to_points, _pixels
 from .registry import query, rounded
 from .scan_queries import SEGMENTS
 from .views import PIXELS, POINTS, POSES, SCAN, pixels, points, poses, scan, table
@@ -116,10 +116,23 @@ SEVEN = f"({D2} + 4 * ((a.nx - b.nx) ** 2 + (a.ny - b.ny) ** 2 + (a.nz - b.nz) *
 def knn_7d_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest in place, normal and confidence, if it is within 6."""
     p = points(spark, sf_dir)
-    near = knn.knn(p, p, 1, EXTENT, extra={"nx": 2.0, "ny": 2.0, "nz": 2.0, "conf": 3.0})
+    near = knn.knn(p, p, 1, extra={"nx": 2.0, "ny": 2.0, "nz": 2.0, "conf": 3.0})
     return rounded(near.where("d2 <= 36").select("id", "near_id", "d2"), "d2")
 
 
+SIX = f"({D2} + 3 * (a.z - b.z) ** 2 + (a.nx - b.nx) ** 2 + (a.ny - b.ny) ** 2 + (a.nz - b.nz) ** 2)"
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT * FROM points WHERE (x - 1) ** 2 + (y + 2) ** 2 + (z - 3) ** 2 < 144), a AS (SELECT * REPLACE ({", ".join(f"{c} + {d} AS {c}" for c, d in MOVE.items())}) FROM points),
+  m AS (SELECT a.id, b.id AS near_id, sqrt({D2}) AS dist, CAST(row_number() OVER (PARTITION BY a.id ORDER BY {SIX}, b.id) AS INTEGER) AS nth FROM a, b QUALIFY nth <= 3)
+  SELECT id, near_id, round(dist, 6) AS dist, round(least(1.0, first_value(dist) OVER (PARTITION BY id ORDER BY nth) / greatest(dist, 1e-8)), 6) AS w, nth FROM m""")
+def map_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A moved scan against the part of the map around it, by place, heights twofold, and normal."""
+    b = points(spark, sf_dir)
+    a = b.withColumns({c: F.col(c) + d for c, d in MOVE.items()})
+    return rounded(knn.map_matches(a, b, (1.0, -2.0, 3.0), 12.0, 3), "dist", "w")
+
+
 @query(f"""WITH {POINTS}, {PIX}, s AS (SELECT pix.*, conf, max(dist) OVER (PARTITION BY px, py) - dist AS plane, abs(nx * x + ny * y + nz * z) / dist AS c FROM pix JOIN points USING (id)),
   seen AS (SELECT DISTINCT px, py FROM pix JOIN points USING (id) WHERE label <> 3 AND px IS NOT NULL AND py IS NOT NULL)
   SELECT id FROM s LEFT JOIN seen g USING (px, py) WHERE NOT coalesce(plane > 3.0 * dist / 10 AND (conf < 0.4 OR c > 0.5) AND g.px IS NOT NULL, false)""")

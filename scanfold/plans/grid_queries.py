@@ -86,14 +86,14 @@ def _knn_sql(k: int, extra: str = "") -> str:
 @query(_knn_sql(3))
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    return rounded(knn.knn(p, p, 3, EXTENT), "d2")
+    return rounded(knn.knn(p, p, 3), "d2")
 
 
 @query(_knn_sql(2, " + 4 * ((a.nx - b.nx) * (a.nx - b.nx) + (a.ny - b.ny) * (a.ny - b.ny) + (a.nz - b.nz) * (a.nz - b.nz))"))
 def knn_6d_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions and twice the normals."""
     p = points(spark, sf_dir)
-    return rounded(knn.knn(p, p, 2, EXTENT, extra={"nx": 2.0, "ny": 2.0, "nz": 2.0}), "d2")
+    return rounded(knn.knn(p, p, 2, extra={"nx": 2.0, "ny": 2.0, "nz": 2.0}), "d2")
 
 
 @query(f"""WITH {POINTS}, m AS (SELECT a.id, b.id AS near_id, sqrt({D2}) AS d, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS nth FROM points a, points b WHERE a.id <> b.id QUALIFY nth <= 3),
@@ -103,7 +103,7 @@ def knn_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     p = points(spark, sf_dir)
-    m = knn.knn(p, p, 3, EXTENT).withColumn("d", F.sqrt("d2"))
+    m = knn.knn(p, p, 3).withColumn("d", F.sqrt("d2"))
     m = m.withColumn("d0", F.min("d").over(Window.partitionBy("id")))
     return rounded(m.select("id", "near_id", knn.correspondence_weight(F.col("d"), F.col("d0"), 4.0).alias("w")), "w")
 
@@ -128,7 +128,7 @@ def _moved_to_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All points, moved, with their nearest among all points where they were."""
     b = points(spark, sf_dir)
     a = b.withColumns({c: F.col(c) + d for c, d in MOVE.items()})
-    return knn.matched(a, b, knn.knn(a, b, 1, EXTENT, same_table=False))
+    return knn.matched(a, b, knn.knn(a, b, 1, same_table=False))
 
 
 @query(f"WITH {POINTS}, {FIRST} SELECT id, near_id, round(o, 6) AS off, round(x - o * nx, 6) AS px, round(y - o * ny, 6) AS py, round(z - o * nz, 6) AS pz FROM m")
@@ -201,7 +201,7 @@ def convexity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def icp_point_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration of the table's points, moved by a known pose, back onto themselves."""
-    return icp.register_known_move(points(spark, sf_dir), EXTENT)
+    return icp.register_known_move(points(spark, sf_dir))
 
 
 @query(f"""WITH {SHIFTED} SELECT id, round(x + shift * nx, 6) AS x, round(y + shift * ny, 6) AS y, round(z + shift * nz, 6) AS z, n FROM s JOIN points USING (id) WHERE n >= 3 AND abs(shift) < 0.5""")

@@ -43,7 +43,7 @@ def test_points_are_registered_without_normals(spark):
     cols = "id long, x double, y double, z double, nx double, ny double, nz double"
     b = spark.createDataFrame([(i, *map(float, p), 0.0, 0.0, 1.0) for i, p in enumerate(pts)], cols)
     known = icp.Pose(icp.rotation_from(np.array([0.002, -0.003, 0.004])), np.array([0.05, -0.03, 0.02]))
-    pose = icp.register_points(icp.moved(b, known), b, 5.0)
+    pose = icp.register_points(icp.moved(b, known), b)
     assert np.allclose(pose.rotation @ known.rotation, np.eye(3), atol=1e-6) and pose.error < 1e-4
     assert icp.rigid_fit(spark.createDataFrame([], "a_x double, a_y double, a_z double, b_x double, b_y double, b_z double, w double")).rounds == 0
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from scanfold.functions import geo, text
 from scanfold.functions.cells import cell_index
 from scanfold.functions.soft import soft_threshold
-from scanfold.operators import grid, icp, image, knn, learn, links, segments, tracks
+from scanfold.operators import kdtree, grid, icp, image, knn, learn, links, segments, tracks
 
 
 def points(spark, rows):
@@ -37,7 +37,7 @@ def test_knn_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     xyz = np.concatenate((rng.normal(size=(60, 3)), rng.normal(size=(3, 3)) + 40))
     p = points(spark, xyz)
-    got = {(r.id, r.nth): r.near_id for r in knn.knn(p, p, 3, 0.5).collect()}
+    got = {(r.id, r.nth): r.near_id for r in knn.knn(p, p, 3).collect()}
     d = ((xyz[:, None] - xyz[None]) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
     want = {(i, k + 1): j for i in range(len(xyz)) for k, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
@@ -59,10 +59,45 @@ def test_knn_reaches_outliers_and_splits_dense_cells(spark):
     rows = [(0, 0.0, 0.0, 0.0), (1, 0.1, 0.0, 0.0), (2, 1000.0, 0.0, 0.0), (3, -5e5, 7.0, 0.0)]
     rows += [(10 + i, *map(float, rng.normal(3, 0.01, 3))) for i in range(300)]
     p = spark.createDataFrame([*rows, (900, None, 0.0, 0.0), (901, float("nan"), 0.0, 0.0), (902, float("inf"), 0.0, 0.0)], "id long, x double, y double, z double")
-    assert {(r.id, r.nth): r.near_id for r in knn.knn(p, p, 3, 1.0).collect()} == _nearest_brute(rows, 3)
+    assert {(r.id, r.nth): r.near_id for r in knn.knn(p, p, 3).collect()} == _nearest_brute(rows, 3)
     few = p.where("id in (0, 1, 2)")
-    assert {(r.id, r.nth): r.near_id for r in knn.knn(few, few, 5, 1.0).collect()} == _nearest_brute(rows[:3], 5)
-    assert knn.knn(p.limit(0), p, 2, 1.0).count() == 0 and knn.knn(p, p.limit(0), 2, 1.0, same_table=False).count() == 0
+    assert {(r.id, r.nth): r.near_id for r in knn.knn(few, few, 5).collect()} == _nearest_brute(rows[:3], 5)
+    assert knn.knn(p.limit(0), p, 2).count() == 0 and knn.knn(p, p.limit(0), 2, same_table=False).count() == 0
+
+
+@pytest.mark.parametrize("extra", [None, {"nx": 2.0}])
+def test_knn_over_many_leaves(spark, monkeypatch, extra):
+    monkeypatch.setattr(kdtree, "SMALL", 10)
+    monkeypatch.setattr(kdtree, "LEAF", 40)
+    monkeypatch.setattr(kdtree, "DEALT", 50)
+    rng = np.random.default_rng(9)
+    xyz = np.concatenate((rng.normal(size=(150, 3)), rng.normal(3, 0.001, size=(150, 3)), np.ones((120, 3)), [[1e5, 0, 0], [-1e9, 3, 3]]))
+    rows = [(i, *map(float, x), float(n)) for i, (x, n) in enumerate(zip(xyz, rng.normal(size=len(xyz)).round(1), strict=True))]
+    p = spark.createDataFrame([*rows, (900, 0.0, 0.0, None, 1.0), (901, 0.0, 0.0, 0.0, None)], "id long, x double, y double, z double, nx double")
+    got = {}
+    for r in knn.knn(p, p, 4, extra=extra).collect():
+        got.setdefault(r.id, []).append((r.nth, r.near_id))
+    cols = np.array([r[1:] for r in rows]) * [1, 1, 1, 2.0 if extra else 0.0]
+    d = ((cols[:, None] - cols[None]) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    want = {i: [(n + 1, int(j)) for n, j in enumerate(np.argsort(d[i], kind="stable")[:4])] for i in range(len(rows))}
+    if not extra:  # only the extra column is null
+        got.pop(901)
+        got = {i: v for i, v in got.items() if not any(j == 901 for _, j in v)}
+        want = {i: want[i] for i in got}
+        assert len(want) > 400
+    assert {i: sorted(v) for i, v in got.items()} == want
+
+
+def test_knn_leaves_out_nulls_of_extra_columns(spark):
+    p = spark.createDataFrame([(1, 0.0, None), (2, 1.0, 0.0), (3, 1.1, 0.0), (4, 2.0, 0.0)], "id long, x double, nx double").selectExpr("*", "0D as y", "0D as z")
+    assert {r.id: r.near_id for r in knn.knn(p, p, 1, extra={"nx": 2.0}).collect()} == {2: 3, 3: 2, 4: 3}
+
+
+def test_knn_of_equal_points_and_a_far_one(spark):
+    rows = [(i, 1.0, 1.0, 1.0) for i in range(60)] + [(60, 1e5, 0.0, 0.0)]
+    got = {r.id: r.near_id for r in knn.knn(*[spark.createDataFrame(rows, "id long, x double, y double, z double")] * 2, 1).collect()}
+    assert got == {i: int(i == 0) for i in range(61)} | {60: 0}
 
 
 def test_gap_filling_rules(spark):
@@ -118,7 +153,7 @@ def test_icp_finds_the_move(spark):
     n /= np.linalg.norm(n, axis=1, keepdims=True)
     p = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(xyz, n, strict=True))], "id long, x double, y double, z double, nx double, ny double, nz double")
     start = icp.Pose(icp.rotation_from(np.array([0.01, -0.01, 0.02])), np.array([0.1, -0.05, 0.05]))
-    pose = icp.register(icp.moved(p, start), p, 3.0, most_rounds=5)
+    pose = icp.register(icp.moved(p, start), p, most_rounds=5)
     assert np.allclose(pose.rotation @ start.rotation, np.eye(3), atol=1e-3)
     assert np.allclose(pose.rotation @ start.translation + pose.translation, 0, atol=1e-2)
 
