@@ -2,7 +2,7 @@
 
 A coordinate sqrt(M - |x|^2) added to each vector, M the largest squared length, and 0 added to each query make larger
 inner products nearer points: d^2 = |q|^2 + M - 2 q.x. Vectors are stored by (pivot, ring), the nearest of a few pivots and
-a ring of the distance to it, in blocks that are sorted by that distance.
+a ring of the distance to it, in blocks that are sorted by that distance. Rings that hold few vectors are stored together.
 
 A vector at distance t from a pivot that is d away from the query lies between |d - t| and d + t from the query. A round
 scans the rings around each pivot that its radius newly reaches, and leaves out those that lie whole within the hole of
@@ -57,12 +57,15 @@ def prepared(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 @dataclass(frozen=True)
 class Index:
-    """The space of an index: pivots with their added coordinate, M, the ring width and the vectors of each cell."""
+    """The space of an index: pivots with their added coordinate, M and the ring width; and its cells, each a pivot's
+    distances from ``low`` to ``high`` with so many vectors."""
 
     pivots: np.ndarray
     squared: float
     width: float
-    cells: np.ndarray
+    pivot: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
     counts: np.ndarray
 
     @property
@@ -106,12 +109,29 @@ def _keyed(index: Index):
             d = index.distances(v, np.sqrt(np.maximum(index.squared - batch.column("squared").to_numpy(), 0)))
             pivot = d.argmin(axis=1)
             key = d[np.arange(len(d)), pivot]
-            cell = pivot * RINGS + np.minimum(key / index.width, RINGS - 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "id", "label", "v")), pa.array(cell), pa.array(key)], names=["row", "id", "label", "v", "cell", "key"])
+            ring = pivot * RINGS + np.minimum(key / index.width, RINGS - 1).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "id", "label", "v")), pa.array(ring), pa.array(key)], names=["row", "id", "label", "v", "ring", "key"])
 
     return run
 
 
+def _cells(space: Index, rings: list[tuple[int, int]]) -> tuple[Index, list[tuple[int, int]]]:
+    """Adjacent rings of a pivot joined to cells of BLOCK vectors at most, and the cell of each (pivot, ring)."""
+    first: list[int] = []
+    last: list[int] = []
+    counts: list[int] = []
+    of = []
+    for ring, n in sorted(rings):
+        if first and first[-1] // RINGS == ring // RINGS and counts[-1] + n <= BLOCK:
+            last[-1], counts[-1] = ring, counts[-1] + n
+        else:
+            first.append(ring), last.append(ring), counts.append(n)
+        of.append((ring, len(first) - 1))
+    a, b = np.array(first, np.int64), np.array(last, np.int64)
+    high = np.where(b % RINGS == RINGS - 1, 4 * space.squared**0.5 + 1, (b % RINGS + 1) * space.width)
+    return Index(space.pivots, space.squared, space.width, a // RINGS, a % RINGS * space.width, high, np.array(counts, np.int64)), of
+
+
 _BLOCKS = "cell long, part long, b_rows array<long>, b_ids array<long>, b_labels array<long>, b_v binary"
 
 
@@ -127,11 +147,13 @@ _PLAN = "row long, done double, cell long, part long, chunk long, a_rows array<l
 def _plan(index: Index, reach: float):
     """For each anchor the radius that this round reaches, and chunks of anchors for each part of the cells it scans."""
     dim = index.pivots.shape[1] - 1
-    pivot, ring = index.cells // RINGS, index.cells % RINGS
-    low = ring * index.width
-    high = np.where(ring == RINGS - 1, 4 * index.squared**0.5 + 1, low + index.width)
-    parts = index.parts()
+    low, high, parts = index.low, index.high, index.parts()
     total = index.counts.sum()
+    kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.int64())] * 4]
+    names = [x.split()[0] for x in _PLAN.split(", ")]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -139,7 +161,7 @@ def _plan(index: Index, reach: float):
                 batch = whole.slice(lo, CHUNK)
                 v = _matrix(batch.column("v"), dim)
                 done, cap, hole = (batch.column(k).to_numpy() for k in ("done", "cap", "hole"))
-                d = index.distances(v, np.zeros(len(v)))[:, pivot]
+                d = index.distances(v, np.zeros(len(v)))[:, index.pivot]
                 near = np.maximum(np.maximum(low[None, :] - d, d - high[None, :]), 0)
                 order = np.argsort(near, axis=1)
                 within = np.cumsum(index.counts[order], axis=1) >= min(1.0, reach) * total
@@ -149,17 +171,13 @@ def _plan(index: Index, reach: float):
                 hit = (near > done[:, None]) & (near <= to[:, None]) & (d + high[None, :] >= hole[:, None] - index.scale)
                 rows, labels = batch.column("row").to_numpy(), batch.column("label").to_numpy()
                 targets = batch.column("targets").to_pylist()
-                out = [(int(r), float(t), *([None] * 10)) for r, t in zip(rows, to, strict=True)]
+                yield packed([(int(r), float(t), *([None] * 10)) for r, t in zip(rows, to, strict=True)])
                 for c in np.flatnonzero(hit.any(axis=0)).tolist():
                     own = np.flatnonzero(hit[:, c]).tolist()
                     flat = [(k, t["no"], t["low"], t["high"]) for k, i in enumerate(own) for t in targets[i]]
-                    packed = (rows[own].tolist(), labels[own].tolist(), v[own].tobytes(), *([list(x) for x in zip(*flat, strict=True)] or [[], [], [], []]))
-                    out += [(None, None, int(index.cells[c]), p, int(rows[0]), *packed) for p in range(int(parts[c]))]
-                for k in range(0, len(out), 64):
-                    part = out[k : k + 64]
-                    cols = list(zip(*part, strict=True))
-                    kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), *[pa.list_(pa.int64())] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in _PLAN.split(", ")])
+                    chunk = (int(rows[0]), rows[own].tolist(), labels[own].tolist(), v[own].tobytes(), *([list(x) for x in zip(*flat, strict=True)] or [[], [], [], []]))
+                    for p in range(int(parts[c])):
+                        yield packed([(None, None, c, p, *chunk)])
         release_memory()
 
     return run
@@ -202,13 +220,14 @@ def build(rows: DataFrame, seed: int = 7) -> tuple[Index, DataFrame, DataFrame]
     chosen = vectors.orderBy(F.xxhash64("row", F.lit(seed)), "row").limit(PIVOTS).select("v", "squared").collect()
     pivots = np.array([[*np.frombuffer(bytes(r.v), np.float64), max(squared - r.squared, 0.0) ** 0.5] for r in chosen])
     width = 2 * squared**0.5 / RINGS or 1.0
-    space = Index(pivots, squared, width, np.zeros(0, np.int64), np.zeros(0, np.int64))
-    keyed = durable.write(vectors.mapInArrow(_keyed(space), "row long, id long, label long, v binary, cell long, key double"), "keyed")
-    counts = sorted((r.cell, r["count"]) for r in keyed.groupBy("cell").count().collect())  # PIVOTS * RINGS at most
-    index = Index(pivots, squared, width, np.array([c for c, _ in counts], np.int64), np.array([n for _, n in counts], np.int64))
-    of = keyed.sparkSession.createDataFrame([(int(c), int(p)) for c, p in zip(index.cells, index.parts(), strict=True)], "cell long, parts long")
-    parted = keyed.join(F.broadcast(of), "cell").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
-    return index, vectors, durable.write(by_group(parted.drop("parts"), ["cell", "part"], ["key"], _block, _BLOCKS), "blocks")
+    none = np.zeros(0)
+    space = Index(pivots, squared, width, none, none, none, none)
+    keyed = durable.write(vectors.mapInArrow(_keyed(space), "row long, id long, label long, v binary, ring long, key double"), "keyed")
+    index, cells = _cells(space, [tuple(r) for r in keyed.groupBy("ring").count().collect()])  # PIVOTS * RINGS at most
+    parts = index.parts()
+    of = keyed.sparkSession.createDataFrame([(ring, c, int(parts[c])) for ring, c in cells], "ring long, cell long, parts long")
+    parted = keyed.join(F.broadcast(of), "ring").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
+    return index, vectors, durable.write(by_group(parted.drop("parts", "ring"), ["cell", "part"], ["key"], _block, _BLOCKS), "blocks")
 
 
 def search(index: Index, blocks: DataFrame, anchors: DataFrame, n_anchors: int, k: int, same: bool) -> DataFrame:
