@@ -80,10 +80,13 @@ def register(scan: DataFrame, surface: DataFrame, half: float = 5.0, most_rounds
     return pose
 
 
+#: A small move, from which registrations are tried.
+KNOWN_START = Pose(rotation_from(np.array([0.004, -0.006, 0.01])), np.array([0.05, -0.04, 0.03]))
+
+
 def register_known_move(points: DataFrame) -> DataFrame:
     """(term, value): pose and error of the registration of slightly moved points onto the points themselves."""
-    start = Pose(rotation_from(np.array([0.004, -0.006, 0.01])), np.array([0.05, -0.04, 0.03]))
-    pose = register(moved(points, start), points)
+    pose = register(moved(points, KNOWN_START), points)
     rows = [(f"r{i}{j}", float(pose.rotation[i, j])) for i in range(3) for j in range(3)] + [(f"t{i}", float(pose.translation[i])) for i in range(3)] + [("error", pose.error)]
     return points.sparkSession.createDataFrame(rows, "term string, value double")
 

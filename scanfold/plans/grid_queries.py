@@ -198,10 +198,15 @@ def convexity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.select("id", "near_id", segments.edge_score(n1, n2, tuple(g / size for g in gap)).alias("score")), "score")
 
 
-@query()
+_START = icp.KNOWN_START
+_BACK = [(f"r{i}{j}", _START.rotation[j, i]) for i in range(3) for j in range(3)] + [(f"t{i}", v) for i, v in enumerate(-_START.rotation.T @ _START.translation)]
+
+
+@query(f"""WITH {POINTS}, k(term, value) AS (VALUES {", ".join(f"('{k}', {float(v)!r}::DOUBLE)" for k, v in _BACK)}), n AS (SELECT count(*) AS n FROM points)
+  SELECT term, round(CASE WHEN n > 0 THEN value END, 3) + 0 AS value FROM k, n UNION ALL SELECT 'error', CASE WHEN n > 0 THEN 0.0 END FROM n""")
 def icp_point_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registration of the table's points, moved by a known pose, back onto themselves."""
-    return icp.register_known_move(points(spark, sf_dir))
+    """Registration of the table's points, moved by a known pose, back onto themselves, to three digits."""
+    return icp.register_known_move(points(spark, sf_dir)).select("term", (F.round("value", 3) + 0).alias("value"))
 
 
 @query(f"""WITH {SHIFTED} SELECT id, round(x + shift * nx, 6) AS x, round(y + shift * ny, 6) AS y, round(z + shift * nz, 6) AS z, n FROM s JOIN points USING (id) WHERE n >= 3 AND abs(shift) < 0.5""")
