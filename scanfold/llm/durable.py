@@ -1,30 +1,18 @@
-"""Written tables that cut lineage: they live in the folder that ``spark.checkpoint.dir`` names, which driver and
-executors share, so a lost executor costs only the tasks that it ran."""
+"""Written tables of the operators, and batches of bounded size; see ``scanfold.stored``."""
 
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from scanfold.stored import claimed, delete, delete_path, new_path, shared_dir, stored, temporary, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session. A temporary one is made only for a local master that names none (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="scanfold-")
-        spark.sparkContext.setCheckpointDir(known)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return known
+__all__ = ["bounded_batches", "delete", "delete_path", "leaves_only", "new_path", "shared_dir", "temporary", "write"]
+
+#: The frame as a Parquet table in the shared folder, read back. Its path is in ``written_path``.
+write = stored
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") -> None:
@@ -36,55 +24,6 @@ def bounded_batches(spark: SparkSession, rows: int = 1_000, size: str = "8m") ->
             spark.conf.set(key, value)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-#: Tables written within each open ``temporary``, the innermost last.
-_open: list[list[DataFrame]] = []
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
-    return out
-
-
-def write(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, read back. Its path is in ``written_path``."""
-    out = _written(df, name)
-    if _open:
-        _open[-1].append(out)
-    return out
-
-
-def delete(*tables: DataFrame) -> None:
-    """Remove written tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "written_path", None)
-        if path:
-            delete_path(t.sparkSession, path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@contextmanager
-def temporary() -> Iterator[None]:
-    """Tables that ``write`` makes within are removed at the end, whatever happens."""
-    _open.append([])
-    try:
-        yield
-    finally:
-        delete(*_open.pop())
-
-
 def leaves_only(name: str) -> Callable:
     """A function's DataFrame as a written table, the only one that stays of those that it writes."""
 
@@ -92,10 +31,8 @@ def leaves_only(name: str) -> Callable:
         @functools.wraps(fn)
         def run(*args, **kwargs) -> DataFrame:
             with temporary():
-                out = _written(fn(*args, **kwargs), name)
-            if _open:
-                _open[-1].append(out)
-            return out
+                out = written(fn(*args, **kwargs), name)
+            return claimed(out)
 
         return run
 
