@@ -335,11 +335,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts without words and rows with a null id all stay. Of rows that repeat an id one stays, that of the least text.
     """
     found = minhash_components(docs, id_col, text_col, shingle, num, den)
-    gone = durable.write(found.where(~F.col("kept")).select(F.col(id_col).alias("gone_id")).distinct(), "gone")
+    gone = durable.write(found.where(~F.col("kept")).select(F.col(id_col).alias("id")).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
-    out = docs.join(F.broadcast(gone) if few else gone, docs[id_col].cast("long") == F.col("gone_id"), "left_anti")
-    if _repeats(docs.select(F.col(id_col).alias("id"))):
-        rows = out.select(F.struct(*[out[f"`{c}`"] for c in out.columns]).alias("row"), out[id_col].alias("id"), out[text_col].alias("text"))
-        rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("text")))
-        out = rows.where("nth = 1 or id is null").select("row.*")
-    return out
+    # the table's own columns are in a struct, whatever their names
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs[id_col].cast("long").alias("id"))
+    out = rows.join(F.broadcast(gone) if few else gone, "id", "left_anti")
+    if _repeats(rows.select("id")):
+        text = F.col("row").getField(text_col)
+        out = out.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(text))).where("nth = 1 or id is null")
+    return out.select("row.*")
