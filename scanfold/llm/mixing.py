@@ -21,6 +21,9 @@ UNIT = 1 << 24
 PART_DOCS = 50_000
 FEW_DOCS = 500
 FEW_PARTS = 64
+#: A part is the id modulo SPREAD_PRIME, times SPREAD modulo 2^32, without its low 16 bits, modulo the number of parts.
+SPREAD_PRIME = 2_147_483_647
+SPREAD = 2_654_435_761
 #: Multiplier of the Weyl sequence of offsets, UNIT over the golden ratio, and the default seed.
 GOLDEN = 10_368_889
 SEED = 17
@@ -58,14 +61,15 @@ def systematic_copies(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``rows`` (mix_id, mix_source, mix_size and other columns) with source_size, target and copies."""
     t = targets.select(F.col("source").alias("mix_source"), "source_size", "n_docs", "target", "rate", "start")
     parts = F.greatest(F.floor(F.col("n_docs") / PART_DOCS), F.least(F.floor(F.col("n_docs") / FEW_DOCS), F.lit(FEW_PARTS))) + 1
-    part = F.pmod(F.coalesce("mix_id", "mix_size"), parts)
+    mixed = F.pmod(F.coalesce("mix_id", "mix_size"), F.lit(SPREAD_PRIME)).cast("long") * F.lit(SPREAD)
+    part = F.pmod(F.shiftright(mixed.bitwiseAND(F.lit((1 << 32) - 1)), 16), parts)
     keyed = rows.withColumnRenamed("mix_source", "own").join(t, F.col("own").eqNullSafe(F.col("mix_source"))).drop("own")
     keyed = keyed.withColumn("class", F.floor(F.sqrt("mix_size")).cast("long")).withColumn("part", part.cast("long"))
     key = ["start", "class", "part"]  # start tells the sources apart, and unlike them is never null
     sums = keyed.groupBy(*key).agg(F.count("*").alias("docs"))
     before = Window.partitionBy("start").orderBy("class", "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*key, F.coalesce(F.sum("docs").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy(*key).orderBy("mix_id", "mix_size")
+    within = Window.partitionBy(*key).orderBy("mix_size", "mix_id")
     placed = keyed.join(sums, key).withColumn("nth", F.col("before") + F.row_number().over(within))
 
     def boundary(n: Column) -> Column:
@@ -102,7 +106,9 @@ s4 AS (SELECT *, least(CAST(most AS DOUBLE), max(lv) OVER () * weight) AS target
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * {UNIT}) AS BIGINT) ELSE 0 END AS rate,
           ((rank + {SEED}) * {GOLDEN}) % {UNIT} AS start FROM s4),
 p AS (SELECT d.doc_id, d.size, s5.source_size, s5.target, s5.rate, s5.start,
-        row_number() OVER (PARTITION BY s5.rank ORDER BY floor(sqrt(d.size)), coalesce(d.doc_id, d.size) % (greatest(s5.n_docs // {PART_DOCS}, least(s5.n_docs // {FEW_DOCS}, {FEW_PARTS})) + 1), d.doc_id NULLS FIRST, d.size) AS nth
+        row_number() OVER (PARTITION BY s5.rank ORDER BY floor(sqrt(d.size)), 
+          ((coalesce(d.doc_id, d.size) % {SPREAD_PRIME} + {SPREAD_PRIME}) % {SPREAD_PRIME} * {SPREAD}) % 4294967296 // 65536 % (greatest(s5.n_docs // {PART_DOCS}, least(s5.n_docs // {FEW_DOCS}, {FEW_PARTS})) + 1),
+          d.size, d.doc_id NULLS FIRST) AS nth
       FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source)
 SELECT doc_id, size, source_size, target,
   CAST(((nth * rate + start) // {UNIT} - ((nth - 1) * rate + start) // {UNIT}) * size AS BIGINT) AS taken FROM p
