@@ -63,23 +63,20 @@ LOG = logging.getLogger(__name__)
 _EDGE = "a long, b long, sim double, bridge boolean"
 
 
-def _unit_rows(dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, unit = [], []
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.array([], float)
-                if i is not None and v.is_valid and len(v.values) == dim and not v.values.null_count:
-                    x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                    with np.errstate(over="ignore"):
-                        top = np.abs(x).max(initial=0)
-                        x = x / top if np.isfinite(top) and top > 0 else x[:0]
-                        x = x / np.sqrt((x * x).sum()) if len(x) else x
-                ids.append(i)
-                unit.append((x + 0.0).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(unit, pa.binary())], names=["id", "unit"])
-
-    return run
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, unit = [], []
+        for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.array([], float)
+            if i is not None and v.is_valid and len(v.values) and not v.values.null_count:
+                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                with np.errstate(over="ignore"):
+                    top = np.abs(x).max(initial=0)
+                    x = x / top if np.isfinite(top) and top > 0 else x[:0]
+                    x = x / np.sqrt((x * x).sum()) if len(x) else x
+            ids.append(i)
+            unit.append((x + 0.0).tobytes() if len(x) else None)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(unit, pa.binary())], names=["id", "unit"])
 
 
 def _matrix(column, dtype=np.float64) -> np.ndarray:
@@ -330,41 +327,46 @@ def _one_group(classes: DataFrame, n: int, checked: Audit) -> DataFrame:
     return classes.withColumn("hub", F.lit(0).cast("long"))
 
 
+def _linked(classes: DataFrame, n: int, dim: int, threshold: float, seed: int) -> DataFrame:
+    """(rep, links, component) of the ``n`` classes of one length."""
+    lists = None
+    for grown in range(FORESTS):
+        lists = neighbour_lists(classes, n, dim, threshold, seed + grown, TREES << grown, lists)
+        comp = durable.write(connected_components(lists.where(F.col("sim") >= threshold - MARGIN)), "labels")
+        labelled = durable.write(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "unit", F.coalesce("component", "rep").alias("component")), "labelled")
+        checked = audit(lists, labelled, n, threshold, seed)
+        LOG.info("op2 audit after forest %d: %s, recall %.5f", grown + 1, checked, checked.recall)
+        if checked.recall >= RECALL:
+            members = comp.select(F.col("component").alias("hub"), F.col("node").alias("rep")).join(classes, "rep")
+            break
+    else:
+        members = _one_group(classes, n, checked)
+    closed = durable.write(by_group(_in_blocks(members, BLOCK), ["hub", "i", "j"], ["side"], _closed(threshold), "rep long, links long, to long"), "closed")
+    counts = closed.where("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
+    roots = connected_components(closed.where("to is not null"), "rep", "to")
+    return counts.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+
+
 @durable.leaves_only("linked-vectors")
 def similar_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, seed: int = 5) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row, for links at a cosine of at least ``threshold``.
 
-    Cosines are products of unit vectors in double precision. A vector that is null, zero, holds null or non-finite
-    components or is not of the table's most frequent length links with nothing. Equal vectors link. Rows with a null
+    Cosines are products of unit vectors in double precision. A vector that is null, zero or holds null or non-finite
+    components links with nothing, and vectors link with those of their own length only: each length is searched by itself,
+    one after the other. Equal vectors link. Rows with a null
     id link with nothing and have a null component_id and kept = true; rows that repeat an id all get the result of
     one of them, that of the least unit vector. Other columns are not read.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    lengths = rows.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    dim = lengths[0] if lengths else 0
     # any valid vector of a repeated id stands for it
-    units = rows.mapInArrow(_unit_rows(dim), "id long, unit binary")
+    units = rows.mapInArrow(_unit_rows, "id long, unit binary")
     one = durable.write(units.where("id is not null").groupBy("id").agg(F.min("unit").alias("unit")), "units")
     classes = durable.write(one.where("unit is not null").groupBy("unit").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "vectors")
-    n = classes.count()
+    lengths = classes.groupBy(F.octet_length("unit").alias("size")).count().where("count > 1").collect()
     linked = None
-    if n > 1:
-        lists = None
-        for grown in range(FORESTS):
-            lists = neighbour_lists(classes, n, dim, threshold, seed + grown, TREES << grown, lists)
-            comp = durable.write(connected_components(lists.where(F.col("sim") >= threshold - MARGIN)), "labels")
-            labelled = durable.write(classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "unit", F.coalesce("component", "rep").alias("component")), "labelled")
-            checked = audit(lists, labelled, n, threshold, seed)
-            LOG.info("op2 audit after forest %d: %s, recall %.5f", grown + 1, checked, checked.recall)
-            if checked.recall >= RECALL:
-                members = comp.select(F.col("component").alias("hub"), F.col("node").alias("rep")).join(classes, "rep")
-                break
-        else:
-            members = _one_group(classes, n, checked)
-        closed = durable.write(by_group(_in_blocks(members, BLOCK), ["hub", "i", "j"], ["side"], _closed(threshold), "rep long, links long, to long"), "closed")
-        counts = closed.where("to is null").groupBy("rep").agg(F.sum("links").alias("links"))
-        roots = connected_components(closed.where("to is not null"), "rep", "to")
-        linked = counts.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    for size, n in lengths:
+        own = _linked(classes.where(F.octet_length("unit") == size), n, size // 8, threshold, seed)
+        linked = own if linked is None else linked.unionByName(own)
     whole = classes.select("unit", "rep", "copies")
     if linked is not None:
         whole = whole.join(linked, "rep", "left")
