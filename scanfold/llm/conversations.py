@@ -152,7 +152,7 @@ def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, put, back = search.end()
         edits = bytearray()
         for n, (before, edit, role) in enumerate(back):
-            held.append((last, rows - n, before, edit, role, *[None] * 8))
+            held.append((last, rows - n, before, edit, role, conv, *[None] * 7))
             edits += edit.encode() + b"I" * len(before)
             if len(held) >= 4096:
                 yield batch(held)

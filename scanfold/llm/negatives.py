@@ -297,10 +297,9 @@ def hard_negatives(rows: DataFrame, every: int = 100, positives: int = 5, negati
     near = search(index, blocks, anchors.withColumn("targets", any_score), n, positives, True)
     nth = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id", "found")).cast("long")
     pairs = durable.write(near.select("row", nth.alias("no"), F.col("score").alias("positive_score"), F.col("id").alias("positive_id")), "pairs")
-    low, high = F.col("positive_score") * least, F.col("positive_score") * most
-    up, down = (F.expr(f"(positive_score * {least} + pmod(-positive_score * {least}, 100)) div 100"), F.expr(f"(positive_score * {most} - pmod(positive_score * {most}, 100)) div 100"))
-    bands = pairs.withColumns({"low": up, "high": down})
-    targets = bands.where((low <= high) & (F.col("low") <= F.col("high"))).groupBy("row").agg(F.collect_list(F.struct("no", "low", "high")).alias("targets"))
+    score = F.col("positive_score").cast("decimal(20,0)")
+    bands = pairs.withColumns({"low": F.ceil(score * least / 100).cast("long"), "high": F.floor(score * most / 100).cast("long")})
+    targets = bands.where("low <= high").groupBy("row").agg(F.collect_list(F.struct("no", "low", "high")).alias("targets"))
     banded = anchors.join(targets, "row")
     if banded.isEmpty():
         return spark.createDataFrame([], _RESULT)
