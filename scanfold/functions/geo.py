@@ -40,6 +40,17 @@ def nearest_angle(angle: Column, angles: list[float]) -> Column:
     return F.when(least <= mean, (F.array_position(gaps, least) - 1).cast("int"))
 
 
+def first_near_angle(angle: Column, angles: list[float]) -> Column:
+    """As ``nearest_angle``, by search: the index before which the distance first grows, null if the angle is farther than
+    the mean spacing. Angles that do not rise or fall throughout give the first local minimum."""
+    a = F.array(*map(F.lit, angles))
+    gaps = F.transform(a, lambda x: F.abs(x - angle))
+    grows = F.transform(F.slice(gaps, 2, max(0, len(angles) - 1)), lambda g, i: g > F.element_at(gaps, (i + 1).cast("int")))
+    at = F.when(F.array_contains(grows, True), F.array_position(grows, True)).otherwise(F.lit(len(angles)))
+    mean = abs(angles[-1] - angles[0]) / max(1, len(angles) - 1)
+    return F.when(F.element_at(gaps, at.cast("int")) <= mean, (at - 1).cast("int"))
+
+
 def from_polar(yaw: Column, pitch: Column, dist: Column) -> tuple[Column, Column, Column]:
     return dist * F.cos(pitch) * F.cos(yaw), dist * F.cos(pitch) * F.sin(yaw), -dist * F.sin(pitch)
 

@@ -27,13 +27,15 @@ def file_extension(path: Column) -> Column:
     return F.regexp_extract(path, r"(\.[^./]*)$", 1)
 
 
-def parse_ns(s: Column) -> Column:
-    """Nanoseconds since 1970 of ``Y-m-d H:M:S.fraction`` (space, ``_`` or ``T`` between) or of a whole number above
-    9999, else 0. The session's time zone applies."""
+def parse_ns(s: Column, now_ns: Column | None = None) -> Column:
+    """Nanoseconds since 1970 of ``Y-m-d H:M:S.fraction`` (space, ``_`` or ``T`` between), of a whole number above 9999, or
+    of signed seconds from ``now_ns`` if that is given; else 0. The session's time zone applies."""
     pat = r"^(\d{4}-\d{1,2}-\d{1,2})[ _T](\d{1,2}:\d{1,2}:\d{1,2})(?:\.(\d{1,9}))?$"
     secs = F.unix_timestamp(F.concat_ws(" ", F.regexp_extract(s, pat, 1), F.regexp_extract(s, pat, 2)), "y-M-d H:m:s")
     frac = F.rpad(F.regexp_extract(s, pat, 3), 9, "0").cast("long")
     number = F.when(s.rlike(r"^\d{5,18}$"), s.cast("long"))
+    if now_ns is not None:
+        number = F.coalesce(number, F.when(s.rlike(r"^[+-]\d{1,9}(\.\d+)?$"), now_ns + F.floor(s.try_cast("decimal(28,9)") * 1_000_000_000).cast("long")))
     return F.when(s.rlike(pat), secs * 1_000_000_000 + frac).otherwise(F.coalesce(number, F.lit(0)))
 
 

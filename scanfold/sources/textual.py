@@ -59,12 +59,12 @@ def trajectory_lines(rows: DataFrame) -> DataFrame:
 
 def track_lines(tracks: DataFrame, points: DataFrame) -> DataFrame:
     """(frame, uid, value): ``[uid] age last r g b state covariance vips points (px py pz nx ny nz conf)*``, marked points
-    first. ``tracks`` has frame, uid, age, last_update, r, g, b, x and p; ``points`` uid, vip, nr and the seven numbers."""
+    first. ``tracks`` has frame, uid, age, last_update, r, g, b, x and p; ``points`` frame, uid, vip, nr and the seven numbers."""
     seven = [F.col(c).cast("string") for c in ("px", "py", "pz", "nx", "ny", "nz", "conf")]
-    each = points.select("uid", "vip", "nr", F.concat_ws(" ", *seven).alias("s"))
-    lists = each.groupBy("uid").agg(F.count_if("vip").alias("vips"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((~F.col("vip")).alias("k"), "nr", "s"))).alias("l"))
+    each = points.select("frame", "uid", "vip", "nr", F.concat_ws(" ", *seven).alias("s"))
+    lists = each.groupBy("frame", "uid").agg(F.count_if("vip").alias("vips"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((~F.col("vip")).alias("k"), "nr", "s"))).alias("l"))
     text = lambda c: F.concat_ws(" ", F.transform(c, lambda x: x.cast("string")))
-    row = tracks.join(lists, "uid", "left")
+    row = tracks.join(lists, ["frame", "uid"], "left")
     head = [F.concat(F.lit("["), F.col("uid").cast("string"), F.lit("]")), *[F.col(c).cast("string") for c in ("age", "last_update", "r", "g", "b")]]
     tail = [F.coalesce(F.col(c), F.lit(0)).cast("string") for c in ("vips", "n")]
     return row.select("frame", "uid", F.concat_ws(" ", *head, text("x"), text("p"), *tail, F.concat_ws(" ", F.transform("l", lambda s: s["s"]))).alias("value"))

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scanfold.operators.grid import CELL, with_cells
 from scanfold.operators.tracks import kalman_step
+from scanfold.sources import pointfiles
 
 
 def stream_kalman(poses: DataFrame, dt: float = 0.1, noise: float = 0.05, q_pos: float = 0.015, q_rate: float = 0.15, p_rate: float = 100.0, idle_ms: int = 0) -> DataFrame:
@@ -86,6 +87,17 @@ def evict_far(held: DataFrame, centre: tuple[float, float, float], most: float)
     return held.where(d <= most * most), held.where(d > most * most)
 
 
+def append_evicted(held: DataFrame, centre: tuple[float, float, float], most: float, folder: str, kind: str = "p3d", least_hits: int = 2) -> DataFrame:
+    """The map (with hits, and intensity where ``kind`` asks for it) without the cells farther than ``most``, which are
+    appended to the files of points in ``folder``: those of at least ``least_hits``, or all of them with intensities."""
+    pointfiles.register(held.sparkSession)
+    kept, gone = evict_far(held, centre, most)
+    intensity = pointfiles.form("a." + kind)[1]
+    rows = gone if intensity else gone.where(F.col("hits") >= least_hits)
+    rows.select("x", "y", "z", *(["intensity"] if intensity else [])).write.format("points").mode("append").option("path", folder).option("kind", kind).save()
+    return kept
+
+
 class MapSink:
     """A ``foreachBatch`` sink that keeps the map as a table: each batch writes the next version in the given folder."""
 

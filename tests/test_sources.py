@@ -77,7 +77,8 @@ def test_map_and_trajectory(spark, tmp_path):
 
 def test_track_lines(spark):
     tracks = spark.createDataFrame([(1, 5, 3, 2, 9, 8, 7, [0.5] * 12, [0.25] * 144), (1, 6, 0, 0, 1, 1, 1, [0.0] * 12, [0.0] * 144)], "frame int, uid long, age int, last_update int, r int, g int, b int, x array<double>, p array<double>")
-    pts = spark.createDataFrame([(5, False, 1, *[1.0] * 7), (5, True, 2, *[2.0] * 7)], "uid long, vip boolean, nr int, px double, py double, pz double, nx double, ny double, nz double, conf double")
+    # another frame's points of the same track are not its own
+    pts = spark.createDataFrame([(1, 5, False, 1, *[1.0] * 7), (1, 5, True, 2, *[2.0] * 7), (2, 5, True, 2, *[9.0] * 7)], "frame int, uid long, vip boolean, nr int, px double, py double, pz double, nx double, ny double, nz double, conf double")
     lines = textual.track_lines(tracks, pts)
     got = {r.uid: r for r in textual.parse_tracks(lines).collect()}
     assert got[5].vips == 1 and [p.px for p in got[5].points] == [2.0, 1.0] and got[5].x == [0.5] * 12 and got[5].age == 3
