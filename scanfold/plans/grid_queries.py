@@ -72,7 +72,13 @@ def uniform_cell_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.sample_cells(points(spark, sf_dir), EXTENT, 2).select("ix", "iy", "iz", "id", "nth")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CELLS}, c AS (SELECT ix, iy, iz, id, conf, (abs(x - (ix + 0.5) * {EXTENT}) + abs(y - (iy + 0.5) * {EXTENT}) + abs(z - (iz + 0.5) * {EXTENT})) / {EXTENT} AS off, sqrt(x * x + y * y + z * z) AS rng,
+    row_number() OVER (PARTITION BY ix, iy, iz ORDER BY id) AS k FROM cells),
+  r AS (SELECT ix, iy, iz, k, id, off, rng, conf FROM c WHERE k = 1 UNION ALL
+    SELECT ix, iy, iz, k, CASE WHEN gain > 0.3 THEN id2 ELSE id END, CASE WHEN gain > 0.3 THEN off2 ELSE off END, CASE WHEN gain > 0.3 THEN rng2 ELSE rng END, CASE WHEN gain > 0.3 THEN conf2 ELSE conf END
+    FROM (SELECT r.ix, r.iy, r.iz, c.k, r.id, r.off, r.rng, r.conf, c.id AS id2, c.off AS off2, c.rng AS rng2, c.conf AS conf2, (r.off - c.off) / 1.5 + (r.rng - c.rng) / greatest(r.rng, 1e-9) + c.conf - r.conf AS gain
+      FROM r JOIN c ON c.ix = r.ix AND c.iy = r.iy AND c.iz = r.iz AND c.k = r.k + 1))
+  SELECT ix, iy, iz, id, k AS hits FROM r QUALIFY row_number() OVER (PARTITION BY ix, iy, iz ORDER BY k DESC) = 1""")
 def voxel_election(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.elect(points(spark, sf_dir), EXTENT)
 
@@ -217,11 +223,16 @@ def map_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.join(s, "id").select("id", *[(F.col(c) + F.col("shift") * F.col("n" + c)).alias(c) for c in "xyz"], "n"), *"xyz")
 
 
-@query()
+@query(f"""WITH {POINTS}, c AS (SELECT {", ".join(f"covar_samp({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))} FROM points), q AS (SELECT *, (xx + yy + zz) / 3 AS q FROM c),
+  p AS (SELECT *, sqrt(((xx - q) ** 2 + (yy - q) ** 2 + (zz - q) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM q),
+  t AS (SELECT *, acos(greatest(least(((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - xz * yz) + xz * (xy * yz - xz * (yy - q))) / (2 * p * p * p), 1.0), -1.0)) / 3 AS t FROM p)
+  SELECT round(q + 2 * p * cos(t), 4) AS v0, round(q + 2 * p * cos(t - 2 * pi() / 3), 4) AS v1, round(q + 2 * p * cos(t + 2 * pi() / 3), 4) AS v2, 0.0::DOUBLE AS c01, 0.0::DOUBLE AS c02, 0.0::DOUBLE AS c12 FROM t""")
 def pca_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points in the coordinates of their principal axes."""
+    """Variances and covariances of points in the coordinates of their principal axes."""
     from scanfold.operators.learn import pca
 
     p = points(spark, sf_dir)
     mean, _, axes = pca(p, ["x", "y", "z"])
-    return p.select("id", *[sum((F.col(c) - F.lit(float(mean[j]))) * F.lit(float(axes[k][j])) for j, c in enumerate("xyz")).alias(f"p{k}") for k in range(3)])
+    turned = p.select("id", *[sum((F.col(c) - F.lit(float(mean[j]))) * F.lit(float(axes[k][j])) for j, c in enumerate("xyz")).alias(f"p{k}") for k in range(3)])
+    v = turned.agg(*[F.round(F.var_samp(f"p{k}"), 4).alias(f"v{k}") for k in range(3)], *[(F.round(F.covar_samp(f"p{i}", f"p{j}"), 4) + 0).alias(f"c{i}{j}") for i, j in ((0, 1), (0, 2), (1, 2))])
+    return v

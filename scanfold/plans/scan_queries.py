@@ -106,9 +106,16 @@ def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return image.match_features(pixels(spark, sf_dir)).drop("dist")
 
 
-@query()
+def _gaps(source: str, out: str, part: str, axis: str, pixels: int) -> str:
+    return GAP.format(t=source, p=part, a=axis, n=pixels, s=0.2).replace("f AS (", f"{out}_f AS (", 1).replace("\n  g AS (", f"\n  {out} AS (").replace("FROM f)", f"FROM {out}_f)")
+
+
+@query(f"""WITH {PIXELS}, far AS (SELECT frame, row, col, CASE WHEN dist <= 50 THEN dist END AS dist FROM pixels), {_gaps("far", "h", "frame, row", "col", 5)}, {_gaps("h", "v", "frame, col", "row", 2)},
+  n AS (SELECT *, list_filter([lag(dist) OVER r, lead(dist) OVER r, lag(dist) OVER c, lead(dist) OVER c], lambda d: abs(d - dist) < 0.5) AS n FROM v WINDOW r AS (PARTITION BY frame, row ORDER BY col), c AS (PARTITION BY frame, col ORDER BY row))
+  SELECT frame, row, col, round(CASE WHEN dist IS NOT NULL THEN (dist + coalesce(list_sum(n), 0)) / (len(n) + 1) END, 6) AS dist FROM n""")
 def preprocessed_image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return image.preprocess(pixels(spark, sf_dir))
+    """Far filter, gaps along rows and then columns, and the mean over four neighbours."""
+    return rounded(image.preprocess(pixels(spark, sf_dir)).select("frame", "row", "col", "dist"), "dist")
 
 
 @query(f"WITH {PIXELS} SELECT frame, row, col, dist FROM pixels WHERE dist IS NOT NULL")
@@ -177,7 +184,10 @@ def pixel_colocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.colocated(a, b, ["pixel", "day"])
 
 
-@query()
+@query(f"""WITH {HITS}, l AS (SELECT src, dst, count(*) AS strength FROM hits GROUP BY ALL)
+  SELECT 0 AS part, '' AS key, '<graphml><graph edgedefault="directed">' AS line UNION ALL SELECT 4, '', '</graph></graphml>'
+  UNION ALL SELECT DISTINCT 1, CAST(src AS VARCHAR), '<node id="s' || src || '"/>' FROM l UNION ALL SELECT DISTINCT 2, CAST(dst AS VARCHAR), '<node id="d' || dst || '"/>' FROM l
+  UNION ALL SELECT 3, src || '|' || dst, '<edge source="s' || src || '" target="d' || dst || '"><data key="weight">' || strength || '</data></edge>' FROM l""")
 def link_graphml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.to_graphml(links.count_links(hits(spark, sf_dir)))
 
@@ -194,20 +204,71 @@ def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.normals(surface.image_to_points(rows, 360, -0.2, 0.05))
 
 
-@query()
+def _connected(source: str, out: str, name: str, part: str, axis: str) -> str:
+    w = f"(PARTITION BY {part} ORDER BY {axis})"
+    soft = [_soft(x, at, slope) for x, at, slope in (("abs(dd) / m", "0.2", "10.0"), ("abs((dd - dl) / dl)", "0.1", "f"), ("abs((dd - dr) / dr)", "0.1", "f"))]
+    return f"""{out}_l AS (SELECT *, dist AS d1, lead(dist) OVER w AS d2, lag(dist) OVER w - dist AS dl, lead(dist) OVER w - lead(dist, 2) OVER w AS dr FROM {source} WINDOW w AS {w}),
+  {out}_m AS (SELECT *, d1 - d2 AS dd, least(d1, d2) AS m, 1.0 - 1.0 * exp(-least(d1, d2) * 0.02) AS f FROM {out}_l),
+  {out} AS (SELECT * EXCLUDE (d1, d2, dl, dr, dd, m, f), CASE WHEN d1 IS NULL OR d2 IS NULL OR abs(d1) < 0.01 OR abs(d2) < 0.01 THEN 0.0 WHEN abs(dd) < 0.2 THEN 1.0 WHEN dl IS NULL OR dr IS NULL OR abs(dl) < 0.01 OR abs(dr) < 0.01 THEN 0.0
+    ELSE least({", ".join(soft)}) END AS {name} FROM {out}_m)"""
+
+
+_BOTH = ("(PARTITION BY frame, row ORDER BY col)", "(PARTITION BY frame, col ORDER BY row)")
+_YAW = f"(pi() - (col + 0.5) * (2 * pi() / 360))"
+#: Each side of a pixel: its window, the function that reaches it, and the weight of its connection.
+_SIDES = {"right": ("h", "lead", "wh"), "up": ("v", "lag", "lag(wv) OVER v"), "left": ("h", "lag", "lag(wh) OVER h"), "down": ("v", "lead", "wv")}
+
+
+def _normals_sql() -> str:
+    cols = []
+    for side, (w, f, weight) in _SIDES.items():
+        size = "sqrt(" + " + ".join(f"({f}({c}) OVER {w} - {c}) ** 2" for c in "xyz") + ")"
+        cols += [f"coalesce(({f}({c}) OVER {w} - {c}) / nullif({size}, 0), 0.0) AS {side}_{c}" for c in "xyz"]
+        cols.append(f"CASE WHEN {f}(dist) OVER {w} IS NULL THEN 0.0 WHEN {f}(dist) OVER {w} > dist + 0.03 THEN 2.0 ELSE coalesce({weight}, 0.0) END AS {side}_w")
+    names = list(_SIDES)
+    pairs = list(zip(names, [*names[1:], names[0]], strict=True))
+    product = lambda a, b: f"{a}_w * {b}_w"
+    cross = {"x": ("y", "z"), "y": ("z", "x"), "z": ("x", "y")}
+    sums = [f"{' + '.join(f'{product(a, b)} * ({a}_{p} * {b}_{q} - {a}_{q} * {b}_{p})' for a, b in pairs)} AS s{c}" for c, (p, q) in cross.items()]
+    planar = []
+    for w in "hv":
+        terms = []
+        for f in ("lag", "lead"):
+            off = [f"({f}({c}) OVER {w} - {c})" for c in "xyz"]
+            sine = f"abs({' + '.join(f'{o} * n{c}' for o, c in zip(off, 'xyz', strict=True))}) / nullif(sqrt({' + '.join(f'{o} ** 2' for o in off)}), 0)"
+            terms.append(f"exp(-0.5 * (asin(CASE WHEN {sine} > 1 THEN 1.0 ELSE {sine} END) / 0.2) ** 2)")
+        planar.append(f"coalesce({terms[0]} * {terms[1]}, 0.0)")
+    windows = f"WINDOW h AS {_BOTH[0]}, v AS {_BOTH[1]}"
+    return f"""WITH {PIXELS}, {_connected("pixels", "ch", "wh", "frame, row", "col")}, {_connected("ch", "cv", "wv", "frame, col", "row")},
+  p AS (SELECT *, dist * cos(-0.2 + row * 0.05) * cos({_YAW}) AS x, dist * cos(-0.2 + row * 0.05) * sin({_YAW}) AS y, -dist * sin(-0.2 + row * 0.05) AS z FROM cv),
+  o AS (SELECT frame, row, col, dist, x, y, z, {", ".join(cols)} FROM p {windows}),
+  t AS (SELECT *, {" + ".join(product(a, b) for a, b in pairs)} AS sw, greatest({", ".join(product(a, b) for a, b in pairs)}) AS weight, {", ".join(sums)} FROM o),
+  n AS (SELECT frame, row, col, dist, x, y, z, weight, {", ".join(f"CASE WHEN sw >= 0.01 AND sqrt(sx * sx + sy * sy + sz * sz) >= 0.01 AND dist IS NOT NULL THEN CASE WHEN sx * x + sy * y + sz * z > 0 THEN -1.0 ELSE 1.0 END * s{c} / sqrt(sx * sx + sy * sy + sz * sz) END AS n{c}" for c in "xyz")} FROM t),
+  c AS (SELECT *, {planar[0]} AS ph, {planar[1]} AS pv FROM n {windows})
+  SELECT frame, row, col, {", ".join(f"round(n{c}, 5) + 0 AS n{c}" for c in "xyz")}, round(CASE WHEN nx IS NOT NULL THEN least(1.0, weight, greatest(ph, pv)) ELSE 0.0 END, 5) AS conf FROM c"""
+
+
+@query(_normals_sql())
 def normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normals and their confidence at every return."""
     from scanfold.operators import surface
 
-    return surface.normal_confidence(_surfaces(spark, sf_dir)).select("frame", "row", "col", "nx", "ny", "nz", "conf")
+    n = rounded(surface.normal_confidence(_surfaces(spark, sf_dir)).select("frame", "row", "col", "nx", "ny", "nz", "conf"), "nx", "ny", "nz", "conf", digits=5)
+    return n.withColumns({c: F.col(c) + 0 for c in ("nx", "ny", "nz")})
+
+
+_LEAST = lambda a, b: f"least(coalesce({a}, 0.0), coalesce({b}, 0.0))"
 
 
-@query()
+@query(f"""WITH {PIXELS}, {_connected("pixels", "ch", "sh", "frame, row", "col")}, {_connected("ch", "cv", "sv", "frame, col", "row")},
+  e AS (SELECT *, lead(sv) OVER h AS vn, lead(sh) OVER v AS hb, lag(sh) OVER v AS hu, lag(sv) OVER v AS vu, lag(sv) OVER h AS vl, lag(sh) OVER h AS hl FROM cv WINDOW h AS {_BOTH[0]}, v AS {_BOTH[1]})
+  SELECT frame, row, col, round(least(sh, greatest({_LEAST("sv", "hb")}, {_LEAST("vn", "hb")}, {_LEAST("vu", "hu")}, {_LEAST("hu", "vn")})), 6) AS sh,
+    round(least(sv, greatest({_LEAST("sh", "vn")}, {_LEAST("hb", "vn")}, {_LEAST("hl", "vl")}, {_LEAST("vl", "hb")})), 6) AS sv FROM e""")
 def reinforced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scanfold.operators import surface
 
     rows = image.connections(image.connections(pixels(spark, sf_dir), "col", "sh"), "row", "sv")
-    return surface.reinforced(rows)
+    return rounded(surface.reinforced(rows).select("frame", "row", "col", "sh", "sv"), "sh", "sv")
 
 
 DECIDE_W, DECIDE_B = (2.0, -0.5, 0.25), -0.4

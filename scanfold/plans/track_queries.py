@@ -137,9 +137,17 @@ def kalman_predict_1step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tracks.predict_once(p), "x", "pxx", "pxv", "pvv")
 
 
-@query()
+@query(f"""WITH RECURSIVE {POSES}, z AS (SELECT uid, step, x, y, row_number() OVER (PARTITION BY uid ORDER BY step) - 1 AS age FROM poses),
+  k AS (SELECT uid, step, age, x, y, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy, 0.0::DOUBLE AS pxx, 0.0::DOUBLE AS pxv, 100.0::DOUBLE AS pvv FROM z WHERE age = 0 UNION ALL
+    SELECT uid, step, age, x + pxx / s * (zx - x), y + pxx / s * (zy - y), vx + pxv / s * (zx - x), vy + pxv / s * (zy - y), pxx - pxx * pxx / s, pxv - pxx * pxv / s, pvv - pxv * pxv / s
+    FROM (SELECT *, pxx + 0.0025 AS s FROM (SELECT k.uid, z.step, z.age, z.x AS zx, z.y AS zy, k.x + 0.1 * vx AS x, k.y + 0.1 * vy AS y, vx, vy, pxx + 0.2 * pxv + 0.01 * pvv + 0.000225 AS pxx, pxv + 0.1 * pvv AS pxv, pvv + 0.0225 AS pvv
+      FROM k JOIN z ON z.uid = k.uid AND z.age = k.age + 1)))
+  SELECT uid, CAST(step AS INTEGER) AS step, CAST(age AS INTEGER) AS age, true AS measured, {", ".join(f"round({c}, 6) + 0 AS {c}" for c in ("x", "y", "vx", "vy", "pxx", "pxv", "pvv"))} FROM k""")
 def kalman_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.kalman_tracks(poses(spark, sf_dir))
+    """Filtered positions and rates of each track after each pose; both axes have the same covariances."""
+    k = tracks.kalman_tracks(poses(spark, sf_dir))
+    at = {"x": ("x", 0), "y": ("x", 1), "vx": ("x", 2), "vy": ("x", 3), "pxx": ("p", 0), "pxv": ("p", 2), "pvv": ("p", 10)}
+    return k.select("uid", "step", "age", "measured", *[(F.round(F.col(v).getItem(i), 6) + 0).alias(c) for c, (v, i) in at.items()])
 
 
 @query(f"""WITH {POSES} SELECT uid, CAST(step AS INTEGER) AS step, CAST(row_number() OVER (PARTITION BY uid ORDER BY atan2(y, x), step) AS INTEGER) AS rank FROM poses""")
