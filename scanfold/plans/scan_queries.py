@@ -107,7 +107,7 @@ def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gaps(source: str, out: str, part: str, axis: str, pixels: int) -> str:
-    return GAP.format(t=source, p=part, a=axis, n=pixels, s=0.2).replace("f AS (", f"{out}_f AS (", 1).replace("\n  g AS (", f"\n  {out} AS (").replace("FROM f)", f"FROM {out}_f)")
+    return GAP.format(t=source, p=part, a=axis, n=pixels, s=0.2).replace("f AS (", f"{out}_f AS (", 1).replace("\n  g AS (", f"\n  {out} AS (").replace("FROM f)", f"FROM {out}_f)").replace("EXCLUDE (dist)", "EXCLUDE (dist, d0, c0, d1, c1)")
 
 
 @query(f"""WITH {PIXELS}, far AS (SELECT frame, row, col, CASE WHEN dist <= 50 THEN dist END AS dist FROM pixels), {_gaps("far", "h", "frame, row", "col", 5)}, {_gaps("h", "v", "frame, col", "row", 2)},
