@@ -102,6 +102,36 @@ def tile_of(mx: Column, my: Column, zoom: int, tile_size: int = 256) -> tuple[Co
     return tuple((F.ceil((v + shift) / res / tile_size) - 1).cast("int") for v in (mx, my))
 
 
+#: Metres from the lower left corner of the pixel plane to its origin; a whole number, as pixels have always been counted.
+ORIGIN_SHIFT = int(math.pi * EARTH_RADIUS)
+TILE_SIZE = 256
+
+
+def pixel_size(zoom: int) -> float:
+    """Metres of a pixel at a zoom level."""
+    return 2 * math.pi * EARTH_RADIUS / TILE_SIZE / 2**zoom
+
+
+def to_pixels(mx: Column, my: Column, zoom: int) -> tuple[Column, Column]:
+    """Pixels, with fractions, of Mercator metres."""
+    return tuple((v + F.lit(ORIGIN_SHIFT)) / F.lit(pixel_size(zoom)) for v in (mx, my))
+
+
+def from_pixels(px: Column, py: Column, zoom: int) -> tuple[Column, Column]:
+    return tuple(v * F.lit(pixel_size(zoom)) - F.lit(ORIGIN_SHIFT) for v in (px, py))
+
+
+def pixel_tile(px: Column, py: Column) -> tuple[Column, Column]:
+    """Tile of a pixel; a pixel on the border belongs to the tile before."""
+    return tuple((F.ceil(v / TILE_SIZE) - 1).cast("int") for v in (px, py))
+
+
+def tile_bounds(tx: Column, ty: Column, zoom: int) -> tuple[Column, Column, Column, Column]:
+    """(least latitude, greatest latitude, least longitude, greatest longitude) of a tile."""
+    (lat0, lon0), (lat1, lon1) = (from_mercator(*from_pixels((tx + k) * TILE_SIZE, (ty + k) * TILE_SIZE, zoom)) for k in (0, 1))
+    return lat0, lat1, lon0, lon1
+
+
 def add_metres(lat: Column, lon: Column, dx: Column, dy: Column) -> tuple[Column, Column]:
     """Latitude and longitude moved by metres east and north, at the scale of the start."""
     scale = mercator_scale(lat)

@@ -40,13 +40,16 @@ def moved(points: DataFrame, pose: Pose) -> DataFrame:
     return points.withColumns(cols)
 
 
-def normal_equations(m: DataFrame, half: float) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """(H, g, weighted squared error, weight) of the linearised point-to-plane energy over matches."""
+def normal_equations(m: DataFrame, half: float, last: float | None = None) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """(H, g, weighted squared error, weight) of the linearised point-to-plane energy over matches; those whose squared
+    error is above the mean of the round before, ``last``, count as much less as they are above it."""
     a, n, b = (tuple(F.col(p + c) for c in "xyz") for p in ("a_", "b_n", "b_"))
     d = F.sqrt("d2")
     off = knn.plane_distance(n, a, b)
     row = (a[1] * n[2] - a[2] * n[1], a[2] * n[0] - a[0] * n[2], a[0] * n[1] - a[1] * n[0], *n)
     w = knn.correspondence_weight(d, d, half)
+    if last is not None:
+        w = w * F.when(off * off > last, F.lit(last) / (off * off)).otherwise(1.0)
     q = m.select(w.alias("w"), off.alias("b"), *[x.alias(f"r{i}") for i, x in enumerate(row)])
     sums = [F.sum(F.col("w") * F.col(f"r{i}") * F.col(f"r{j}")).alias(f"h{i}{j}") for i in range(6) for j in range(i, 6)]
     sums += [F.sum(F.col("w") * F.col(f"r{i}") * F.col("b")).alias(f"g{i}") for i in range(6)]
@@ -66,7 +69,7 @@ def register(scan: DataFrame, surface: DataFrame, half: float = 5.0, most_rounds
     for k in range(most_rounds):
         now = moved(scan, pose)
         m = knn.matched(now, surface, kdtree.search(index, now, 1, same_table=False))
-        h, g, e, w = normal_equations(m, half)
+        h, g, e, w = normal_equations(m, half, errors[-1] ** 2 if errors else None)
         if w < 1:
             break
         errors.append(float(np.sqrt(e / w)))

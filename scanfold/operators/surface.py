@@ -69,10 +69,12 @@ def normal_confidence(p: DataFrame, sigma: float = 0.2) -> DataFrame:
 
 
 def seen_in(points: DataFrame, image: DataFrame, tolerance: float) -> DataFrame:
-    """Which points (id, px, py, dist in the other frame) are visible there: not hidden behind another point of their
-    pixel, nor behind the other frame's own return by more than ``tolerance``."""
-    w = Window.partitionBy("px", "py")
-    p = points.withColumn("front", F.min("dist").over(w)).join(image.select(F.col("col").alias("px"), F.col("row").alias("py"), F.col("dist").alias("there")), ["px", "py"], "left")
+    """Which points (other, px, py, dist: their frame's neighbour ``other``, and pixel and distance there) are visible in
+    it: not hidden behind another point of their pixel, nor behind the return of ``image`` (other, row, col, dist) by more
+    than ``tolerance``."""
+    w = Window.partitionBy("other", "px", "py")
+    there = image.select("other", F.col("col").alias("px"), F.col("row").alias("py"), F.col("dist").alias("there"))
+    p = points.withColumn("front", F.min("dist").over(w)).join(there, ["other", "px", "py"], "left")
     return p.withColumn("seen", (F.col("dist") <= F.col("front") + tolerance) & (F.col("there").isNull() | (F.col("dist") <= F.col("there") + tolerance)))
 
 

@@ -159,11 +159,6 @@ def stratified(rows: DataFrame, wanted: int, upper: Column, order: str, by: str)
     return r.withColumn("taken", F.floor(F.col("k") * F.col("share")) != F.floor((F.col("k") - 1) * F.col("share"))).drop("share", "k")
 
 
-def registration_order(tracks: DataFrame) -> DataFrame:
-    """Tracks (uid, age, n) with ``place``: moving long-term tracks first, by age and then points, both descending."""
-    return tracks.withColumn("place", F.row_number().over(Window.orderBy(F.desc("age"), F.desc("n"), "uid")))
-
-
 def result_filter(static: bool = True, age: int | None = None, idle: int | None = None, points: int | None = None, distance: float | None = None, flatness: float | None = None, volume: float | None = None) -> Column:
     """Whether a result (uid, age, idle, points, x, y, z, ex, ey, ez) is shown: older than ``age``, idle for fewer than
     ``idle`` frames, of more than ``points``, nearer than ``distance``, with a log of its width by its height below

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
+# The defaults below are those of mapping runs.
 @dataclass(frozen=True)
 class Params:
     """Defaults of a mapping run; ``TRACKER`` holds the tuned values of a tracking run."""
@@ -31,6 +32,7 @@ class Params:
     most_idle_frames: int = 30
 
 
+# The tuned parameters of tracking runs, which results depend on.
 TRACKER = replace(Params(), conn_max_dst=0.202108, conn_max_dst_ratio=1.81887, conn_a=0.520373, conn_b=-1.05362, conn_c=0.103174, conn_d=0.456825, seg_conv_thresh=-2.41372, seg_conv_fac=2.09533, seg_norm_thresh=15.4985, seg_min_score=0.522013, seg_min_size=8)
 
 

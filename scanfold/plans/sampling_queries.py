@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanfold.functions import geo
-from scanfold.operators import grid, image, tracks
+from scanfold.operators import grid, image, projection, tracks
 
 from . import scan_queries  # noqa: F401  its SQL is built upon
 from .registry import ORACLE, query, rounded
@@ -113,7 +113,9 @@ def play_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(poses(spark, sf_dir).where(F.col("step").between(5, 25)).select("uid", "step", "x"), "x")
 
 
-@query(f"WITH {POSES}, t AS (SELECT uid, max(step) // 10 AS age, count(*) AS n FROM poses GROUP BY uid) SELECT uid, age, n, row_number() OVER (ORDER BY age DESC, n DESC, uid) AS place FROM t")
+@query(f"""WITH {POSES}, t AS (SELECT uid, uid % 16 AS frame, (max(step) // 10) % 4 AS buffer, count(*) AS points FROM poses GROUP BY uid)
+  SELECT uid, frame, buffer, points, CAST(row_number() OVER (PARTITION BY frame ORDER BY buffer DESC, buffer = 3 AND uid = 1, points DESC, uid) AS INTEGER) AS place FROM t""")
 def registration_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = poses(spark, sf_dir).groupBy("uid").agg(F.floor(F.max("step") / 10).alias("age"), F.count("*").alias("n"))
-    return tracks.registration_order(t)
+    """Tracks of each frame in the order of their registration."""
+    t = poses(spark, sf_dir).groupBy("uid").agg((F.floor(F.max("step") / 10) % 4).alias("buffer"), F.count("*").alias("points"))
+    return projection.registration_order(t.withColumn("frame", F.col("uid") % 16), ["frame"], 3).select("uid", "frame", "buffer", "points", "place")

@@ -97,6 +97,24 @@ def tile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(spark, sf_dir).select("id", tx.alias("tx"), ty.alias("ty"))
 
 
+_SIZE = f"{geo.pixel_size(9)!r}::DOUBLE"
+_LAT = lambda t: f"360 / pi() * atan(exp(({t} * 256 * {_SIZE} - {geo.ORIGIN_SHIFT}) / 6378137.0)) - 90"
+
+
+@query(f"""WITH {PLACES}, m AS (SELECT id, lon * pi() * 6378137.0 / 180 AS mx, 6378137.0 * ln(tan((90 + lat) * pi() / 360)) AS my FROM places), p AS (SELECT id, (mx + {geo.ORIGIN_SHIFT}) / {_SIZE} AS px, (my + {geo.ORIGIN_SHIFT}) / {_SIZE} AS py FROM m),
+  t AS (SELECT *, CAST(ceil(px / 256) - 1 AS INTEGER) AS tx, CAST(ceil(py / 256) - 1 AS INTEGER) AS ty FROM p)
+  SELECT id, round(px, 4) AS px, round(py, 4) AS py, tx, ty, round({_LAT("ty")}, 6) AS lat0, round({_LAT("(ty + 1)")}, 6) AS lat1, round((tx * 256 * {_SIZE} - {geo.ORIGIN_SHIFT}) * 180 / (pi() * 6378137.0), 6) AS lon0, round(((tx + 1) * 256 * {_SIZE} - {geo.ORIGIN_SHIFT}) * 180 / (pi() * 6378137.0), 6) AS lon1 FROM t""")
+def tile_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of places at level 9, their tiles and the bounds of these."""
+    px, py = geo.to_pixels(*geo.to_mercator(F.col("lat"), F.col("lon")), zoom=9)
+    p = _places(spark, sf_dir).select("id", px.alias("px"), py.alias("py"))
+    tx, ty = geo.pixel_tile(F.col("px"), F.col("py"))
+    p = p.withColumns({"tx": tx, "ty": ty})
+    bounds = geo.tile_bounds(F.col("tx"), F.col("ty"), 9)
+    p = p.withColumns(dict(zip(("lat0", "lat1", "lon0", "lon1"), bounds, strict=True)))
+    return rounded(rounded(p, "px", "py", digits=4), "lat0", "lat1", "lon0", "lon1")
+
+
 TRACKS = "tracks AS (SELECT o_custkey AS uid, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS age, o_totalprice AS v, o_orderstatus AS status FROM orders)"
 
 

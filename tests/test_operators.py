@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from scanfold.functions import geo, text
 from scanfold.functions.cells import cell_index
 from scanfold.functions.soft import soft_threshold
-from scanfold.operators import kdtree, grid, icp, image, knn, learn, links, segments, tracks
+from scanfold.operators import grid, icp, image, kdtree, knn, learn, links, segments, tracks
 
 
 def points(spark, rows):
     return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "id long, x double, y double, z double")
 
 
+# The points of a known case of grid cells.
 GRID = [(0.01, 0, 0), (0, 0.02, 0), (0, 2, 0), (0, 2, 0), (0.05, 0, 2), (2.01, 0, 0), (2.03, 0, 0), (2.02, 0, 0), (0, 2.01, 0), (0, 2.02, 0), (1, 0, 0)]
 
 
@@ -199,7 +200,10 @@ def test_normaliser_and_labels(spark):
 def test_election_depends_on_centre_range_and_confidence(spark):
     rows = [(0, 0.1, 0.1, 0.1, 0.5), (1, 0.5, 0.5, 0.5, 0.5), (2, 0.52, 0.5, 0.5, 0.6)]
     got = grid.elect(spark.createDataFrame(rows, "id long, x double, y double, z double, conf double"), 1.0).first()
-    assert got.hits == 3 and got.id in (0, 1)
+    # the second gains (1.2 - 0) / 1.5 by its place and loses (0.866 - 0.173) / 0.173 by its range; so does the third
+    assert got.hits == 3 and got.id == 0
+    near = [(0, 0.9, 0.9, 0.9, 0.5), (1, 0.5, 0.5, 0.5, 0.5), (2, 0.52, 0.5, 0.5, 0.6)]
+    assert grid.elect(spark.createDataFrame(near, "id long, x double, y double, z double, conf double"), 1.0).first().id == 1
 
 
 def test_texts(spark):
