@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,21 +11,59 @@ from pyspark.sql import functions as F
 
 from scanfold.functions.soft import soft_threshold
 
+from .components import components
+
 STRIDE = 100_000  # of rows in the names of pixels; a line has fewer pixels
 
 
 def pixel_edges(rows: DataFrame, most: float) -> DataFrame:
     """Edges (frame, r1, c1, r2, c2) between neighbouring returns that differ by less than ``most``."""
+    return _accepted(rows, lambda axis: F.abs(F.col("nd") - F.col("dist")) < most)
+
+
+def scored_edges(rows: DataFrame, least: float, across: str = "sh", down: str = "sv") -> DataFrame:
+    """Edges between neighbouring returns whose score, to the next column or row, is above ``least``."""
+    return _accepted(rows, lambda axis: F.col(across if axis == "col" else down) > least)
+
+
+def _accepted(rows: DataFrame, rule: Callable[[str], Column]) -> DataFrame:
     out = None
     for axis in ("col", "row"):
         other = "row" if axis == "col" else "col"
         w = Window.partitionBy("frame", other).orderBy(axis)
-        e = rows.withColumns({"nd": F.lead("dist").over(w), "nx": F.lead(axis).over(w)}).where((F.col("nx") == F.col(axis) + 1) & (F.abs(F.col("nd") - F.col("dist")) < most))
+        e = rows.withColumns({"nd": F.lead("dist").over(w), "nx": F.lead(axis).over(w)}).where((F.col("nx") == F.col(axis) + 1) & F.col("dist").isNotNull() & F.col("nd").isNotNull() & rule(axis))
         e = e.select("frame", F.col("row").alias("r1"), F.col("col").alias("c1"), (F.col("nx") if axis == "row" else F.col("row")).alias("r2"), (F.col("nx") if axis == "col" else F.col("col")).alias("c2"))
         out = e if out is None else out.unionAll(e)
     return out
 
 
+def segment_by_edges(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(frame, row, col, dist, segment) of each return, as ``segment_frames`` gives it, from accepted edges between pixels.
+    Frames may be larger than a task: components are found over the edges of all frames at once."""
+    node = lambda r, c: F.struct(F.col("frame").alias("frame"), (F.col(r).cast("long") * STRIDE + F.col(c)).alias("pixel"))
+    of = components(edges.select(node("r1", "c1").alias("a"), node("r2", "c2").alias("b")))
+    own = rows.where("dist is not null").select("frame", "row", "col", "dist", node("row", "col").alias("node"))
+    return own.join(of, "node", "left").select("frame", "row", "col", "dist", F.coalesce("component.pixel", "node.pixel").alias("segment"))
+
+
+def merge_segments(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``labelled`` with the segments that ``pairs`` (frame, a, b) join under the least of their names."""
+    node = lambda c: F.struct(F.col("frame").alias("frame"), F.col(c).alias("segment"))
+    of = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
+    into = of.select("node.frame", "node.segment", F.col("component.segment").alias("into"))
+    return labelled.join(into, ["frame", "segment"], "left").withColumn("segment", F.coalesce("into", "segment")).drop("into").select(*labelled.columns)
+
+
+def merge_neighbours(neighbours: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(frame, a, b, score) of merged segments from those before: the greatest score of each pair that is left."""
+    node = lambda c: F.struct(F.col("frame").alias("frame"), F.col(c).alias("segment"))
+    of = components(pairs.select(node("a").alias("a"), node("b").alias("b"))).select("node.frame", "node.segment", F.col("component.segment").alias("into"))
+    n = neighbours
+    for c in "ab":
+        n = n.join(of.select("frame", F.col("segment").alias(c), "into"), ["frame", c], "left").withColumn(c, F.coalesce("into", c)).drop("into")
+    return n.where("a <> b").groupBy("frame", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+
+
 def segment_frames(rows: DataFrame, most: float) -> DataFrame:
     """(frame, row, col, dist, segment) of each return; a segment is named by its first pixel, row * 100000 + col.
 
@@ -91,8 +129,8 @@ def segment_stats(labelled: DataFrame, least: int = 1, near_factor: float = 0.0)
     return s.where((F.col("n") >= least) & (F.col("n") * F.col("mdist") * F.col("mdist") >= near_factor))
 
 
-def segment_neighbours(labelled: DataFrame) -> DataFrame:
-    """(frame, a, b, nearest) for each pair of touching segments: the least difference across their border."""
+def _borders(labelled: DataFrame) -> DataFrame:
+    """(frame, a, b, diff) of each pair of neighbouring returns of different segments, a the lesser name."""
     out = None
     for axis in ("col", "row"):
         other = "row" if axis == "col" else "col"
@@ -101,7 +139,18 @@ def segment_neighbours(labelled: DataFrame) -> DataFrame:
         e = e.where((F.col("nx") == F.col(axis) + 1) & (F.col("ns") != F.col("segment")))
         e = e.select("frame", F.least("segment", "ns").alias("a"), F.greatest("segment", "ns").alias("b"), F.abs(F.col("nd") - F.col("dist")).alias("diff"))
         out = e if out is None else out.unionAll(e)
-    return out.groupBy("frame", "a", "b").agg(F.min("diff").alias("nearest"))
+    return out
+
+
+def segment_neighbours(labelled: DataFrame) -> DataFrame:
+    """(frame, a, b, nearest) for each pair of touching segments: the least difference across their border."""
+    return _borders(labelled).groupBy("frame", "a", "b").agg(F.min("diff").alias("nearest"))
+
+
+def segment_neighbour_scores(labelled: DataFrame, score: Callable[[Column], Column]) -> DataFrame:
+    """(frame, a, b, score) for each pair of touching segments: the greatest ``score`` of a difference across their border.
+    A pair that does not touch has no row; where a score is looked up it counts as -1."""
+    return _borders(labelled).groupBy("frame", "a", "b").agg(F.max(score(F.col("diff"))).alias("score"))
 
 
 def edge_score(n1: tuple[Column, ...], n2: tuple[Column, ...], along: tuple[Column, ...], normal_slope: float = 10.0, normal_at: float = 0.049, convex_at: float = 0.104, convex_slope: float = 1.0) -> Column:

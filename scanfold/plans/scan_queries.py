@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scanfold.functions.soft import lin_sat, mlog, soft_threshold
 from scanfold.operators import image, links, segments, tracks
 
+from scanfold.stored import stored
+
 from .registry import query, rounded
 from .views import HITS, PIXELS, SCAN, hits, pixels, scan
 
@@ -271,6 +273,45 @@ def reinforced_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(surface.reinforced(rows).select("frame", "row", "col", "sh", "sv"), "sh", "sv")
 
 
+LEAST_SCORE = 0.4
+
+
+@query(f"""WITH RECURSIVE {PIXELS}, {_connected("pixels", "ch", "sh", "frame, row", "col")}, {_connected("ch", "cv", "sv", "frame, col", "row")},
+  px AS (SELECT frame, row, col, dist, sh, sv, row * 100000 + col AS k FROM cv WHERE dist IS NOT NULL),
+  e AS (SELECT a.frame, a.k AS a, b.k AS b FROM px a JOIN px b ON a.frame = b.frame AND ((b.k = a.k + 1 AND a.sh > {LEAST_SCORE}) OR (b.k = a.k + 100000 AND a.sv > {LEAST_SCORE}))),
+  both_e AS (SELECT frame, a, b FROM e UNION ALL SELECT frame, b, a FROM e), r AS (SELECT frame, k, k AS s FROM px UNION SELECT r.frame, x.b, r.s FROM r JOIN both_e x ON r.frame = x.frame AND r.k = x.a WHERE r.s < x.b)
+  SELECT frame, CAST(k // 100000 AS INTEGER) AS row, k % 100000 AS col, CAST(min(s) AS BIGINT) AS segment FROM r GROUP BY frame, k""")
+def segments_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments over edges whose connection is strong enough, over all frames at once."""
+    rows = image.connections(image.connections(pixels(spark, sf_dir), "col", "sh"), "row", "sv")
+    return segments.segment_by_edges(rows, segments.scored_edges(rows, LEAST_SCORE)).select("frame", "row", "col", "segment")
+
+
+NEAR_BORDER = 3.0
+
+
+@query(f"""{SEGMENTS}, j AS (SELECT lab.frame, lab.k, lab.segment, px.dist FROM lab JOIN px USING (frame, k)),
+  n AS (SELECT a.frame, a.segment AS a, b.segment AS b FROM j a JOIN j b ON a.frame = b.frame AND (b.k = a.k + 1 OR b.k = a.k + 100000) AND a.segment <> b.segment GROUP BY ALL HAVING min(abs(a.dist - b.dist)) < {NEAR_BORDER}),
+  m AS (SELECT DISTINCT frame, least(a, b) AS a, greatest(a, b) AS b FROM n), mb AS (SELECT frame, a, b FROM m UNION ALL SELECT frame, b, a FROM m),
+  t AS (SELECT DISTINCT frame, segment, segment AS s FROM lab UNION SELECT t.frame, x.b, t.s FROM t JOIN mb x ON t.frame = x.frame AND t.segment = x.a WHERE t.s < x.b),
+  i AS (SELECT frame, segment, min(s) AS into_ FROM t GROUP BY ALL)
+  SELECT frame, CAST(k // 100000 AS INTEGER) AS row, CAST(k % 100000 AS INTEGER) AS col, CAST(into_ AS BIGINT) AS segment FROM lab JOIN i USING (frame, segment)""")
+def segments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments joined with those that they touch at a small step."""
+    lab = stored(segments.segment_frames(pixels(spark, sf_dir), 2.0))
+    pairs = segments.segment_neighbours(lab).where(F.col("nearest") < NEAR_BORDER)
+    return segments.merge_segments(lab, pairs).drop("dist")
+
+
+@query(f"""{SEGMENTS}, j AS (SELECT lab.frame, lab.k, lab.segment, px.dist FROM lab JOIN px USING (frame, k)),
+  n AS (SELECT a.frame, CAST(least(a.segment, b.segment) AS BIGINT) AS a, CAST(greatest(a.segment, b.segment) AS BIGINT) AS b, 1 / (1 + abs(a.dist - b.dist)) AS s FROM j a JOIN j b ON a.frame = b.frame AND (b.k = a.k + 1 OR b.k = a.k + 100000) AND a.segment <> b.segment)
+  SELECT frame, a, b, round(max(s), 6) AS score FROM n GROUP BY ALL""")
+def segment_neighbour_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greatest score across the border of each pair of touching segments."""
+    lab = stored(segments.segment_frames(pixels(spark, sf_dir), 2.0))
+    return rounded(segments.segment_neighbour_scores(lab, lambda d: 1 / (1 + d)), "score")
+
+
 DECIDE_W, DECIDE_B = (2.0, -0.5, 0.25), -0.4
 
 

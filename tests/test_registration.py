@@ -115,3 +115,29 @@ def test_temporary_tables_are_those_of_their_thread(spark):
     t.join()
     with pytest.raises(Exception, match="(?i)not.exist|not.found"):
         spark.read.parquet(own.written_path).count()
+
+
+def test_components_by_contraction(spark):
+    from scanfold.operators.components import components
+
+    edges = [(i, i + 1) for i in range(0, 80)] + [(200, x) for x in range(201, 260)] + [(5, 5), (None, 3), (301, 300), (300, 301), (404, 402), (402, 403), (403, 401)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(81)}, **{i: 200 for i in range(200, 260)}, 300: 300, 301: 300, **{i: 401 for i in range(401, 405)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_segments_of_edges_equal_those_of_frames(spark):
+    from scanfold.operators import segments
+
+    rng = np.random.default_rng(2)
+    rows = [(f, r, c, None if rng.random() < 0.2 else float(rng.integers(1, 5))) for f in (1, 2) for r in range(9) for c in range(14)]
+    df = spark.createDataFrame(rows, "frame long, row int, col int, dist double")
+    want = {(r.frame, r.row, r.col): r.segment for r in segments.segment_frames(df, 1.5).collect()}
+    lab = segments.segment_by_edges(df, segments.pixel_edges(df, 1.5))
+    assert {(r.frame, r.row, r.col): r.segment for r in lab.collect()} == want
+    pairs = spark.createDataFrame([(1, min(s for (f, _, _), s in want.items() if f == 1), max(s for (f, _, _), s in want.items() if f == 1))], "frame long, a long, b long")
+    first, last = pairs.first().a, pairs.first().b
+    merged = {(r.frame, r.row, r.col): r.segment for r in segments.merge_segments(lab, pairs).collect()}
+    assert merged == {k: first if (k[0], s) == (1, last) else s for k, s in want.items()}
+    near = segments.merge_neighbours(segments.segment_neighbour_scores(lab, lambda d: -d), pairs)
+    assert near.where(F.col("a") >= F.col("b")).count() == 0 and near.where((F.col("frame") == 1) & ((F.col("a") == last) | (F.col("b") == last))).count() == 0
