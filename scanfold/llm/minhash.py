@@ -309,10 +309,11 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     member = durable.write(cluster.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("component", "rep").alias("comp")), "members")
     share = member.groupBy("hub", "comp").agg(F.count("*").alias("size"))
     mixed = share.groupBy("hub").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("size").alias("size")).where("comps > 1")
-    mixed = mixed.select("hub", F.col("most.comp").alias("largest"), "size")
-    more = links(join_by_size(member, mixed, "hub", "size", in_clusters).select("hub", "rep", "comp", (F.col("comp") != F.col("largest")).alias("few")))
-    if not more.isEmpty():
-        comp = durable.write(connected_components(edges.unionAll(more)), "labels")
+    mixed = durable.write(mixed.select("hub", F.col("most.comp").alias("largest"), "size"), "mixed")
+    if not mixed.isEmpty():
+        more = links(join_by_size(member, mixed, "hub", "size", in_clusters).select("hub", "rep", "comp", (F.col("comp") != F.col("largest")).alias("few")))
+        if not more.isEmpty():
+            comp = durable.write(connected_components(edges.unionAll(more)), "labels")
 
     of_class = classes.select("h1", "h2", "rep").join(comp.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component"))
     # the empty set is not a class; its rows stand alone
