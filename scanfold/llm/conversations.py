@@ -205,8 +205,9 @@ def edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     role, text = F.coalesce("role", one), F.coalesce("text", one)
     named = rows.select(key.alias("key"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), F.coalesce("alive", F.lit(True)).alias("alive")).repartition("key")
     order = [F.asc_nulls_first("turn"), "role", "text"]
-    placed = named.withColumn("repeated", F.row_number().over(Window.partitionBy("key", "alive", "role", "text").orderBy(F.asc_nulls_first("turn"))) > 1)
-    placed = placed.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("alive"), *order)).cast("long"))
+    placed = named.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("alive"), *order)).cast("long"))
+    # equal rows of one turn: the one that is placed first is not the repeated one
+    placed = placed.withColumn("repeated", F.row_number().over(Window.partitionBy("key", "alive", "role", "text").orderBy("pos")) > 1)
     facts = placed.select("key", "conv_id", "turn", F.substring("role", 1, 1).alias("initial"), (~F.col("text").rlike(_NOT_SPACE)).alias("blank"), "repeated", (~F.col("text").rlike(_ENDED)).alias("truncated"), "alive", "pos")
     return placed.where("alive").select("key", "pos", "role", "text"), facts.sortWithinPartitions("key", "pos").mapInArrow(_solved, _EDITS)
 
@@ -254,3 +255,33 @@ def repaired(rows: DataFrame) -> DataFrame:
     placed, found = edits(rows)
     both = found.join(placed, ["key", "pos"], "left").repartition("key").sortWithinPartitions("key", "pos")
     return both.mapInArrow(_digests, _RESULT)
+
+
+_SPACES = r"\x20\x09-\x0D"
+#: Small conversations only: each step takes all conversations a row further and keeps the best path to each state.
+ORACLE_SQL = f"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), c // 2) ELSE c // 2 END) AS v FROM range(256) r(i))),
+n AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+h AS (SELECT n.*, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(unicode(x) AS BIGINT) FOR x IN string_split(name, '')], lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), CAST(4294967295 AS BIGINT)) % 20 AS kind FROM n, tab),
+d AS (SELECT key, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM h, (VALUES (0), (1)) o(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+p AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+f AS (SELECT *, substr(role, 1, 1) AS initial, row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 AS again,
+  NOT regexp_matches(text, '[^{_SPACES}]') AS blank, NOT regexp_matches(text, '[.!?][{_SPACES}]*\\z') AS cut FROM p),
+r AS (SELECT *, blank OR again AS faulty, cut AND NOT blank AND NOT again AS late, lag(initial) OVER (PARTITION BY key ORDER BY pos) || initial AS pair FROM f),
+c(g, via, put, said) AS (VALUES (0, 0, '', ''), (0, 2, 'I', chr(10) || 'user:'), (0, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 1, '', ''), (1, 2, 'I', chr(10) || 'user:'), (1, 3, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  (2, 2, '', ''), (2, 3, 'I', chr(10) || 'assistant:'), (3, 3, '', ''), (3, 2, 'I', chr(10) || 'user:')),
+gr(via, need, onto) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+a AS (SELECT via, 'D' AS e, CAST(NULL AS VARCHAR) AS need, via AS onto, CAST(NULL AS VARCHAR) AS given, 3 AS price FROM (VALUES (0), (1), (2), (3)) v(via) UNION ALL SELECT via, 'K', need, onto, CAST(NULL AS VARCHAR), 0 FROM gr
+  UNION ALL SELECT via, 'R', CAST(NULL AS VARCHAR), onto, CASE need WHEN 'u' THEN 'user' ELSE 'assistant' END, 2 FROM gr WHERE need <> 's'),
+s AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS pos, 0 AS g, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS body FROM n UNION ALL
+  SELECT key, pos, g, cost, audit, body FROM (SELECT s.key, r.pos, a.onto AS g, s.cost + 2 * length(c.put) + a.price + CASE WHEN a.e <> 'D' AND r.late THEN 1 ELSE 0 END AS cost, s.audit || c.put || a.e AS audit,
+    s.body || c.said || CASE a.e WHEN 'D' THEN '' ELSE chr(10) || coalesce(a.given, r.role) || ':' || r.text END AS body
+    FROM s JOIN r ON r.key = s.key AND r.pos = s.pos + 1 JOIN c ON c.g = s.g JOIN a ON a.via = c.via AND (a.e = 'D' OR (NOT r.faulty AND (a.e = 'R' OR a.need = r.initial))))
+  QUALIFY row_number() OVER (PARTITION BY key, g ORDER BY cost, audit) = 1),
+z AS (SELECT s.key, s.cost + 2 * length(c.put) AS cost, s.audit || c.put AS audit, s.body || c.said AS body FROM s JOIN (SELECT key, max(pos) AS pos FROM s GROUP BY key) m ON m.key = s.key AND m.pos = s.pos JOIN c ON c.g = s.g AND c.via IN (0, 3)
+  QUALIFY row_number() OVER (PARTITION BY s.key ORDER BY s.cost + 2 * length(c.put), s.audit || c.put) = 1),
+q AS (SELECT key, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (late) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM r GROUP BY key)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost, audit, sha256(substr(body, 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM n) i JOIN z USING (key) LEFT JOIN q USING (key)
+"""

@@ -97,7 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_vocabulary": urlfilter.oracle_sql(), "op10_systematic_mixing": mixing.ORACLE_SQL, "op5_warc_normaliser": WARC_SQL, "op11_difference_cover": suffixes.ORACLE_SQL, "op12_distance_keys": negatives.ORACLE_SQL}
+    return {"op6_url_vocabulary": urlfilter.oracle_sql(), "op10_systematic_mixing": mixing.ORACLE_SQL, "op5_warc_normaliser": WARC_SQL, "op11_difference_cover": suffixes.ORACLE_SQL, "op12_distance_keys": negatives.ORACLE_SQL, "op13_conversation_repair": conversations.ORACLE_SQL}
 
 
 WARC_SQL = """
