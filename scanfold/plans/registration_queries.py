@@ -31,7 +31,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _differences() -> str:
     """SQL for gradients and Hessians by central differences: the energies at the matches moved by steps of H, to first
     order in the angles, as the definition has it."""
-    h = 1e-3
+    h = 1e-4
     steps = [(0.0,) * 6] + [tuple(s * h if k == i else 0.0 for k in range(6)) for i in range(6) for s in (1, -1)]
     steps += [tuple(s * h if k == i else t * h if k == j else 0.0 for k in range(6)) for i in range(6) for j in range(i) for s in (1, -1) for t in (1, -1)]
     values = ", ".join(str((k, *x)) for k, x in enumerate(steps))
