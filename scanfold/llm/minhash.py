@@ -310,7 +310,8 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     share = member.groupBy("hub", "comp").agg(F.count("*").alias("size"))
     mixed = share.groupBy("hub").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("comps"), F.sum("size").alias("size")).where("comps > 1")
     mixed = mixed.select("hub", F.col("most.comp").alias("largest"), "size")
-    more = links(join_by_size(member, mixed, "hub", "size", in_clusters).select("hub", "rep", "comp", (F.col("comp") != F.col("largest")).alias("few")))
+    inside = member.join(mixed.select("hub"), "hub", "left_semi")  # what is split by size below is then mixed only
+    more = links(join_by_size(inside, mixed, "hub", "size", in_clusters).select("hub", "rep", "comp", (F.col("comp") != F.col("largest")).alias("few")))
     if not more.isEmpty():
         comp = durable.write(connected_components(edges.unionAll(more)), "labels")
 
