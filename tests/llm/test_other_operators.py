@@ -244,5 +244,5 @@ def test_session_values_are_kept(spark):
 
 def test_registry():
     names = queries.queries()
-    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names} == {f"op{i}" for i in range(1, 14)}
     assert set(queries.oracle_sql()) <= set(names)
