@@ -324,12 +324,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     return fit(pd.DataFrame(flat, columns=["kind", "before", "span", "after"]))
 
 
-_RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+_RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_base array<long>"
 
 
 def find_pii(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of every row's whole text: id_col, the number of all spans by kind, the SHA-256 of the joined base spans
-    and all spans joined, as ``kind:start:end`` by kind and start.
+    """Spans of every row's whole text: id_col, the number of all spans by kind, the SHA-256 of the joined base spans,
+    all spans joined, as ``kind:start:end`` by kind and start, and n_base, the numbers of base spans in the order of KINDS.
 
     Null and empty texts have none. Null and repeated ids are ordinary rows; other columns are not read.
     """
@@ -338,14 +338,16 @@ def find_pii(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = len(batch)
-            counts = np.zeros((n, len(KINDS)), np.int64)
+            counts, own = np.zeros((n, len(KINDS)), np.int64), np.zeros((n, len(KINDS)), np.int64)
             digest, spans = [empty] * n, [""] * n
             for i in np.flatnonzero(_marked(batch.column(1))).tolist():
                 base, every = find_spans(batch.column(1)[i].as_py(), model)
                 for k, _, _ in every:
                     counts[i, KINDS.index(k)] += 1
+                for k, _, _ in base:
+                    own[i, KINDS.index(k)] += 1
                 digest[i], spans[i] = hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, k]) for k in range(4)), pa.array(digest, pa.string()), pa.array(spans, pa.string())], names=[x.split()[0] for x in _RESULT.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(counts[:, k]) for k in range(4)), pa.array(digest, pa.string()), pa.array(spans, pa.string()), pa.array(list(own), pa.list_(pa.int64()))], names=[x.split()[0] for x in _RESULT.split(", ")])
         release_memory()
 
     durable.bounded_batches(docs.sparkSession)

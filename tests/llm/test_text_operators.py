@@ -14,7 +14,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scanfold.llm import fingerprint, grouping, minhash, mixing, packing, passages, pii, quality, queries, tokens
+from scanfold.llm import fingerprint, grouping, minhash, mixing, packing, passages, pii, quality, queries, tokens, trees
 
 WORD = r"[^\x20\x09-\x0D]+"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -498,3 +498,14 @@ def test_mixing_uses_no_python(spark, sf_dir):
 def test_held_out_rows(spark):
     got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", quality.is_held_out(F.col("doc_id")).alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def test_pii_counts_are_of_base_spans(spark):
+    every = pii.SpanModel(trees.fit_boosted(np.array([[0.0], [1.0]] * 20), np.array([0.0, 1.0] * 20), trees=1), dict.fromkeys(pii.KINDS, 0.0))
+    rows = [(1, "call (212) 555-1234 or +1 212 555 1234"), (2, "bob [at] x [dot] org"), (3, None)]
+    got = {r.doc_id: r for r in queries._base_counts(pii.find_pii(docs(spark, rows), every)).collect()}
+    for d, text in rows:
+        base = base_spans(text or "")
+        assert [got[d][f"n_{k}"] for k in pii.KINDS] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+    assert [len(got[d].spans.split(",")) for d in (1, 2)] == [2, 1]
