@@ -254,18 +254,19 @@ def search(index: Index, queries: DataFrame, k: int, same_table: bool) -> DataFr
     tree, coords = index.tree, ", ".join(f"`{c}` double" for c in cols)
     placed = stored(named.mapInArrow(_with_leaf(tree, cols, w), f"id long, {coords}, leaf long"))
 
-    def in_leaf(key: tuple, q: pa.Table, p: pa.Table) -> pa.Table:
-        """The nearest of a leaf, for each query one row with its lists so far."""
+    def in_leaf(key: tuple, q: pa.Table, p: pa.Table, further: bool) -> pa.Table:
+        """The nearest of a leaf, for each query one row with its lists so far; with ``further`` pairs within its bound. A
+        leaf may have points and no queries."""
         ids = np.asarray(q.column("id"), dtype=np.int64) if len(q) else np.zeros(0, np.int64)
-        bound = np.asarray(q.column("bound"), dtype=float) if "bound" in q.column_names and len(q) else None
+        bound = (np.asarray(q.column("bound"), dtype=float) if len(q) else np.zeros(0)) if further else None
         near, d2 = nearest(_coordinates(q, cols), ids, _coordinates(p, cols), np.asarray(p.column("id"), dtype=np.int64) if len(p) else np.zeros(0, np.int64), w, k, same_table, bound)
-        if bound is not None:
+        if further:
             return pa.table(_pairs(ids, near, d2), schema=pa.schema([("id", pa.int64()), ("near_id", pa.int64()), ("d2", pa.float64())]))
-        out = {"id": pa.array(ids), **{c: pa.array(np.asarray(q.column(c), dtype=float)) for c in cols}, "leaf": pa.array(np.full(len(ids), key[0].as_py() if hasattr(key[0], "as_py") else key[0], np.int64))}
+        out = {"id": pa.array(ids), **{c: pa.array(np.asarray(q.column(c), dtype=float) if len(q) else np.zeros(0)) for c in cols}, "leaf": pa.array(np.full(len(ids), key[0].as_py() if hasattr(key[0], "as_py") else key[0], np.int64))}
         out |= {"near": pa.array(list(near), pa.list_(pa.int64())), "d2s": pa.array(list(d2), pa.list_(pa.float64()))}
         return pa.table(out)
 
-    def answered(asked: DataFrame, schema: str) -> DataFrame:
+    def answered(asked: DataFrame, schema: str, further: bool) -> DataFrame:
         crowd = [(r.leaf, -(-r["count"] // DEALT)) for r in asked.groupBy("leaf").count().where(F.col("count") > DEALT).collect()]  # LEAVES at most
         parts = F.lit(1)
         points = index.table.withColumn("part", F.lit(0).cast("long"))
@@ -274,10 +275,14 @@ def search(index: Index, queries: DataFrame, k: int, same_table: bool) -> DataFr
             asked = asked.join(F.broadcast(of), "leaf", "left")
             parts = F.coalesce("parts", F.lit(1))
             points = index.table.join(F.broadcast(of), "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts")
+
+        def in_pass(key: tuple, q: pa.Table, p: pa.Table) -> pa.Table:
+            return in_leaf(key, q, p, further)
+
         asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("parts")
-        return asked.groupBy("leaf", "part").cogroup(points.groupBy("leaf", "part")).applyInArrow(in_leaf, schema)
+        return asked.groupBy("leaf", "part").cogroup(points.groupBy("leaf", "part")).applyInArrow(in_pass, schema)
 
-    first = stored(answered(placed, f"id long, {coords}, leaf long, near array<long>, d2s array<double>"))
+    first = stored(answered(placed, f"id long, {coords}, leaf long, near array<long>, d2s array<double>", False))
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,6 +300,6 @@ def search(index: Index, queries: DataFrame, k: int, same_table: bool) -> DataFr
 
     more = stored(first.mapInArrow(further, f"id long, {coords}, leaf long, bound double"))
     zipped = first.select("id", F.explode(F.arrays_zip("near", "d2s")).alias("n")).select("id", F.col("n.near").alias("near_id"), F.col("n.d2s").alias("d2")).where("near_id >= 0")
-    found = zipped.unionByName(answered(more, _FOUND))
+    found = zipped.unionByName(answered(more, _FOUND, True))
     nth = F.row_number().over(Window.partitionBy("id").orderBy("d2", "near_id"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)

@@ -281,3 +281,15 @@ def test_segments_span_batches_and_null_frames(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(((r.frame or 0, r.segment, r["count"]) for r in got)) == [(f, s, n) for f in (0, 7, 9) for s, n in ((0, 6), (3, 4))]
     assert segments.segment_frames(df.limit(0), 2.0).count() == 0
+
+
+def test_nearest_with_leaves_that_nothing_asks(spark, monkeypatch):
+    monkeypatch.setattr(kdtree, "SMALL", 10)
+    monkeypatch.setattr(kdtree, "LEAF", 20)
+    rng = np.random.default_rng(4)
+    x = rng.uniform(0, 100, (400, 3))
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    asked = [(1000, 1.0, 2.0, 3.0), (1001, 50.0, 50.0, 50.0)]
+    got = kdtree.search(kdtree.index(points, ("x", "y", "z")), spark.createDataFrame(asked, "id long, x double, y double, z double"), 1, same_table=False).collect()
+    want = {(q[0], int(((x - np.array(q[1:])) ** 2).sum(axis=1).argmin())) for q in asked}
+    assert {(r.id, r.near_id) for r in got} == want
