@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from scanfold.functions.cells import cell_center, cell_index
 
+from . import kdtree
+
 AXES = ("x", "y", "z")
 CELL = ("ix", "iy", "iz")
 
@@ -63,11 +65,17 @@ def neighbours(a: DataFrame, b: DataFrame, extent: float, radius: int) -> DataFr
 
 
 def nearest_in_cell(a: DataFrame, b: DataFrame, extent: float) -> DataFrame:
-    """For each point of ``a`` the nearest of ``b`` in the same cell, ties to the lesser id."""
-    p = neighbours(a, b, extent, 0).where("a_id <> b_id")
-    d2 = sum((F.col("a_" + c) - F.col("b_" + c)) ** 2 for c in AXES)
-    best = p.withColumn("d2", d2).groupBy("a_id").agg(F.min(F.struct("d2", "b_id")).alias("m"))
-    return best.select(F.col("a_id").alias("id"), F.col("m.b_id").alias("near_id"), F.sqrt("m.d2").alias("dist"))
+    """For each point of ``a`` the nearest of ``b`` in the same cell, ties to the lesser id.
+
+    A search by place and cell, cells apart counting for more than a cell's diagonal: what it finds in another cell is
+    dropped. So a crowded cell is split like any other place, and its pairs are not made.
+    """
+    cols, apart = (*AXES, *CELL), dict.fromkeys(CELL, 2 * extent)
+    p, q = (with_cells(d.select("id", *AXES), extent) for d in (a, b))
+    # the squared distance holds nothing of the cells where they are equal
+    found = kdtree.search(kdtree.index(q, cols, apart), p, 1, same_table=True).where(F.col("d2") < (2 * extent) ** 2)
+    best = found.groupBy("id").agg(F.min(F.struct("d2", "near_id")).alias("m"))
+    return best.select("id", F.col("m.near_id").alias("near_id"), F.sqrt("m.d2").alias("dist"))
 
 
 def remove_neighbourhood(points: DataFrame, seeds: DataFrame, extent: float, radius: int = 1) -> DataFrame:

@@ -311,3 +311,20 @@ def test_merge_features_do_not_depend_on_how_the_table_is_split(spark, tmp_path)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got == {(a, i): v for a, i, v in con.execute(catalogue.oracle_sql()["merge_stage1_features"]).fetchall()}
+
+
+def test_nearest_in_a_crowded_cell_makes_no_pairs(spark, monkeypatch):
+    def no_pairs(*args):
+        raise AssertionError("all pairs of a cell")
+
+    monkeypatch.setattr(grid, "neighbours", no_pairs)
+    monkeypatch.setattr(kdtree, "SMALL", 10)
+    monkeypatch.setattr(kdtree, "LEAF", 40)
+    rng = np.random.default_rng(6)
+    x = np.concatenate((rng.uniform(0.5, 4.5, (300, 3)), rng.uniform(-20, 20, (60, 3)), np.ones((5, 3)), [[4.99, 1, 1], [5.01, 1, 1], [99, 9, 9]]))
+    p = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double, z double")
+    cell = np.trunc(x / 5).astype(int) - (x < 0)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(2)
+    d2[(cell[:, None] != cell[None]).any(2) | np.eye(len(x), dtype=bool)] = np.inf
+    want = {i: int(d2[i].argmin()) for i in range(len(x)) if np.isfinite(d2[i]).any()}
+    assert {r.id: r.near_id for r in grid.nearest_in_cell(p, p, 5.0).collect()} == want
