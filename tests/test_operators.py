@@ -328,3 +328,10 @@ def test_nearest_in_a_crowded_cell_makes_no_pairs(spark, monkeypatch):
     d2[(cell[:, None] != cell[None]).any(2) | np.eye(len(x), dtype=bool)] = np.inf
     want = {i: int(d2[i].argmin()) for i in range(len(x)) if np.isfinite(d2[i]).any()}
     assert {r.id: r.near_id for r in grid.nearest_in_cell(p, p, 5.0).collect()} == want
+
+
+def test_normals_shuffle_once(spark, sf_dir):
+    from scanfold.plans import catalogue
+
+    plan = catalogue.queries()["normals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
