@@ -46,13 +46,13 @@ def threshold_weight(d: Column, most: float) -> Column:
     return F.when(d > most, F.lit(most) / d).otherwise(1.0)
 
 
-def fill_from_neighbours(rows: DataFrame, value: str) -> DataFrame:
-    """Rows (frame, row, col, dist) with ``filled``: a return without a value takes the one that most of its four
+def fill_from_neighbours(rows: DataFrame, value: str, image: tuple[str, ...] = ("frame",)) -> DataFrame:
+    """Rows (``image``, row, col, dist) with ``filled``: a return without a value takes the one that most of its four
     neighbours share. Two agreeing neighbours suffice if the other two differ; two against two decide nothing. A missing
     neighbour counts as a value of its own kind, and four, three or two agreeing on it leave the return without one."""
     near = []
     for axis, other in (("col", "row"), ("row", "col")):
-        w = Window.partitionBy("frame", other).orderBy(axis)
+        w = Window.partitionBy(*image, other).orderBy(axis)
         near += [F.when(f(axis).over(w) == F.col(axis) + s, f(value).over(w)) for f, s in ((F.lag, -1), (F.lead, 1))]
     # nulls go last, as the greatest of the four
     t = rows.withColumn("near", F.array_sort(F.array(*near)))

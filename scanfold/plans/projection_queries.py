@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scanfold.functions import geo
@@ -43,8 +43,8 @@ def _cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.select("frame", (track % 3).alias("buffer"), (track + 1).alias("uid"), (track % 4 != 3).alias("registered"), (F.col("row") * 100000 + F.col("col") * 10 + F.col("s")).alias("id"), "row", (F.col("col") + F.col("s")).alias("col"), (F.col("dist") * off).alias("dist"), (((F.col("row") + F.col("col")) % 5) / 4).alias("conf"))
     xyz = geo.from_polar(F.col("col") * YAW, F.col("row") * PITCH, F.col("dist"))
     p = p.withColumns({**dict(zip("xyz", xyz, strict=True)), "nx": F.lit(0.6), "ny": F.lit(0.0), "nz": F.lit(0.8)})
-    places = projection.registration_order(p.groupBy("frame", "buffer", "uid").agg(F.count("*").alias("points")), ["frame"], LONG_TERM)
-    return p.join(places.drop("points"), ["frame", "buffer", "uid"])
+    p = p.withColumn("points", F.count("*").over(Window.partitionBy("frame", "buffer", "uid")))
+    return projection.registration_order(p, ["frame"], LONG_TERM).drop("points")
 
 
 @query(f"WITH {PIXELS}, {CLOUD} SELECT frame, buffer, uid, points, CAST(place AS INTEGER) AS place FROM plc")

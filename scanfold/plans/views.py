@@ -12,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-#: Rows of a task's frames, about: their number, not their memory, grows with the table.
-DEALT = 100_000
+from scanfold.runs import dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +41,7 @@ SCAN = """scan AS (SELECT user_id AS frame, row_number() OVER (PARTITION BY user
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     # dealt by frame once: the grouping and all windows within a frame, by row or by column, then need no other shuffle
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey", "l_quantity")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-li.count() // DEALT))  # counted by the file's footers
-    li = li.repartition(parts, "l_partkey")
+    li = dealt(table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_orderkey", "l_quantity"), "l_partkey")
     one = li.groupBy("l_partkey", "l_linenumber", "l_orderkey").agg(F.min("l_quantity").alias("q"))
     w = Window.partitionBy("l_partkey", "l_linenumber").orderBy("l_orderkey")
     return one.select(F.col("l_partkey").alias("frame"), F.col("l_linenumber").alias("row"), F.row_number().over(w).alias("col"), F.when(F.col("q") < 45, F.col("q") / 4).alias("dist"))

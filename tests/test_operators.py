@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -335,3 +336,10 @@ def test_normals_shuffle_once(spark, sf_dir):
 
     plan = catalogue.queries()["normals"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tracks_are_projected_without_a_shuffle_of_points(spark, sf_dir):
+    from scanfold.plans import catalogue
+
+    plan = catalogue.queries()["tracks_projected_extended"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert {k.split("#")[0] if "," not in k else k for k in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)} == {"l_partkey"}
