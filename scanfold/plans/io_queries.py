@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from scanfold.functions import geo
 from scanfold.operators.grid import with_cells
+from scanfold.runs import dealt
 from scanfold.sources import datasets, files, pointfiles, rangeimg, textual
-from scanfold.stored import new_path
+from scanfold.stored import new_path, stored
 
 from .registry import query, rounded
 from .views import PIXELS, POINTS, POSES, pixels, points, poses
@@ -20,9 +21,11 @@ from .views import PIXELS, POINTS, POSES, pixels, points, poses
 def range_images_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame as a range image of 16 bits, written and read."""
     folder = new_path(spark, "images")
-    images = rangeimg.encode_frames(pixels(spark, sf_dir)).select(F.concat(F.col("frame").cast("string"), F.lit(".png")).alias("name"), "content")
-    files.write_files(images, folder).count()
-    rows = rangeimg.read_range_images(spark, folder).where("dist is not null")
+    frame = F.col("frame").cast("string")
+    # a thousand folders, so that tasks do not wait for one; the files' names are kept, so that none is listed
+    images = rangeimg.encode_frames(pixels(spark, sf_dir)).select(F.concat(F.pmod("frame", F.lit(1000)).cast("string"), F.lit("/"), frame, F.lit(".png")).alias("name"), "content")
+    done = stored(files.write_files(images, folder))
+    rows = rangeimg.range_images(files.read_files(dealt(done, "path"))).where("dist is not null")
     return rows.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("frame"), F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "dist")
 
 

@@ -21,9 +21,15 @@ def storage(uri: str):
 
 def put(uri: str, content: bytes) -> None:
     """Write a file under another name first and move it: readers see all of it or none."""
-    system, path = storage(uri)
+    _put(*storage(uri), content, set())
+
+
+def _put(system, path: str, content: bytes, made: set[str]) -> None:
+    """As ``put``; folders in ``made`` exist."""
     folder, name = path.rsplit("/", 1)
-    system.create_dir(folder, recursive=True)
+    if folder not in made:
+        system.create_dir(folder, recursive=True)
+        made.add(folder)
     part = f"{folder}/.{name}.{uuid.uuid4().hex}"
     try:
         with system.open_output_stream(part, compression=None) as out:
@@ -40,18 +46,49 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     name or content are passed over, and of equal names one wins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (system, base), made = storage(folder.rstrip("/")), set()
         for batch in batches:
             done = []
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content"), strict=True):
                 if name is not None and content.is_valid:
                     data = content.as_buffer().to_pybytes()
-                    put(f"{folder.rstrip('/')}/{name}", data)
+                    _put(system, f"{base}/{name}", data, made)
                     done.append((f"{folder.rstrip('/')}/{name}", len(data)))
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "length"])
 
     return rows.select("name", "content").mapInArrow(run, "path string, length long")
 
 
+def read_files(rows: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """(path, content) of the files that rows (path) name, such as those of ``write_files``, each read by the task of its
+    row: no folder is listed and many small files share a task. A batch holds about ``size`` bytes; null paths are passed over."""
+
+    def batch(paths: list[str], contents: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root, prefix = None, None, ""
+        for part in batches:
+            paths, contents, held = [], [], 0
+            for uri in part.column("path").to_pylist():
+                if uri is None:
+                    continue
+                own = uri.rsplit("/", 1)[0]
+                if own != root:
+                    (system, prefix), root = storage(own), own
+                with system.open_input_stream(f"{prefix}/{uri.rsplit('/', 1)[1]}", compression=None) as f:
+                    contents.append(f.read())
+                paths.append(uri)
+                held += len(contents[-1])
+                if held > size:
+                    yield batch(paths, contents)
+                    paths, contents, held = [], [], 0
+            if paths:
+                yield batch(paths, contents)
+
+    return rows.select("path").mapInArrow(run, "path string, content binary")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path exists in the store that Spark reads it from."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,9 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scanfold.runs import in_runs, starts, whole_runs
+
+#: Pixels of a batch of images.
+PIXELS = 1 << 20
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -69,28 +74,49 @@ def encode_png(values: np.ndarray) -> bytes:
     return _MAGIC + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw.tobytes())) + chunk(b"IEND", b"")
 
 
-def _rows(files: DataFrame, schema: str, value: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                v = decode_png(content)
-                r, c = np.indices(v.shape)
-                yield pd.DataFrame({"path": path, "row": r.ravel().astype(np.int32), "col": c.ravel().astype(np.int32), value: v.ravel()})
+def _rows(files: DataFrame, value: str) -> DataFrame:
+    """(path, row, col, value) of images (path, content), spread into rows by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, widths, values, held = [], [], [], 0
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                v = decode_png(content.as_py())
+                paths.append(path), widths.append(v.shape[1]), values.append(v.ravel())
+                held += v.size
+                if held > PIXELS:
+                    yield _images(paths, widths, values)
+                    paths, widths, values, held = [], [], [], 0
+            if paths:
+                yield _images(paths, widths, values)
+
+    images = files.select("path", "content").mapInArrow(run, "path string, width int, values array<int>")
+    rows = images.select("path", "width", F.posexplode("values").alias("at", value))
+    return rows.select("path", F.expr("cast(at div width as int)").alias("row"), (F.col("at") % F.col("width")).alias("col"), value)
+
 
-    return files.select("path", "content").mapInPandas(run, schema)
+def _images(paths: list[str], widths: list[int], values: list[np.ndarray]) -> pa.RecordBatch:
+    at = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    arrays = [pa.array(paths, pa.string()), pa.array(widths, pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values).astype(np.int32)))]
+    return pa.RecordBatch.from_arrays(arrays, names=["path", "width", "values"])
 
 
 def read_range_images(spark: SparkSession, path: str, multiplier: float = 500.0, pattern: str = "*.png") -> DataFrame:
     """(path, row, col, dist) of all images below a folder; dist is null where there is no return."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    rows = _rows(files, "path string, row int, col int, value int", "value")
+    return range_images(files, multiplier)
+
+
+def range_images(files: DataFrame, multiplier: float = 500.0) -> DataFrame:
+    """(path, row, col, dist) of images (path, content)."""
+    rows = _rows(files, "value")
     return rows.select("path", "row", "col", (F.nullif(F.col("value"), F.lit(0)) / F.lit(multiplier)).alias("dist"))
 
 
 def read_segment_images(spark: SparkSession, path: str) -> DataFrame:
     """(path, row, col, segment) of label images, without the pixels of value 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
-    return _rows(files, "path string, row int, col int, segment int", "segment").where("segment <> 0")
+    return _rows(files, "segment").where("segment <> 0")
 
 
 def to_pixel_value(dist: Column, multiplier: float = 500.0) -> Column:
@@ -111,9 +137,16 @@ def dense_segments(labelled: DataFrame) -> DataFrame:
 def encode_frames(rows: DataFrame, multiplier: float = 500.0) -> DataFrame:
     """(frame, content): a PNG file of each frame's (row, col, dist), indices from 0."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        image = np.zeros((int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1), np.int64)
-        image[pdf["row"], pdf["col"]] = pdf["value"]
-        return pd.DataFrame({"frame": [key[0]], "content": [encode_png(image)]})
-
-    return rows.select("frame", "row", "col", to_pixel_value(F.col("dist"), multiplier).alias("value")).groupBy("frame").applyInPandas(run, "frame long, content binary")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_runs(batches):
+            at = starts(pdf)
+            row, col, value = (pdf[c].to_numpy() for c in ("row", "col", "value"))
+            out = []
+            for a, b in zip(at, [*at[1:], len(pdf)], strict=True):
+                image = np.zeros((int(row[a:b].max()) + 1, int(col[a:b].max()) + 1), np.int64)
+                image[row[a:b], col[a:b]] = value[a:b]
+                out.append(encode_png(image))
+            yield pd.DataFrame({"frame": pdf["frame"].to_numpy()[at], "content": out})
+
+    values = rows.select("frame", "row", "col", to_pixel_value(F.col("dist"), multiplier).alias("value"))
+    return in_runs(values, "frame", "row", "col").mapInPandas(run, "frame long, content binary")

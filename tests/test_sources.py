@@ -93,3 +93,20 @@ def test_normaliser_line(spark):
     assert {r.dim: (r.lo, r.hi) for r in back.collect()} == {0: (-1.0, 1.0), 1: (0.5, 2.0)}
     rows = spark.createDataFrame([([1.0, 2.0], 3)], "f array<double>, label int")
     assert textual.training_lines(rows).first().value == "1.0\t2.0\t-->\t3"
+
+
+def test_images_are_written_and_read_without_a_listing(spark, tmp_path, sf_dir):
+    from scanfold.plans import catalogue
+    from scanfold.sources import files
+
+    rows = [(f, r, c, (f + r + c) / 2) for f in (3, 4, 11) for r in range(2) for c in range(f)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        images = rangeimg.encode_frames(spark.createDataFrame(rows, "frame long, row int, col int, dist double"))
+        names = images.select(F.concat(F.col("frame") % 2, F.lit("/"), "frame", F.lit(".png")).alias("name"), "content")
+        done = spark.createDataFrame(files.write_files(names, f"file://{tmp_path}/i/").collect())
+        got = rangeimg.range_images(files.read_files(done, 1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((int(r.path.split("/")[-1][:-4]), r.row, r.col, r.dist or 0.0) for r in got) == rows
+    assert "binaryFile" not in catalogue.queries()["range_images_round_trip"](spark, sf_dir)._jdf.queryExecution().toString()
