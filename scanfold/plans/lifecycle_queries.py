@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scanfold.operators import lifecycle, links, noise, segments, surface
 from scanfold.operators.merging import IGNORE, KEEP, MERGE
+from scanfold.runs import dealt
 from scanfold.sources import clouds, rangeimg, textual
 from scanfold.stored import stored
 from scanfold.streaming import lifecycle as lives
@@ -30,7 +31,8 @@ def track_lives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One new track a frame in each user's drive, decided on by uid three frames later."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     none = {c: F.lit(None).cast("long") for c in ("uid", "dst")}
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("drive"), F.row_number().over(w).cast("long").alias("frame"), F.lit(lives.SEGMENT).alias("kind"), none["uid"].alias("uid"), F.lit(0.0).alias("angle"), (5 + F.col("event_id") % 7).cast("long").alias("points"), F.lit(None).cast("int").alias("decision"), none["dst"].alias("dst"))
+    events = dealt(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id")
+    e = events.select(F.col("user_id").cast("long").alias("drive"), F.row_number().over(w).cast("long").alias("frame"), F.lit(lives.SEGMENT).alias("kind"), none["uid"].alias("uid"), F.lit(0.0).alias("angle"), (5 + F.col("event_id") % 7).cast("long").alias("points"), F.lit(None).cast("int").alias("decision"), none["dst"].alias("dst"))
     return lives.life_of_drives(e, lives.Rules(steps=STEPS, idle_most=1 << 30, policy=_policy))
 
 

@@ -10,12 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from heapq import heappop, heappush
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from scanfold.operators.merging import IGNORE, KEEP, MERGE
+from scanfold.runs import in_runs, starts, whole_runs
 
 SEGMENT, UPDATE, DECISION = "segment", "update", "decision"
 #: Rows: a new segment with its angle and points; a track that was measured, with its points now; a decision on a track.
@@ -47,9 +51,27 @@ class Track:
 
 @dataclass
 class Drive:
+    """``clock`` counts the frames folded since the drive was made or restored; until then a track's age in ``tracks`` is
+    its own, later it is less by the clock, so that a frame does not touch tracks to which nothing happens."""
+
     frame: int = -1
     next_uid: int = 1
     tracks: dict[int, Track] = field(default_factory=dict)
+    clock: int = 0
+    #: tracks that wait for their decision
+    young: set[int] | None = None
+    #: (last, uid) of measurements, a heap, and tracks whose points have changed: what may have to be dropped
+    idle: list[tuple[int, int]] = field(default_factory=list)
+    changed: set[int] = field(default_factory=set)
+
+    def own(self, t: Track) -> Track:
+        """A track with its own age."""
+        return replace(t, age=t.age + self.clock)
+
+    def measured(self, uid: int, t: Track) -> None:
+        self.tracks[uid] = t
+        heappush(self.idle, (t.last, uid))
+        self.changed.add(uid)
 
 
 def live(drive: Drive, frame: int, rows: Iterable[tuple], rules: Rules) -> Iterator[tuple[int, str, Track]]:
@@ -64,64 +86,89 @@ def live(drive: Drive, frame: int, rows: Iterable[tuple], rules: Rules) -> Itera
         return
     rows = list(rows)
     drive.frame = frame
+    drive.clock += 1
     tracks = drive.tracks
-    for uid in sorted(tracks):
-        t = tracks[uid] = replace(tracks[uid], age=tracks[uid].age + 1)
+    if drive.young is None:
+        drive.young = {uid for uid, t in tracks.items() if t.buffer < rules.steps}
+        for uid, t in tracks.items():
+            drive.measured(uid, t)
+    young = drive.young
+    suspects, drive.changed = drive.changed, set()
+    while drive.idle and frame - drive.idle[0][0] >= rules.idle_most:
+        suspects.add(heappop(drive.idle)[1])
+    for uid in sorted(suspects & tracks.keys()):
+        t = tracks[uid]
         if frame - t.last >= rules.idle_most or t.points <= rules.points_least:
             del tracks[uid]
-            yield uid, "dropped", t
+            young.discard(uid)
+            yield uid, "dropped", drive.own(t)
     for kind, uid, _, points, _, _ in rows:
         if kind == UPDATE and uid in tracks:
-            tracks[uid] = replace(tracks[uid], last=frame, points=points)
+            drive.measured(uid, replace(tracks[uid], last=frame, points=points))
     decided = {uid: (decision, dst) for kind, uid, _, _, decision, dst in rows if kind == DECISION}
-    for uid in sorted(u for u, t in tracks.items() if t.buffer == rules.steps - 1):
+    for uid in sorted(u for u in young if tracks[u].buffer == rules.steps - 1):
         t = tracks[uid]
-        decision, dst = decided.get(uid) or (rules.policy(uid, t) if rules.policy else (IGNORE, None))
-        settled = any(o.buffer == rules.steps for o in tracks.values())
+        decision, dst = decided.get(uid) or (rules.policy(uid, drive.own(t)) if rules.policy else (IGNORE, None))
+        settled = len(tracks) > len(young)
         if not settled:  # the first is the world
             decision = KEEP
         if decision == MERGE and (dst not in tracks or dst == uid):
             decision = IGNORE
+        young.discard(uid)
         if decision == KEEP:
             tracks[uid] = replace(t, buffer=rules.steps, moving=settled)
-            yield uid, "kept", tracks[uid]
+            yield uid, "kept", drive.own(tracks[uid])
             continue
         del tracks[uid]
         if decision == MERGE:
             tracks[dst] = replace(tracks[dst], points=tracks[dst].points + t.points)
-        yield uid, "merged" if decision == MERGE else "ignored", t
-    for uid, t in tracks.items():
-        if t.buffer < rules.steps:
-            tracks[uid] = replace(t, buffer=t.buffer + 1)
+            drive.changed.add(dst)
+        yield uid, "merged" if decision == MERGE else "ignored", drive.own(t)
+    for uid in young:
+        tracks[uid] = replace(tracks[uid], buffer=tracks[uid].buffer + 1)
     segments = sorted((angle, points) for kind, _, angle, points, _, _ in rows if kind == SEGMENT)
     if segments and (not tracks or not rules.tracking):
         segments = [(0.0, sum(p for _, p in segments))]
     for _, points in segments:
-        t = tracks[drive.next_uid] = Track(0, 0, frame, points, False)
+        t = Track(0, 0, frame, points, False)
+        drive.measured(drive.next_uid, replace(t, age=-drive.clock))
+        young.add(drive.next_uid)
         yield drive.next_uid, "new", t
         drive.next_uid += 1
 
 
-def _frames(pdf: pd.DataFrame) -> Iterator[tuple[int, list[tuple]]]:
-    whole = lambda v: None if pd.isna(v) else int(v)
-    for frame, own in pdf.groupby("frame", sort=True):
-        yield int(frame), [(r.kind, whole(r.uid), 0.0 if pd.isna(r.angle) else float(r.angle), whole(r.points) or 0, whole(r.decision), whole(r.dst)) for r in own.itertuples(index=False)]
+_NAMES = [c.split()[0] for c in EVENTS.split(", ")]
+
+
+def _rows(pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
+    """Frames and rows as ``live`` takes them; a column is converted once, not by frame or row."""
+    whole = lambda c: [None if gone else int(v) for v, gone in zip(pdf[c].tolist(), pdf[c].isna().tolist(), strict=True)]
+    points = [p or 0 for p in whole("points")]
+    angle = pdf["angle"].astype(float).fillna(0.0).tolist()
+    return pdf["frame"].to_numpy(np.int64), list(zip(pdf["kind"].tolist(), whole("uid"), angle, points, whole("decision"), whole("dst"), strict=True))
 
 
-def _folded(drive: Drive, key: int, pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
+def _folded(drive: Drive, key: int, frame: np.ndarray, rows: list[tuple], rules: Rules) -> list[tuple]:
+    """Events of a drive's rows in order of their frames."""
     out = []
-    for frame, rows in _frames(pdf):
-        out += [(key, frame, uid, event, t.buffer, t.age, t.points) for uid, event, t in live(drive, frame, rows, rules)]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+    cut = [0, *(np.flatnonzero(np.diff(frame)) + 1).tolist(), len(rows)]
+    for a, b in pairwise(cut):
+        f = int(frame[a])
+        out += [(key, f, uid, event, t.buffer, t.age, t.points) for uid, event, t in live(drive, f, rows[a:b], rules)]
+    return out
 
 
 def life_of_drives(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The events of whole drives, each folded in one task. Rows with a null drive or frame are left out."""
 
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _folded(Drive(), int(key[0]), pdf, rules)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_runs(batches):
+            (frame, own), drives, out = _rows(pdf), pdf["drive"].tolist(), []
+            for a, b in pairwise([*starts(pdf).tolist(), len(pdf)]):
+                out += _folded(Drive(), drives[a], frame[a:b], own[a:b], rules)
+            yield pd.DataFrame(out, columns=_NAMES)
 
-    return rows.where("drive is not null and frame is not null").groupBy("drive").applyInPandas(fold, EVENTS)
+    return in_runs(rows.where("drive is not null and frame is not null"), "drive", "frame").mapInPandas(fold, EVENTS)
 
 
 class LifeProcessor(StatefulProcessor):
@@ -134,16 +181,16 @@ class LifeProcessor(StatefulProcessor):
         self.tracks = handle.getMapState("tracks", "uid long", _TRACK)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        drive = Drive()
-        if self.at.exists():
-            drive.frame, drive.next_uid = self.at.get()
-        drive.tracks = {k[0]: Track(*v) for k, v in self.tracks.iterator()}
+        frame, next_uid = self.at.get() if self.at.exists() else (-1, 1)
+        drive = Drive(frame, next_uid, {k[0]: Track(*v) for k, v in self.tracks.iterator()})
         before = dict(drive.tracks)
-        out = _folded(drive, int(key[0]), pd.concat(list(rows)), self.rules)
+        pdf = pd.concat(list(rows)).sort_values("frame", kind="stable")
+        out = pd.DataFrame(_folded(drive, int(key[0]), *_rows(pdf), self.rules), columns=_NAMES)
         self.at.update((drive.frame, drive.next_uid))
         for uid in before.keys() - drive.tracks.keys():
             self.tracks.removeKey((uid,))
         for uid, t in drive.tracks.items():
+            t = drive.own(t)
             if before.get(uid) != t:
                 self.tracks.updateValue((uid,), (t.buffer, t.age, t.last, t.points, t.moving))
         if self.idle_ms:

@@ -80,3 +80,15 @@ def test_every_track_ends_once(spark, steps):
         assert new == sorted(set(new)) and new[0] == 1
         ended = [r.uid for r in own if r.event in ("merged", "ignored", "dropped")]
         assert len(ended) == len(set(ended)) and set(ended) <= set(new)
+
+
+def test_a_frame_does_not_touch_tracks_to_which_nothing_happens():
+    d, rules = Drive(), Rules(steps=1, idle_most=1 << 30, policy=lambda uid, track: (KEEP, None))
+    for k in range(50):
+        list(live(d, k, [_seg(0.0)], rules))
+    old = d.tracks[7]
+    assert d.own(old).age == 43
+    got = list(live(d, 60, [(UPDATE, 9, None, 2, None, None)], rules))
+    assert d.tracks[7] is old and d.own(old).age == 44
+    assert [(u, e, t.age) for u, e, t in got] == [(50, "kept", 1)]
+    assert [(u, e, t.age) for u, e, t in live(d, 61, [], rules)] == [(9, "dropped", 43)]
