@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scanfold.functions.soft import soft_threshold
+from scanfold.runs import in_runs, whole_runs
 
 from .components import components
 
@@ -67,59 +68,47 @@ def merge_neighbours(neighbours: DataFrame, pairs: DataFrame) -> DataFrame:
 def segment_frames(rows: DataFrame, most: float) -> DataFrame:
     """(frame, row, col, dist, segment) of each return; a segment is named by its first pixel, row * 100000 + col.
 
-    Frames lie together and in order within a partition. Each Arrow batch labels all frames that end in it at once, in
-    numpy sweeps until none changes; only the rows of the last, open frame are carried on. Null frames are one frame.
+    Frames lie together and in order within a partition; rows dealt by frame are not shuffled again. Each Arrow batch
+    labels all frames that end in it at once; only the rows of the last, open frame are carried on. Null frames are one frame.
     """
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["dist"].notna()].sort_values(["nth", "row", "col"], kind="stable")
         place = (pdf["row"].astype("int64") * STRIDE + pdf["col"]).to_numpy(np.int64)
         # places of different frames lie too far apart to touch; a frame's pixels are below the span
         span = int(place.max(initial=0) - place.min(initial=0)) + 2 * STRIDE
-        own, dist = pdf["nth"].to_numpy(np.int64) * span + place, pdf["dist"].to_numpy()
+        own, dist = _numbers(pdf) * span + place, pdf["dist"].to_numpy()
         a, b = [], []
         for step in (1, STRIDE):
             at = np.minimum(np.searchsorted(own, own + step), max(len(own) - 1, 0))
             ok = (own[at] == own + step) & (np.abs(dist[at] - dist) < most) if len(own) else np.zeros(0, bool)
             a.append(np.flatnonzero(ok)), b.append(at[ok])
-        a, b = np.concatenate(a), np.concatenate(b)
-        seg = np.arange(len(own))
-        while True:
-            low = np.minimum(seg[a], seg[b])
-            new = seg.copy()
-            np.minimum.at(new, a, low)
-            np.minimum.at(new, b, low)
-            new = new[new]
-            if (new == seg).all():
-                break
-            seg = new
-        return pdf.assign(segment=place[seg])[["frame", "row", "col", "dist", "segment"]]
+        return pdf.assign(segment=place[_least(len(own), np.concatenate(a), np.concatenate(b))])[["frame", "row", "col", "dist", "segment"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            frame = pdf["frame"]
-            ends = np.flatnonzero((frame != frame.shift()) & ~(frame.isna() & frame.shift().isna()))
-            last = int(ends[-1]) if len(ends) else 0
-            same = held and (held[-1]["frame"].iloc[-1] == frame.iloc[0] or (pd.isna(held[-1]["frame"].iloc[-1]) and pd.isna(frame.iloc[0])))
-            if last == 0 and same:
-                held.append(pdf)
-                continue
-            if last > 0 or held:
-                yield label(_numbered(pd.concat([*held, pdf.iloc[:last]])))
-            held = [pdf.iloc[last:]]
-        if held:
-            yield label(_numbered(pd.concat(held)))
-
-    one = rows.select("frame", F.col("row").cast("int"), F.col("col").cast("int"), "dist").repartition("frame").sortWithinPartitions("frame")
-    return one.mapInPandas(run, "frame long, row int, col int, dist double, segment long")
-
-
-def _numbered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Rows with the number of their frame among these, the null frame being one too."""
-    return pdf.assign(nth=pd.factorize(pdf["frame"], use_na_sentinel=False)[0])
+        for pdf in whole_runs(batches):
+            yield label(pdf)
+
+    one = rows.select("frame", F.col("row").cast("int"), F.col("col").cast("int"), "dist").where("dist is not null")
+    return in_runs(one, "frame", "row", "col").mapInPandas(run, "frame long, row int, col int, dist double, segment long")
+
+
+def _numbers(pdf: pd.DataFrame) -> np.ndarray:
+    """The number of each row's frame among these, the null frame being one too."""
+    return np.cumsum(pdf["nth"].to_numpy() == 1)
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of ``n`` nodes reaches by edges, in sweeps until none changes."""
+    of = np.arange(n)
+    while True:
+        low = np.minimum(of[a], of[b])
+        new = of.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == of).all():
+            return of
+        of = new
 
 
 def segment_stats(labelled: DataFrame, least: int = 1, near_factor: float = 0.0) -> DataFrame:
@@ -130,16 +119,14 @@ def segment_stats(labelled: DataFrame, least: int = 1, near_factor: float = 0.0)
 
 
 def _borders(labelled: DataFrame) -> DataFrame:
-    """(frame, a, b, diff) of each pair of neighbouring returns of different segments, a the lesser name."""
-    out = None
-    for axis in ("col", "row"):
-        other = "row" if axis == "col" else "col"
-        w = Window.partitionBy("frame", other).orderBy(axis)
-        e = labelled.withColumns({"nd": F.lead("dist").over(w), "nx": F.lead(axis).over(w), "ns": F.lead("segment").over(w)})
-        e = e.where((F.col("nx") == F.col(axis) + 1) & (F.col("ns") != F.col("segment")))
-        e = e.select("frame", F.least("segment", "ns").alias("a"), F.greatest("segment", "ns").alias("b"), F.abs(F.col("nd") - F.col("dist")).alias("diff"))
-        out = e if out is None else out.unionAll(e)
-    return out
+    """(frame, a, b, diff) of each pair of neighbouring returns of different segments, a the lesser name. Both neighbours are
+    looked up in one pass; a table dealt by frame is not shuffled."""
+    near = []
+    for axis, other in (("col", "row"), ("row", "col")):
+        n = F.lead(F.struct(F.col(axis).alias("at"), "dist", "segment")).over(Window.partitionBy("frame", other).orderBy(axis))
+        near.append(F.when(n["at"] == F.col(axis) + 1, n))
+    e = labelled.select("frame", "dist", "segment", F.array(*near).alias("near")).withColumn("n", F.explode("near")).where("n.segment <> segment")
+    return e.select("frame", F.least("segment", "n.segment").alias("a"), F.greatest("segment", "n.segment").alias("b"), F.abs(F.col("n.dist") - F.col("dist")).alias("diff"))
 
 
 def segment_neighbours(labelled: DataFrame) -> DataFrame:

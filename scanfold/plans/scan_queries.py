@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scanfold.functions.soft import lin_sat, mlog, soft_threshold
 from scanfold.operators import image, links, segments, tracks
 
+from scanfold.runs import dealt
 from scanfold.stored import stored
 
 from .registry import query, rounded
@@ -132,6 +133,11 @@ SEGMENTS = f"""WITH RECURSIVE {PIXELS}, px AS (SELECT frame, row, col, dist, row
   lab AS (SELECT frame, k, min(s) AS segment FROM r GROUP BY frame, k)"""
 
 
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of pixels, written and dealt by frame."""
+    return dealt(stored(segments.segment_frames(pixels(spark, sf_dir), 2.0)), "frame")
+
+
 @query(f"{SEGMENTS} SELECT frame, CAST(k // 100000 AS INTEGER) AS row, CAST(k % 100000 AS INTEGER) AS col, CAST(segment AS BIGINT) AS segment FROM lab")
 def segment_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segment_frames(pixels(spark, sf_dir), 2.0).drop("dist")
@@ -298,7 +304,7 @@ NEAR_BORDER = 3.0
   SELECT frame, CAST(k // 100000 AS INTEGER) AS row, CAST(k % 100000 AS INTEGER) AS col, CAST(into_ AS BIGINT) AS segment FROM lab JOIN i USING (frame, segment)""")
 def segments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments joined with those that they touch at a small step."""
-    lab = stored(segments.segment_frames(pixels(spark, sf_dir), 2.0))
+    lab = _labelled(spark, sf_dir)
     pairs = segments.segment_neighbours(lab).where(F.col("nearest") < NEAR_BORDER)
     return segments.merge_segments(lab, pairs).drop("dist")
 
@@ -308,7 +314,7 @@ def segments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT frame, a, b, round(max(s), 6) AS score FROM n GROUP BY ALL""")
 def segment_neighbour_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greatest score across the border of each pair of touching segments."""
-    lab = stored(segments.segment_frames(pixels(spark, sf_dir), 2.0))
+    lab = _labelled(spark, sf_dir)
     return rounded(segments.segment_neighbour_scores(lab, lambda d: 1 / (1 + d)), "score")
 
 

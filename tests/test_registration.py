@@ -141,3 +141,23 @@ def test_segments_of_edges_equal_those_of_frames(spark):
     assert merged == {k: first if (k[0], s) == (1, last) else s for k, s in want.items()}
     near = segments.merge_neighbours(segments.segment_neighbour_scores(lab, lambda d: -d), pairs)
     assert near.where(F.col("a") >= F.col("b")).count() == 0 and near.where((F.col("frame") == 1) & ((F.col("a") == last) | (F.col("b") == last))).count() == 0
+
+
+def test_borders_of_dealt_frames_need_no_shuffle(spark):
+    import re
+
+    from scanfold.operators import segments
+
+    rows = [(f, r, c, float((f + 3 * r * r + c) % 7), (f + r + c) % 4) for f in range(4) for r in range(5) for c in range(6)]
+    lab = spark.createDataFrame(rows, "frame long, row int, col int, dist double, segment long").repartition(3, "frame")
+    near = segments.segment_neighbours(lab)
+    assert re.findall(r"hashpartitioning\((.*?)#\d+L, 3\)", near._jdf.queryExecution().executedPlan().toString()) == ["frame"]
+    assert near._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    want = {}
+    at = {(f, r, c): (d, s) for f, r, c, d, s in rows}
+    for (f, r, c), (d, s) in at.items():
+        for k in ((f, r + 1, c), (f, r, c + 1)):
+            if k in at and at[k][1] != s:
+                key = (f, min(s, at[k][1]), max(s, at[k][1]))
+                want[key] = min(want.get(key, 99.0), abs(d - at[k][0]))
+    assert {(r.frame, r.a, r.b): r.nearest for r in near.collect()} == want
