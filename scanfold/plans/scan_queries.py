@@ -152,7 +152,7 @@ def segment_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{SEGMENTS}, j AS (SELECT lab.*, px.dist FROM lab JOIN px USING (frame, k))
   SELECT a.frame, CAST(least(a.segment, b.segment) AS BIGINT) AS a, CAST(greatest(a.segment, b.segment) AS BIGINT) AS b, min(abs(a.dist - b.dist)) AS nearest FROM j a JOIN j b ON a.frame = b.frame AND (b.k = a.k + 1 OR b.k = a.k + 100000) AND a.segment <> b.segment GROUP BY ALL""")
 def segment_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.segment_neighbours(segments.segment_frames(pixels(spark, sf_dir), 2.0))
+    return segments.segment_neighbours(_labelled(spark, sf_dir))
 
 
 @query(f"WITH {HITS} SELECT src, dst, count(*) AS strength FROM hits GROUP BY src, dst")
