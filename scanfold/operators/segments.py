@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from scanfold.functions.soft import soft_threshold
 from scanfold.runs import in_runs, whole_runs
@@ -47,14 +48,39 @@ def segment_by_edges(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return own.join(of, "node", "left").select("frame", "row", "col", "dist", F.coalesce("component.pixel", "node.pixel").alias("segment"))
 
 
-def merge_segments(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``labelled`` with the segments that ``pairs`` (frame, a, b) join under the least of their names."""
+def merge_segments(labelled: DataFrame, pairs: DataFrame, whole: bool = False) -> DataFrame:
+    """``labelled`` with the segments that ``pairs`` (frame, a, b) join under the least of their names.
+
+    With ``whole`` a frame and its pairs lie in one task, as in ``segment_frames``, and are not shuffled if both are dealt
+    by frame; else frames may be larger than a task."""
+    if whole:
+        return _merge_whole(labelled, pairs)
     node = lambda c: F.struct(F.col("frame").alias("frame"), F.col(c).alias("segment"))
     of = components(pairs.select(node("a").alias("a"), node("b").alias("b")))
     into = of.select("node.frame", "node.segment", F.col("component.segment").alias("into"))
     return labelled.join(into, ["frame", "segment"], "left").withColumn("segment", F.coalesce("into", "segment")).drop("into").select(*labelled.columns)
 
 
+def _merge_whole(labelled: DataFrame, pairs: DataFrame) -> DataFrame:
+    names = labelled.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_runs(batches):
+            one, two = (pdf[c].to_numpy(np.int64) for c in ("segment", "other"))
+            nodes, at = np.unique(np.concatenate((one, two)), return_inverse=True)
+            # names may be any numbers: frames are told apart by the place of a name
+            frame, size, pair = _numbers(pdf), len(nodes), pdf["pair"].to_numpy(bool)
+            own, at = np.unique(np.concatenate((frame, frame)) * size + at, return_inverse=True)
+            a, b = at[: len(pdf)], at[len(pdf) :]
+            into = nodes[own[_least(len(own), a[pair], b[pair])] % size]
+            yield pdf.assign(segment=into[a])[~pair][names]
+
+    fill = {f.name: F.lit(0).cast(f.dataType) if isinstance(f.dataType, NumericType) else F.lit(None).cast(f.dataType) for f in labelled.schema}
+    ends = pairs.where("a is not null and b is not null").select("frame", *[v.alias(c) for c, v in fill.items() if c not in ("frame", "segment")], F.col("a").alias("segment"), F.col("b").alias("other"), F.lit(True).alias("pair"))
+    both = labelled.withColumns({"other": F.col("segment"), "pair": F.lit(False)}).unionByName(ends)
+    return in_runs(both, "frame", "pair").mapInPandas(run, labelled.schema)
+
+
 def merge_neighbours(neighbours: DataFrame, pairs: DataFrame) -> DataFrame:
     """(frame, a, b, score) of merged segments from those before: the greatest score of each pair that is left."""
     node = lambda c: F.struct(F.col("frame").alias("frame"), F.col(c).alias("segment"))

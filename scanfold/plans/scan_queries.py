@@ -306,7 +306,7 @@ def segments_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments joined with those that they touch at a small step."""
     lab = _labelled(spark, sf_dir)
     pairs = segments.segment_neighbours(lab).where(F.col("nearest") < NEAR_BORDER)
-    return segments.merge_segments(lab, pairs).drop("dist")
+    return segments.merge_segments(lab, pairs, whole=True).drop("dist")
 
 
 @query(f"""{SEGMENTS}, j AS (SELECT lab.frame, lab.k, lab.segment, px.dist FROM lab JOIN px USING (frame, k)),

@@ -161,3 +161,25 @@ def test_borders_of_dealt_frames_need_no_shuffle(spark):
                 key = (f, min(s, at[k][1]), max(s, at[k][1]))
                 want[key] = min(want.get(key, 99.0), abs(d - at[k][0]))
     assert {(r.frame, r.a, r.b): r.nearest for r in near.collect()} == want
+
+
+def test_segments_of_dealt_frames_are_merged_without_a_shuffle(spark):
+    import re
+
+    from scanfold.operators import segments
+
+    rng = np.random.default_rng(5)
+    rows = [(f, r, c, float(rng.integers(1, 9)), 7 - f) for f in range(6) for r in range(5) for c in range(8)]
+    lab = segments.segment_frames(spark.createDataFrame(rows, "frame long, row int, col int, dist double, x long"), 1.5)
+    lab = spark.createDataFrame(lab.collect(), lab.schema).repartition(3, "frame")
+    pairs = segments.segment_neighbours(lab).where("nearest < 3")
+    merged = segments.merge_segments(lab, pairs, whole=True)
+    assert set(re.findall(r"hashpartitioning\((.*?)#", merged._jdf.queryExecution().executedPlan().toString())) == {"frame"}
+    assert len(re.findall(r"hashpartitioning\([^)]*,[^)]*, \d+\)", merged._jdf.queryExecution().executedPlan().toString())) == 0
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(r) for r in merged.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(tuple(r) for r in segments.merge_segments(lab, pairs).collect())
+    assert len({r[-1] for r in got}) < len({(r.segment) for r in lab.collect()}) and merged.columns == lab.columns
