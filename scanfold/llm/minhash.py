@@ -291,13 +291,16 @@ def minhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def links(members: DataFrame) -> DataFrame:
         """Confirmed links of (hub, rep, comp, few), between different components."""
-        near = by_group(_in_blocks(members.join(light, "rep"), in_clusters), ["hub", "i", "j"], ["side"], _marked(threshold), "hub long, rep long")
+        # written, as the blocks read it several times over: each plan below would else hold all that leads to it as often
+        members = durable.write(members.join(light, "rep"), "members")
+        near = by_group(_in_blocks(members, in_clusters), ["hub", "i", "j"], ["side"], _marked(threshold), "hub long, rep long")
         near = durable.write(near.distinct(), "near")
         ids = near.select("rep").distinct()
         if near.count() <= BROADCAST_IDS:
             ids = F.broadcast(ids)
-        sets = texts.join(ids, "rep").mapInArrow(_set_rows(shingle), "rep long, hashes binary").join(light, "rep")
-        found = by_group(_in_blocks(members.join(near, ["hub", "rep"], "left_semi").join(sets, "rep"), in_clusters), ["hub", "i", "j"], ["side"], _linked(threshold, num, den), "a long, b long")
+        sets = texts.join(ids, "rep").mapInArrow(_set_rows(shingle), "rep long, hashes binary")
+        picked = durable.write(members.join(near, ["hub", "rep"], "left_semi"), "picked")
+        found = by_group(_in_blocks(picked.join(sets, "rep"), in_clusters), ["hub", "i", "j"], ["side"], _linked(threshold, num, den), "a long, b long")
         return durable.write(found.distinct(), "links")
 
     # each class with the hub of its least cluster
