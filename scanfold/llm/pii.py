@@ -19,6 +19,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -364,20 +365,19 @@ def redact_documents(docs: DataFrame, model: SpanModel, text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            sizes = batch.column(chars).to_pylist() if chars is not None else None
+            changed, texts = np.zeros(len(batch), bool), []
             for i in np.flatnonzero(_marked(batch.column(at))).tolist():
-                _, every = find_spans(texts[i], model)
+                text = batch.column(at)[i].as_py()
+                _, every = find_spans(text, model)
                 if every:
-                    texts[i] = redact(texts[i], every)
-                    if sizes is not None:
-                        sizes[i] = len(texts[i])
-            cols = list(batch.columns)
-            cols[at] = pa.array(texts, batch.column(at).type)
+                    changed[i] = True
+                    texts.append(redact(text, every))
+            cols, mask = list(batch.columns), pa.array(changed)
+            cols[at] = pc.replace_with_mask(cols[at], mask, pa.array(texts, cols[at].type))
             if chars is not None:
-                cols[chars] = pa.array(sizes, batch.column(chars).type)
+                cols[chars] = pc.replace_with_mask(cols[chars], mask, pa.array([len(t) for t in texts], cols[chars].type))
             yield pa.RecordBatch.from_arrays(cols, names=names)
-        release_memory()
+            release_memory()
 
     durable.bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))

@@ -15,12 +15,13 @@ import pyarrow as pa
 
 from .hashing import mix64, slices, text_buffers
 
-#: Words whose ids a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker keeps, and bytes of ids and of long words; beyond either it drops words before the next pass.
+CACHE_WORDS = 250_000
+CACHE_BYTES = 16 << 20
 #: Words of up to 8 * LANES bytes are compared as numbers, longer ones as byte strings.
 LANES = 3
-#: Bytes of text encoded in one pass; a single longer document is still one pass.
-PASS_BYTES = 1 << 21
+#: Bytes of text encoded in one pass; a single longer document is still one pass. Scratch takes some 20 times as much.
+PASS_BYTES = 1 << 19
 
 _SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
 _CLASS = np.full(256, _ODD, np.uint8)
@@ -92,7 +93,28 @@ class WordEncoder:
         self.lanes = np.zeros((LANES, 0), np.uint64)
         self.first = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
+        self.used = np.zeros(0, bool)
         self.long: dict[bytes, int] = {}
+        self.long_bytes = 0
+
+    def thin(self) -> None:
+        """Keep only short words that a pass has met again since the last time, none if these are still too many."""
+        keep = np.flatnonzero(self.used)
+        size = np.diff(self.first)[keep]
+        first = np.concatenate((self.first[:1], np.cumsum(size)))
+        if 2 * len(keep) > CACHE_WORDS or 2 * self.ids.itemsize * first[-1] > CACHE_BYTES:
+            return self.forget()
+        place = np.full(len(self.used), -1)
+        place[keep] = np.arange(len(keep))
+        number = place[self.number]
+        self.key, self.number = self.key[number >= 0], number[number >= 0]
+        self.lanes = self.lanes[:, keep]
+        self.ids = self.ids[np.repeat(self.first[keep] - first[:-1], size) + np.arange(first[-1])]
+        self.first, self.used = first, np.zeros(len(keep), bool)
+        self.long, self.long_bytes = {}, 0
+
+    def full(self) -> bool:
+        return len(self.first) > CACHE_WORDS or self.ids.nbytes + self.long_bytes > CACHE_BYTES
 
     def _whole(self, word: bytes) -> array:
         return array("I", self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
@@ -123,6 +145,7 @@ class WordEncoder:
         self.first = np.concatenate((self.first, self.first[-1] + np.cumsum([len(a) for a in asked], dtype=np.int64)))
         self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(a.tobytes() for a in asked), np.uint32)))
         self.lanes = np.concatenate((self.lanes, np.zeros((LANES, len(asked)), np.uint64)), axis=1)
+        self.used = np.concatenate((self.used, np.zeros(len(asked), bool)))
         return np.arange(n, n + len(asked))
 
     def _numbers(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> np.ndarray:
@@ -149,6 +172,7 @@ class WordEncoder:
         number[known] = self.number[at[known]]
         same = known.copy()
         same[known] = (self.lanes[:, number[known]] == lanes[:, sample[known]]).all(axis=0)
+        self.used[number[same]] = True
         clash = known & ~same
         if clash.any():
             apart |= clash[code]
@@ -159,9 +183,10 @@ class WordEncoder:
             added = self._add(self._ask([text[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)], odd[at]))
             number[new] = added
             self.lanes[:, added] = lanes[:, at]
-            keys = np.concatenate((self.key, kinds[new]))
-            order = np.argsort(keys, kind="stable")
-            self.key, self.number = keys[order], np.concatenate((self.number, added))[order]
+            order = np.argsort(kinds[new])
+            keys = kinds[new][order]
+            place = np.searchsorted(self.key, keys)
+            self.key, self.number = np.insert(self.key, place, keys), np.insert(self.number, place, added[order])
         out = number[code]
         if apart.any():
             text = raw.tobytes()
@@ -169,13 +194,14 @@ class WordEncoder:
                 word = text[start[i] : end[i]]
                 if word not in self.long:
                     self.long[word] = int(self._add(self._ask([word], odd[i : i + 1]))[0])
+                    self.long_bytes += len(word)
                 out[i] = self.long[word]
         return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts ``data[offsets[i]:offsets[i + 1]]``, each followed by ``end_id``, and their n + 1 bounds."""
-        if len(self.first) > CACHE_WORDS:
-            self.forget()
+        if self.full():
+            self.thin()
         raw = data[offsets[0] : offsets[-1]]
         edges = offsets - offsets[0]
         n = len(offsets) - 1

@@ -164,6 +164,47 @@ def test_word_encoder_matches_the_tokenizer(monkeypatch):
                     assert ids[bounds[k] : bounds[k + 1]].tolist() == [*encode(t or "", add_special_tokens=False).ids, 0]
 
 
+def test_word_encoder_stays_small_over_ever_new_words(monkeypatch):
+    """What a worker keeps and its scratch arrays do not grow with the texts that it has met; ids stay the tokenizer's."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    encode = Tokenizer.from_file(path).encode
+    fresh = ("".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(1_000_000))
+    one, kept = tokens.WordEncoder(path), 0
+    for _ in range(30):
+        text = " ".join([*(next(fresh) for _ in range(10_000)), "met every time"])
+        (_, _, ids, _), *_ = tokens.encoded(one, pa.array([text]), 0)
+        kept = max(kept, len(one.first))
+    assert ids.tolist() == [*encode(text, add_special_tokens=False).ids, 0]
+    assert kept < 275_000
+    # words met again are kept, and so are not asked for anew
+    one.thin()
+    assert 1 < len(one.first) < 100
+    monkeypatch.setattr(one, "_ask", None)
+    (_, _, ids, _), *_ = tokens.encoded(one, pa.array(["time every met"]), 0)
+    assert ids.tolist() == [*encode("time every met", add_special_tokens=False).ids, 0]
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 1 << 20, raising=False)
+    long = tokens.WordEncoder(path)
+    for k in range(30):
+        text = " ".join(f"漢字{k}x{i}'" * 60 for i in range(100))
+        (_, _, ids, _), *_ = tokens.encoded(long, pa.array([text]), 0)
+        assert ids.tolist() == [*encode(text, add_special_tokens=False).ids, 0]
+        assert long.ids.nbytes + sum(map(len, long.long)) < (1 << 20) + 4 * len(ids) + len(text.encode())
+
+    many = pa.array(["some words of a text, over and over. " * 30] * 4_000)
+    tracemalloc.start()
+    for _ in tokens.encoded(tokens.WordEncoder(path), many, 0):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6, peak
+
+
 def test_words_with_one_key_are_told_apart(monkeypatch):
     import pyarrow as pa
     from tokenizers import Tokenizer
